@@ -169,10 +169,17 @@ def object_json(predicate: ColumnOrName, obj: ColumnOrName) -> Column:
     number = F.coalesce(extract(o, R.NUMBER_TEXT), strip(o)).try_cast("double")
     return F.when(
         (object_type(predicate, o) == "number") & number.isNotNull(),
-        F.concat(F.lit('{"value": '), number.cast("string"), F.lit("}")),
+        F.concat(F.lit('{"value": '), float_text(number), F.lit("}")),
     )
 
 
+def float_text(number: Column) -> Column:
+    """A double as plain text with at least one decimal, never an exponent."""
+    whole = F.concat(number.cast("bigint").cast("string"), F.lit(".0"))
+    plain = F.regexp_replace(number.cast("decimal(38,12)").cast("string"), "0+$", "")
+    return F.when((number == F.floor(number)) & (F.abs(number) < 1e16), whole).otherwise(plain)
+
+
 def artifact_hash(cols: dict[str, Column]) -> Column:
     """sha256 over a JSON object spelled with sorted keys and no spaces."""
     ordered = [cols[k].alias(k) for k in sorted(cols)]

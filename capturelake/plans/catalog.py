@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pii, text, usage  # noqa: F401
+from . import facts, pii, structure, text, usage  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
