@@ -54,3 +54,14 @@ def blank_to_null(c: ColumnOrName) -> Column:
 
 def str_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def explode_rows(df, array: str, *keep: str, ord_name: str = "ord", item: str = "item"):
+    """One row per array element, with its 0-based ordinal.
+
+    The outer form is filtered afterwards on purpose: for the inner form the
+    optimizer infers "array is not empty" and pushes it below, which inlines
+    and evaluates the whole array expression a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(ord_name, item))
+    return rows.where(F.col(ord_name).isNotNull())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
 from capturelake.functions import text as T
-from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, let, matches, str_array
+from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, explode_rows, let, matches, str_array
 from capturelake.functions.scalars import at, object_json, object_type
 
 from .classify import detect_predicate
@@ -215,7 +215,7 @@ def extract_task_facts(tasks: DataFrame, max_facts: int = R.MAX_FACTS, hints=R.P
 def fact_rows(owners: DataFrame, kind: str, extractor_version: str = "rules-v1") -> DataFrame:
     """One key_facts row per fact of a frame with a ``facts`` array."""
     owner = f"{kind}_id"
-    rows = owners.select(owner, F.posexplode("facts").alias("ord", "f")).select(owner, "ord", "f.*")
+    rows = explode_rows(owners, "facts", owner).select(owner, "ord", "item.*")
     ids = {
         "note_id": F.col(owner) if kind == "note" else F.lit(None).cast("string"),
         "task_id": F.col(owner) if kind == "task" else F.lit(None).cast("string"),

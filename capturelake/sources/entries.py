@@ -204,7 +204,7 @@ PAYLOAD_RULES = {
 
 def _field_error(fields: Column, rule) -> Column:
     name, kind, required, low, high, allowed = rule
-    hit = F.element_at(F.filter(fields, lambda e: e["key"] == name), 1)
+    hit = F.get(F.filter(fields, lambda e: e["key"] == name), F.lit(0))
 
     def check(f: Column) -> Column:
         text, is_text = f["text"], f["kind"] == "string"
