@@ -11,12 +11,19 @@ from . import rules as R
 from .rx import ColumnOrName, as_col, blank_to_null, extract, let, matches, replace_all, rx, str_array
 
 
+# every Unicode whitespace character; trimming a character set is one pass
+# over the ends, where a regex would scan the whole text
+WHITESPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: ColumnOrName) -> Column:
-    return replace_all(c, r"^\s+|\s+$")
+    return F.btrim(as_col(c), F.lit(WHITESPACE))
 
 
 def rstrip(c: ColumnOrName) -> Column:
-    return replace_all(c, r"\s+$")
+    return F.rtrim(as_col(c), F.lit(WHITESPACE))
 
 
 def collapse(c: ColumnOrName) -> Column:

@@ -503,7 +503,7 @@ def quality_gate(b: DataFrame) -> DataFrame:
         lambda k: (k["from_idx"] >= 0) & (k["to_idx"] >= 0),
     )
     return (
-        prepared.withColumn("links", F.when(F.size("_bad") > 0, links).otherwise(F.col("links")))
+        prepared.withColumn("links", links)
         .withColumn("claims", F.filter("claims", lambda c: ~blank(c)))
         .withColumn(
             "quality_flags",
@@ -589,7 +589,8 @@ def write_bundle(
     Claim ids come from document, extraction and position.  Entities are
     found by name only, and the last one of that name wins.
     """
-    ready = b.where(F.size("claims") > 0)
+    written = F.size("claims") > 0
+    ready = b.withColumn("entities", F.when(written, F.col("entities")).otherwise(F.slice("entities", 1, 0)))
     keep = ["document_id", "entry_id", extraction_id]
     typed = F.transform(
         "claims",

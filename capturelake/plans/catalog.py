@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import claims, entries, evaluate, facts, pii, structure, text, usage  # noqa: F401
+from . import claims, entries, evaluate, facts, history, pii, structure, text, usage  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

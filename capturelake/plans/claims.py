@@ -18,7 +18,7 @@ from capturelake.operators import search as S
 from .frames import frame
 from .registry import query, step
 from .structure import AS_OF
-from .text import sql_strip
+from .text import SENTENCES, sql_strip
 from .usage import text_ts
 
 PREDICATES = ["did", "felt", "chose", "happened", "learned", "planned", "mentions", "teleported"]
@@ -166,10 +166,8 @@ def responses(spark, sf_dir):
 
 
 def parsed(spark, sf_dir):
-    """Bundles of the documents that got a readable response."""
-    opened = SC.unwrap_responses(responses(spark, sf_dir))
-    b = C.bundles_from_responses(opened)
-    return b.where(F.col("unwrap_error").isNull() & F.col("parse_error").isNull())
+    """Bundles of the responses as received; a failed one has no claims."""
+    return C.bundles_from_responses(SC.unwrap_responses(responses(spark, sf_dir)))
 
 
 def usable(spark, sf_dir):
@@ -453,12 +451,15 @@ def claim_gate(spark, sf_dir):
     )
 
 
+step("turn_forms", f"SELECT conv_id, turn, list_transform({SENTENCES.format('text')}, lambda s: {MATCH.format('s')}) AS s FROM conversations")
+
+
 @query(
     "claim_coverage",
     f"""SELECT conv_id, turn, len(list_filter(f, lambda c: c)) AS n_covered, len(f) AS n_clauses FROM (
       SELECT a.conv_id, a.turn, list_transform(a.s, lambda c: len(list_filter(b.s, lambda t: contains(c, t) OR contains(t, c)
         OR len(list_intersect(g(c), g(t))) / greatest(least(len(g(c)), len(g(t))), 1) >= 0.55)) > 0) AS f
-      FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)""".replace(
+      FROM turn_forms a JOIN turn_forms b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)""".replace(
         "g(c)", "list_distinct(list_transform(generate_series(1, length(c) - 1), lambda i: substr(c, i, 2)))"
     ).replace("g(t)", "list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2)))"),
     ["turn_forms"],
@@ -476,11 +477,6 @@ def claim_coverage(spark, sf_dir):
     )
 
 
-from .text import SENTENCES  # noqa: E402
-
-step("turn_forms", f"SELECT conv_id, turn, list_transform({SENTENCES.format('text')}, lambda s: {MATCH.format('s')}) AS s FROM conversations")
-
-
 def bundle(spark, sf_dir):
     return C.write_bundle(gated(spark, sf_dir), AS_OF)
 

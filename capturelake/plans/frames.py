@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.sources.tables import read_table
+from capturelake.sources.tables import read_table, spread
 
 # JSON-safe text: no quotes, backslashes or control characters
 CLEAN = "replace(replace(replace(replace(replace({0}, chr(92), ''), chr(34), ''), chr(10), ' '), chr(13), ' '), chr(9), ' ')"
@@ -68,6 +68,8 @@ PAYLOAD = (
     + " END"
 )
 
+TEXT_TABLES = {"documents", "conversations"}
+
 FRAMES: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
     "api_requests": (
         "events",
@@ -168,7 +170,8 @@ FRAMES: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in FRAMES:
-        return read_table(spark, sf_dir, name)
+        table = read_table(spark, sf_dir, name)
+        return spread(table) if name in TEXT_TABLES else table
     base, columns = FRAMES[name]
     df = frame(spark, sf_dir, base)
     return df.selectExpr(*[f"{_pick(e, 0)} AS {c}" for c, e in columns.items()])
