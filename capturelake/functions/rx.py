@@ -65,3 +65,14 @@ def explode_rows(df, array: str, *keep: str, ord_name: str = "ord", item: str =
     """
     rows = df.select(*keep, F.posexplode_outer(array).alias(ord_name, item))
     return rows.where(F.col(ord_name).isNotNull())
+
+
+def keep_rows(df, test: Column):
+    """Rows that pass a test on costly computed columns.
+
+    A plain filter would be pushed below the projection that computes them
+    and evaluate them twice; this one stays above it.  On a stored table use
+    ``where``, which reaches the scan.
+    """
+    flag = F.explode_outer(F.when(test, F.array(F.lit(True))))
+    return df.withColumn("_keep", flag).where(F.col("_keep")).drop("_keep")

@@ -18,7 +18,7 @@ from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, explod
 from capturelake.functions.scalars import at, object_json, object_type
 
 from .classify import detect_predicate
-from .merge import insert_ignore, stable_id
+from .merge import insert_ignore, stable_id, top_per_key
 
 FACT_TYPE = (
     "struct<subject:string,predicate:string,object_text:string,object_type:string,object_json:string,"
@@ -185,6 +185,26 @@ def dedupe_array(facts: Column, max_facts: int = R.MAX_FACTS) -> Column:
     return F.slice(let(filled, firsts), 1, max_facts)
 
 
+def dedupe_facts(facts: DataFrame, owner: str, max_facts: int = R.MAX_FACTS) -> DataFrame:
+    """The same rule over fact rows, for owners with any number of facts.
+
+    Both ranks keep only their winners per task before the shuffle, so an
+    owner with very many facts stays cheap.  Rows need ``ord``.
+    """
+    keys = [owner, "_s", "_p", "_o"]
+    filled = facts.withColumns(
+        {
+            "_s": T.lemma_form("subject"),
+            "_p": T.lemma_form("predicate"),
+            "_o": T.normalize_for_dedupe("object_text"),
+            "_blank": T.strip("object_text") == "",
+        }
+    )
+    kept = filled.where((F.col("_s") != "") & (F.col("_p") != "") & ~F.col("_blank")).drop("_blank")
+    first = top_per_key(kept, keys, [F.asc("ord")]).drop("_s", "_p", "_o")
+    return top_per_key(first, [owner], [F.asc("ord")], max_facts)
+
+
 def extract_note_facts(notes: DataFrame, max_facts: int = R.MAX_FACTS, hints=R.PREDICATE_HINTS) -> DataFrame:
     """Notes with a ``facts`` array."""
     base = notes.withColumn("_meta", note_meta_facts()).withColumn(

@@ -27,7 +27,7 @@ def revise_claims(claims: DataFrame, revisions: DataFrame, as_of: datetime) -> t
     per claim, for active claims.  The old row is closed and a successor is
     added; the claims are joined once and the pair comes from one explode.
     """
-    wanted = revisions.select(
+    wanted = revisions.dropDuplicates(["claim_id"]).select(
         "claim_id", F.col("object_text_canonical").alias("_text"), F.col("revision_note").alias("_note"), F.lit(True).alias("_hit")
     )
     joined = claims.join(wanted, "claim_id", "left")
@@ -72,7 +72,7 @@ def revise_claims(claims: DataFrame, revisions: DataFrame, as_of: datetime) -> t
 
 def retract_claims(claims: DataFrame, retractions: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """(claim snapshot, feedback rows); retracted claims stay searchable."""
-    wanted = retractions.select("claim_id", F.col("reason").alias("_reason"), F.lit(True).alias("_hit"))
+    wanted = retractions.dropDuplicates(["claim_id"]).select("claim_id", F.col("reason").alias("_reason"), F.lit(True).alias("_hit"))
     joined = claims.join(wanted, "claim_id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("deleted_at").isNull()
     changed = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
 from capturelake.functions import text as T
-from capturelake.functions.rx import blank_to_null
+from capturelake.functions.rx import blank_to_null, keep_rows
 from capturelake.functions.scalars import at, journal_date, to_text_ts
 
 from .classify import classify
@@ -37,9 +37,15 @@ def route_captures(df: DataFrame, tokens: str | None = None) -> DataFrame:
     )
 
 
-def to_tasks(routed: DataFrame, as_of: datetime) -> DataFrame:
+def _routed_to(routed: DataFrame, route: str, stored: bool) -> DataFrame:
+    """Rows of one route; a stored routed table is filtered in its scan."""
+    test = F.col("route") == route
+    return routed.where(test) if stored else keep_rows(routed, test)
+
+
+def to_tasks(routed: DataFrame, as_of: datetime, stored: bool = False) -> DataFrame:
     text = F.coalesce(F.col("raw_text"), F.lit(""))
-    return routed.where(F.col("route") == "task").select(
+    return _routed_to(routed, "task", stored).select(
         stable_id(F.lit("task"), "capture_id").alias("task_id"),
         F.col("capture_id").alias("source_capture_id"),
         F.lit(None).cast("string").alias("source_note_id"),
@@ -56,11 +62,11 @@ def to_tasks(routed: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def to_notes(routed: DataFrame, as_of: datetime) -> DataFrame:
+def to_notes(routed: DataFrame, as_of: datetime, stored: bool = False) -> DataFrame:
     text = F.coalesce(F.col("raw_text"), F.lit(""))
     journal = F.col("note_type") == "journal"
     base = (
-        routed.where(F.col("route") == "note")
+        _routed_to(routed, "note", stored)
         .withColumn("_occurred", to_text_ts(F.coalesce("occurred_at", "created_at")))
         .withColumn("_url", T.extract_url(text))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import scalars as SC
 from capturelake.functions import text as T
+from capturelake.functions.rx import explode_rows
 from capturelake.operators import classify as C
 from capturelake.operators import facts as K
 
@@ -206,23 +207,40 @@ def fact_predicate_lemmas(spark, sf_dir):
 
 @query(
     "fact_dedupe",
-    f"""SELECT doc_id, CAST(k2 - 1 AS INTEGER) AS ord, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k2 FROM (
+    f"""SELECT doc_id, CAST(idx AS INTEGER) AS ord, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k2 FROM (
       SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows) WHERE rn = 1) WHERE k2 <= 500""",
     ["sentence_rows"],
 )
 def fact_dedupe(spark, sf_dir):
+    facts = sentence_rows(spark, sf_dir).select(
+        "doc_id",
+        F.col("idx").alias("ord"),
+        F.lit("me").alias("subject"),
+        F.lit("mentions").alias("predicate"),
+        F.col("sentence").alias("object_text"),
+    )
+    return K.dedupe_facts(facts, "doc_id", 500).select("doc_id", "ord", F.col("object_text").alias("sentence"))
+
+
+@query(
+    "fact_dedupe_array",
+    f"""SELECT doc_id, CAST(k2 - 1 AS INTEGER) AS ord, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k2 FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows WHERE idx < 24) WHERE rn = 1) WHERE k2 <= 12""",
+    ["sentence_rows"],
+)
+def fact_dedupe_array(spark, sf_dir):
+    """In-row form, over the candidate lists that extraction makes."""
     none = F.lit(None).cast("string")
     docs = frame(spark, sf_dir, "documents").withColumn(
         "facts",
         K.dedupe_array(
             F.transform(
-                T.split_sentences("text"),
+                K.cap_candidates(F.array(), T.split_sentences("text"), 24),
                 lambda s: K._fact(F.lit("me"), F.lit("mentions"), s, F.lit("text"), none, none, none, F.lit(0.72)),
-            ),
-            500,
+            )
         ),
     )
-    return docs.select("doc_id", F.posexplode("facts").alias("ord", "f")).select("doc_id", "ord", F.col("f.object_text").alias("sentence"))
+    return explode_rows(docs, "facts", "doc_id").select("doc_id", "ord", F.col("item.object_text").alias("sentence"))
 
 
 @query(
@@ -275,10 +293,10 @@ def fact_changed_newest(spark, sf_dir):
     return out.select("note_id", text_ts("updated_at").alias("updated_at"))
 
 
-def _stored_facts(spark, sf_dir):
-    """The fact table after an earlier run that saw journals and learnings;
+def _stored_facts(found):
+    """The fact table after an earlier run that stored the surer note facts;
     summaries were deleted since."""
-    facts = key_facts(spark, sf_dir).where("note_id IS NOT NULL AND confidence > 0.8")
+    facts = found.where("note_id IS NOT NULL AND confidence > 0.8")
     return facts.withColumn("updated_at", SC.at(AS_OF)).withColumn(
         "deleted_at", F.when(F.col("predicate") == "summary", SC.at(AS_OF))
     )
@@ -289,7 +307,8 @@ INSERT = """SELECT fact_id FROM key_facts WHERE confidence >= 0.75 AND NOT (note
 
 @query("fact_insert", INSERT, ["key_facts"])
 def fact_insert(spark, sf_dir):
-    return K.insert_facts(_stored_facts(spark, sf_dir), key_facts(spark, sf_dir), 0.75)[0].select("fact_id")
+    found = key_facts(spark, sf_dir)
+    return K.insert_facts(_stored_facts(found), found, 0.75)[0].select("fact_id")
 
 
 @query(
@@ -298,7 +317,8 @@ def fact_insert(spark, sf_dir):
     ["key_facts"],
 )
 def fact_insert_counts(spark, sf_dir):
-    return K.insert_facts(_stored_facts(spark, sf_dir), key_facts(spark, sf_dir), 0.75)[1]
+    found = key_facts(spark, sf_dir)
+    return K.insert_facts(_stored_facts(found), found, 0.75)[1]
 
 
 @query(
@@ -309,7 +329,7 @@ def fact_insert_counts(spark, sf_dir):
 )
 def fact_replace(spark, sf_dir):
     owners = notes(spark, sf_dir).where("note_type = 'journal'")
-    out = K.replace_facts(_stored_facts(spark, sf_dir), owners, "note_id", AS_OF.replace(month=7))
+    out = K.replace_facts(_stored_facts(note_facts(spark, sf_dir)), owners, "note_id", AS_OF.replace(month=7))
     return out.select("fact_id", text_ts("deleted_at").alias("deleted_at"))
 
 

@@ -386,4 +386,4 @@ def stream_latest(spark, sf_dir):
     out = work_dir(spark, "latest")
     rows = Sm.stream_table(spark, sf_dir, "events")
     Sm.stream_latest(rows, f"{out}/sink", f"{out}/checkpoint", ["user_id"], "ts", "event_id").awaitTermination()
-    return Sm.read_latest(spark, f"{out}/sink").select("user_id", "event_id", "event_type")
+    return Sm.read_latest(spark, f"{out}/sink", ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from capturelake.functions import text as T
+from capturelake.functions.rx import explode_rows
 
 from .frames import frame
 from .registry import query, step
@@ -37,9 +38,8 @@ step(
 
 
 def sentence_rows(spark, sf_dir):
-    return frame(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", F.posexplode(T.split_sentences("text")).alias("idx", "sentence")
-    )
+    docs = frame(spark, sf_dir, "documents").withColumn("sents", T.split_sentences("text"))
+    return explode_rows(docs, "sents", "doc_id", "lang", "source", ord_name="idx", item="sentence")
 
 
 @query(
@@ -160,6 +160,6 @@ def capture_text_fields(spark, sf_dir):
     ["captures"],
 )
 def clause_split(spark, sf_dir):
-    return frame(spark, sf_dir, "captures").select(
-        "capture_id", F.posexplode(T.split_clauses("raw_text")).alias("idx", "clause")
-    ).withColumn("clause", F.md5("clause"))
+    rows = frame(spark, sf_dir, "captures").withColumn("clauses", T.split_clauses("raw_text"))
+    out = explode_rows(rows, "clauses", "capture_id", ord_name="idx", item="clause")
+    return out.withColumn("clause", F.md5("clause"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from capturelake.operators.merge import lww_merge, top_per_key
+from capturelake.operators.merge import top_per_key
 from capturelake.operators.structure import route_captures, to_notes, to_tasks
 
 
@@ -40,8 +40,8 @@ def stream_structure(
         fresh = first if done is None else first.join(done.select("capture_id"), "capture_id", "left_anti")
         route_captures(fresh).write.mode("overwrite").parquet(routed_path)
         routed = spark.read.parquet(routed_path)
-        to_notes(routed, as_of).write.mode("overwrite").parquet(f"{sink}/notes/batch={batch_id}")
-        to_tasks(routed, as_of).write.mode("overwrite").parquet(f"{sink}/tasks/batch={batch_id}")
+        to_notes(routed, as_of, stored=True).write.mode("overwrite").parquet(f"{sink}/notes/batch={batch_id}")
+        to_tasks(routed, as_of, stored=True).write.mode("overwrite").parquet(f"{sink}/tasks/batch={batch_id}")
 
     return _start(captures, write, checkpoint, trigger)
 
@@ -73,20 +73,29 @@ def stream_cost(requests: DataFrame, sink: str, checkpoint: str, watermark: str
 def stream_latest(
     rows: DataFrame, sink: str, checkpoint: str, key: list[str], updated: str, tie: str, trigger: dict | None = None
 ):
-    """Keeps the last write per key: each batch merges into a new snapshot."""
+    """Stores the newest row per key of every batch; ``read_latest`` merges.
+
+    A batch costs what it holds and not what was stored before.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         newest = top_per_key(batch, key, [F.desc(updated), F.desc(tie)])
-        previous = _latest_snapshot(spark, sink, batch_id)
-        merged = newest if previous is None else lww_merge(previous, newest, key, updated)
-        merged.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        newest.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return _start(rows, write, checkpoint, trigger)
 
 
-def read_latest(spark: SparkSession, sink: str) -> DataFrame:
-    return _latest_snapshot(spark, sink, None)
+def read_latest(spark: SparkSession, sink: str, key: list[str], updated: str, tie: str) -> DataFrame:
+    """Last write per key over all batches; on a tie the later batch wins."""
+    rows = spark.read.parquet(sink)
+    return top_per_key(rows, key, [F.desc(updated), F.desc("batch"), F.desc(tie)]).drop("batch")
+
+
+def compact_latest(
+    spark: SparkSession, sink: str, target: str, key: list[str], updated: str, tie: str
+) -> None:
+    """Writes the merged state as batch -1 of a new folder."""
+    read_latest(spark, sink, key, updated, tie).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None):
@@ -112,8 +121,3 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
 def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
     old = [b for b in _batches(spark, path) if b < before]
     return spark.read.parquet(*[f"{path}/batch={b}" for b in old]) if old else None
-
-
-def _latest_snapshot(spark: SparkSession, path: str, before: int | None) -> DataFrame | None:
-    old = [b for b in _batches(spark, path) if before is None or b < before]
-    return spark.read.parquet(f"{path}/batch={old[-1]}") if old else None
