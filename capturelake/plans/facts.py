@@ -347,3 +347,22 @@ def fact_run_metrics(spark, sf_dir):
         tasks(spark, sf_dir).select(F.col("task_id").alias("id"))
     )
     return K.fact_run_metrics(owners, counts)
+
+
+@query(
+    "fact_responses",
+    f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS ord, lang AS subject, sentence AS object_text, 0.8::DOUBLE AS confidence FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows WHERE idx < 12) WHERE rn = 1""",
+    ["sentence_rows"],
+)
+def fact_responses(spark, sf_dir):
+    """Facts of a model payload with one fact per sentence."""
+    item = F.transform(
+        T.split_sentences("text"),
+        lambda s: F.struct(F.concat(F.lit(" "), "lang").alias("subject"), F.lit("mentions").alias("predicate"), s.alias("object_text")),
+    )
+    bare = F.to_json(item)
+    content = F.when(F.col("lang") == "en", bare).otherwise(F.to_json(F.struct(item.alias("facts"))))
+    out = K.facts_from_responses(frame(spark, sf_dir, "documents").withColumn("content", content))
+    rows = explode_rows(out, "facts", "doc_id")
+    return rows.select("doc_id", "ord", "item.subject", "item.object_text", "item.confidence")

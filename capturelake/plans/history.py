@@ -12,6 +12,7 @@ from capturelake.operators import revise as V
 from capturelake.operators import rollups as Ro
 from capturelake.operators import structure as St
 from capturelake.session import work_dir
+from capturelake.sources.schemas import duplicate_keys, validate
 from capturelake.streaming import streams as Sm
 
 from .claims import bundle, documents
@@ -19,7 +20,8 @@ from .entries import entries, items
 from .facts import key_facts
 from .frames import FRAMES, frame
 from .registry import query, step
-from .structure import AS_OF, notes, routed, tasks
+from .run import write_run
+from .structure import AS_OF, notes, routed, stored_captures, tasks
 from .text import sql_clamp
 from .usage import text_ts
 
@@ -343,6 +345,45 @@ def prompts_documents(spark, sf_dir):
     return out.select("document_id", F.md5(F.get_json_object("prompt", "$.text")).alias("text"))
 
 
+# --- whole runs and table checks -----------------------------------------------
+
+RUN_COUNTS = """SELECT count(*) FILTER (WHERE route = 'note') AS notes_created, count(*) FILTER (WHERE route = 'task') AS tasks_created, count(*) FILTER (WHERE route = 'blocked') AS captures_blocked,
+  (SELECT count(*) FROM key_facts) AS facts, {dry} AS dry_run FROM routed"""
+RUN_OUT = ["notes_created", "tasks_created", "captures_blocked", "facts", "dry_run"]
+
+
+@query("three_stage_counts", RUN_COUNTS.format(dry="true"), ["routed", "key_facts"])
+def three_stage_counts(spark, sf_dir):
+    return write_run(spark, stored_captures(spark, sf_dir), "", AS_OF, dry_run=True).select(*RUN_OUT)
+
+
+@query("three_stage_written", RUN_COUNTS.format(dry="false"), ["routed", "key_facts"])
+def three_stage_written(spark, sf_dir):
+    return write_run(spark, stored_captures(spark, sf_dir), work_dir(spark, "run"), AS_OF).select(*RUN_OUT)
+
+
+@query(
+    "table_checks",
+    """SELECT entry_id, CASE WHEN turn_kind = 'other' THEN 'declared_type' ELSE '' END AS broken FROM (SELECT entry_id, CASE WHEN declared_type = 'meeting' THEN 'other' ELSE 'known' END AS turn_kind FROM entries)
+    WHERE turn_kind = 'other'""",
+    ["entries"],
+)
+def table_checks(spark, sf_dir):
+    """Rows that break a rule, with meetings renamed to an unknown type."""
+    kind = F.when(F.col("declared_type") == "meeting", "party").otherwise(F.col("declared_type"))
+    _, rejected = validate(entries(spark, sf_dir).withColumn("declared_type", kind), "app_entries")
+    return rejected.select("entry_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query(
+    "table_duplicates",
+    "SELECT entry_id, job_id, count(*) AS n FROM items GROUP BY ALL HAVING count(*) > 1",
+    ["items"],
+)
+def table_duplicates(spark, sf_dir):
+    return duplicate_keys(items(spark, sf_dir), "fact_extraction_job_items")
+
+
 # --- streams --------------------------------------------------------------------
 
 
