@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.text import lemma_form, normalize_for_dedupe
 
+from .merge import merge_rows
+
 
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
@@ -93,7 +95,7 @@ def fact_metrics(gold: DataFrame) -> DataFrame:
         normalize_for_dedupe("f.object_text").alias("o"),
     ).distinct()
     distinct = keys.agg(F.count(F.lit(1)).alias("distinct_facts"))
-    return rates.join(distinct).select(
+    return merge_rows(rates, distinct).select(
         "samples",
         F.round(_ratio(F.col("predicate_hits"), F.col("samples")), 4).alias("predicate_precision"),
         F.round(_ratio(F.col("object_hits"), F.col("samples")), 4).alias("object_match_rate"),
@@ -115,7 +117,7 @@ def eval_gate(
 ) -> DataFrame:
     """One row of pass flags over both metric frames, and ``passed``."""
     c = classes.select(F.col("samples").alias("c_samples"), "macro_f1").limit(1)
-    joined = c.join(facts.withColumnRenamed("samples", "f_samples"))
+    joined = merge_rows(c, facts.withColumnRenamed("samples", "f_samples"))
     flags = {
         "captures_samples_ok": F.col("c_samples") == expected_captures,
         "facts_samples_ok": F.col("f_samples") == expected_facts,

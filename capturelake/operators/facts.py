@@ -18,7 +18,7 @@ from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, explod
 from capturelake.functions.scalars import at, object_json, object_type
 
 from .classify import detect_predicate
-from .merge import insert_ignore, stable_id, top_per_key
+from .merge import counted, insert_ignore, merge_rows, stable_id, top_per_key
 
 FACT_TYPE = (
     "struct<subject:string,predicate:string,object_text:string,object_type:string,object_json:string,"
@@ -305,9 +305,7 @@ def insert_facts(
     good = validate_facts(new).where(F.col("reason").isNull() & (F.col("confidence") >= min_conf)).drop("reason")
     active = existing.where(F.col("deleted_at").isNull()).withColumn("_owner", owner)
     inserted = insert_ignore(active, good.withColumn("_owner", owner), keys, [F.asc("ord")]).drop("_owner")
-    counts = new.agg(F.count(F.lit(1)).alias("offered")).join(
-        inserted.agg(F.count(F.lit(1)).alias("facts_inserted"))
-    )
+    counts = merge_rows(counted(new, "offered"), counted(inserted, "facts_inserted"))
     return inserted, counts.select("facts_inserted", (F.col("offered") - F.col("facts_inserted")).alias("facts_skipped"))
 
 
@@ -361,14 +359,12 @@ def fact_run_metrics(
     owners: DataFrame, counts: DataFrame, replaced: DataFrame | None = None, extractor_version: str = "rules-v1"
 ) -> DataFrame:
     """One result row of a fact run; ``owners`` are the processed rows."""
-    items = owners.agg(F.count(F.lit(1)).alias("items_processed"))
-    out = items.join(counts)
-    gone = (
-        replaced.agg(F.count(F.lit(1)).alias("facts_replaced"))
-        if replaced is not None
-        else None
-    )
-    out = out.join(gone) if gone is not None else out.withColumn("facts_replaced", F.lit(0).cast("bigint"))
+    parts = [counted(owners, "items_processed"), counts]
+    if replaced is not None:
+        parts.append(counted(replaced, "facts_replaced"))
+    out = merge_rows(*parts)
+    if replaced is None:
+        out = out.withColumn("facts_replaced", F.lit(0).cast("bigint"))
     return out.select(
         "items_processed",
         "facts_inserted",

@@ -38,11 +38,22 @@ def insert_ignore(
     return first_per_key(new, keys, order).join(existing.select(*keys), keys, "left_anti").select(*new.columns)
 
 
+def merge_rows(*frames: DataFrame) -> DataFrame:
+    """One row out of one-row frames with different columns, without a join."""
+    rows = frames[0]
+    for other in frames[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
+def counted(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
 def insert_counts(new: DataFrame, inserted: DataFrame) -> DataFrame:
     """One row: offered, inserted and skipped."""
-    offered = new.agg(F.count(F.lit(1)).alias("offered"))
-    added = inserted.agg(F.count(F.lit(1)).alias("inserted"))
-    return offered.join(added).withColumn("skipped", F.col("offered") - F.col("inserted"))
+    both = merge_rows(counted(new, "offered"), counted(inserted, "inserted"))
+    return both.withColumn("skipped", F.col("offered") - F.col("inserted"))
 
 
 def upsert(

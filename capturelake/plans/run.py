@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from capturelake.operators import facts as K
 from capturelake.operators import structure as S
+from capturelake.operators.merge import counted, merge_rows
 from capturelake.sources.captures import ingest_captures
 
 
@@ -45,8 +46,7 @@ def stage_captures(captures: DataFrame, as_of: datetime, max_facts: int = 12, st
 
 def run_counts(staged: Staged, dry_run: bool = True) -> DataFrame:
     """One row of counts of a run; nothing is written."""
-    facts = staged.facts.agg(F.count(F.lit(1)).alias("facts"))
-    return S.structure_counts(staged.routed, dry_run).join(facts)
+    return merge_rows(S.structure_counts(staged.routed, dry_run), counted(staged.facts, "facts"))
 
 
 def write_run(spark: SparkSession, captures: DataFrame, out: str, as_of: datetime, dry_run: bool = False) -> DataFrame:
@@ -69,5 +69,4 @@ def write_run(spark: SparkSession, captures: DataFrame, out: str, as_of: datetim
     )
     facts.write.mode("overwrite").parquet(f"{out}/key_facts")
     staged.captures.write.mode("overwrite").parquet(f"{out}/captures_raw")
-    written = spark.read.parquet(f"{out}/key_facts").agg(F.count(F.lit(1)).alias("facts"))
-    return S.structure_counts(routed).join(written)
+    return merge_rows(S.structure_counts(routed), counted(spark.read.parquet(f"{out}/key_facts"), "facts"))

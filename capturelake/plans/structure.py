@@ -10,7 +10,7 @@ from capturelake.functions import pii as P
 from capturelake.functions import text as T
 from capturelake.operators import classify as C
 from capturelake.operators import structure as S
-from capturelake.operators.merge import insert_counts, insert_ignore
+from capturelake.operators.merge import counted, insert_counts, insert_ignore, merge_rows
 from capturelake.sources.captures import ingest_captures, resolve_sources
 
 from .frames import frame
@@ -300,11 +300,8 @@ def structure_rerun(spark, sf_dir):
         "deleted_at", F.when(F.col("note_type") == "thought", F.col("created_at")).otherwise(F.col("deleted_at"))
     )
     inserts, ids = S.reuse_active(new, existing, "note_id")
-    return (
-        ids.agg(F.count(F.lit(1)).alias("offered"))
-        .join(inserts.agg(F.count(F.lit(1)).alias("inserted")))
-        .withColumn("reused", F.col("offered") - F.col("inserted"))
-    )
+    both = merge_rows(counted(ids, "offered"), counted(inserts, "inserted"))
+    return both.withColumn("reused", F.col("offered") - F.col("inserted"))
 
 
 @query(
