@@ -14,6 +14,7 @@ from capturelake.functions import text as T
 from capturelake.functions.rx import explode_rows
 from capturelake.operators import claims as C
 from capturelake.operators import search as S
+from capturelake.session import work_dir
 
 from .frames import frame
 from .registry import query, step
@@ -481,6 +482,18 @@ def bundle(spark, sf_dir):
     return C.write_bundle(gated(spark, sf_dir), AS_OF)
 
 
+def stored_bundle(spark, sf_dir):
+    """Child tables over gated bundles that were written once.
+
+    For queries that read several of them, as stored claims would be.
+    """
+    path = work_dir(spark, "bundles")
+    gated(spark, sf_dir).select(
+        "document_id", "entry_id", "extraction_id", "claims", "entities", "links"
+    ).write.parquet(path)
+    return C.write_bundle(spark.read.parquet(path), AS_OF)
+
+
 @query(
     "claim_bundle",
     """SELECT claim_id, document_id, subject_text, predicate, md5(canonical) AS canonical, subject_entity_id, object_entity_id, strftime(time_start, '%Y-%m-%d %H:%M:%S') AS time_start FROM stored_claims""",
@@ -619,7 +632,7 @@ SEARCH_SQL = """SELECT claim_id, predicate, strftime(time_start, '%Y-%m-%d %H:%M
 
 @query("claims_search", SEARCH_SQL, ["stored_claims"])
 def claims_search(spark, sf_dir):
-    b = bundle(spark, sf_dir)
+    b = stored_bundle(spark, sf_dir)
     out = S.search_claims(
         b["claims"], doc_table(spark, sf_dir), b["dimensions"], text="E", type="journal", modality="fact", predicate="did",
         me_role="actor", dimension_type="place", dimension_value="src1", from_ts="2024-01-01 00:00:00", to_ts="2024-02-01 00:00:00",
@@ -644,7 +657,7 @@ def claims_by_entry(spark, sf_dir):
     ["stored_claims", "stored_dims"],
 )
 def claims_hydrated(spark, sf_dir):
-    b = bundle(spark, sf_dir)
+    b = stored_bundle(spark, sf_dir)
     english = documents(spark, sf_dir).where("lang = 'en'").select("document_id")
     claims = b["claims"].join(english, "document_id", "left_semi")
     chosen = claims.where("predicate = 'chose'").select("claim_id")

@@ -15,7 +15,7 @@ from capturelake.session import work_dir
 from capturelake.sources.schemas import duplicate_keys, validate
 from capturelake.streaming import streams as Sm
 
-from .claims import bundle, documents
+from .claims import documents, stored_bundle
 from .entries import entries, items
 from .facts import key_facts
 from .frames import FRAMES, frame
@@ -140,7 +140,7 @@ LATER = AS_OF.replace(month=7)
     ["stored_claims"],
 )
 def claim_revise(spark, sf_dir):
-    claims = bundle(spark, sf_dir)["claims"]
+    claims = stored_bundle(spark, sf_dir)["claims"]
     out, _ = V.revise_claims(claims, _revisions(claims), LATER)
     return out.select(
         "claim_id", F.md5("object_text_canonical").alias("canonical"), "status", "supersedes_claim_id", "revision_note",
@@ -154,7 +154,7 @@ def claim_revise(spark, sf_dir):
     ["stored_claims"],
 )
 def claim_revise_feedback(spark, sf_dir):
-    claims = bundle(spark, sf_dir)["claims"]
+    claims = stored_bundle(spark, sf_dir)["claims"]
     _, feedback = V.revise_claims(claims, _revisions(claims), LATER)
     detail = F.coalesce(F.get_json_object("after_json", "$.supersededBy"), F.get_json_object("after_json", "$.revisionNote"))
     return feedback.select("claim_id", "action", detail.alias("detail"))
@@ -166,7 +166,7 @@ def claim_revise_feedback(spark, sf_dir):
     ["stored_claims"],
 )
 def claim_retract(spark, sf_dir):
-    claims = bundle(spark, sf_dir)["claims"]
+    claims = stored_bundle(spark, sf_dir)["claims"]
     gone = claims.where("predicate = 'learned'").select("claim_id", F.when(F.col("polarity") == "negate", "wrong").alias("reason"))
     out, _ = V.retract_claims(claims, gone, LATER)
     return out.select("claim_id", "status", "revision_note")
