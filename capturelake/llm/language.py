@@ -143,15 +143,18 @@ def identify(
     documents: DataFrame, languages: list[str], model: np.ndarray, text_column: str = "text"
 ) -> DataFrame:
     """The rows with lang_pred, score, lang_set and lang_shares; no shuffle."""
-    names = [c for c in documents.columns if c not in ("lang_pred", "score", "lang_set", "lang_shares")]
-    rows = documents.select(*[F.col(f"`{c}`") for c in names])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    added_names = ["lang_pred", "score", "lang_set", "lang_shares"]
+    kept = [c for c in documents.columns if c not in added_names]
+    names = [f"_{k}" for k in range(len(kept))]
+    rows = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, kept, strict=True)])
+    text_at = kept.index(text_column)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def predict(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_column).to_pylist()]
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
             lang, score, chosen, shares = zip(*infer(texts, languages, model), strict=True) if texts else ([],) * 4
             added = [
                 pa.array(lang, pa.string()),
@@ -159,11 +162,12 @@ def identify(
                 pa.array(chosen, pa.list_(pa.string())),
                 pa.array(shares, pa.list_(pa.float64())),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, "lang_pred", "score", "lang_set", "lang_shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, *added_names])
 
-    return rows.mapInArrow(
+    found = rows.mapInArrow(
         predict, f"{schema}, lang_pred string, score double, lang_set array<string>, lang_shares array<double>"
     )
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], *added_names)
 
 
 def held_out(id_column: str = "doc_id"):

@@ -218,7 +218,7 @@ def repeated_windows(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndar
 
 def _rows_of(documents: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    more = [F.col(f"`{c}`").alias(f"_carry.{c}") for c in carry]
+    more = [F.col(f"`{c}`").alias(f"_carry{k}") for k, c in enumerate(carry)]
     return documents.select(F.col(id_column).alias("id"), text.alias("text"), F.hash(text).alias("t"), *more)
 
 
@@ -412,5 +412,5 @@ def remove_repeats(
         cut, f"{schema}, kept binary, kept_text string, spans array<struct<first:bigint,stop:bigint>>"
     )
     return cut_rows.select(
-        F.col("id").alias(id_column), "text", *[F.col(f"`_carry.{c}`").alias(c) for c in carry], "kept", "kept_text", "spans"
+        F.col("id").alias(id_column), "text", *[F.col(f"_carry{k}").alias(c) for k, c in enumerate(carry)], "kept", "kept_text", "spans"
     )
