@@ -34,7 +34,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.session import work_dir
@@ -259,13 +259,16 @@ def covered(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = documents.sparkSession
     where = work_dir(spark, "suffixes")
     rows = _rows_of(documents, id_column, text_column)
-    by_hash, by_context = Window.partitionBy("h"), Window.partitionBy("h", "u")
-    _emit_anchors(rows).repartition("h").withColumn("n", F.count("*").over(by_context)).withColumn(
-        "lead", F.row_number().over(by_context.orderBy("id", "t", "first")) == 1
-    ).withColumn("m", F.sum(F.col("lead").cast("long")).over(by_hash)).where("n > 1 or m > 1").write.parquet(f"{where}/found")
-    found = spark.read.parquet(f"{where}/found")
-    whole = found.where("n > 1").select("id", "t", "first", (F.col("first") + F.col("more") + LENGTH).alias("stop"))
-    open_rows = found.where("lead and m > 1")
+    _emit_anchors(rows).write.parquet(f"{where}/anchors")
+    found = spark.read.parquet(f"{where}/anchors")
+    # counts combine in each task, so a frequent context is a row a task
+    lead = F.min(F.struct("id", "t", "first", "more", "left")).alias("lead")
+    found.groupBy("h", "u").agg(F.count("*").alias("n"), lead).write.parquet(f"{where}/contexts")
+    known = spark.read.parquet(f"{where}/contexts")
+    again = known.where("n > 1").select("h", "u")
+    whole = found.join(again, ["h", "u"]).select("id", "t", "first", (F.col("first") + F.col("more") + LENGTH).alias("stop"))
+    classes = known.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    open_rows = known.join(classes, "h").select("h", "u", "n", "m", "lead.*")
     targets = max(1, -(-open_rows.count() // TARGET_ROWS))
     wanted = open_rows.groupBy("id", "t").agg(
         F.collect_list(F.struct("h", "u", "first", "more", "left", "n", (F.col("m") > CLASS_ROWS).alias("wide"))).alias("at")
