@@ -34,7 +34,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturelake.session import work_dir
@@ -223,6 +223,12 @@ def _rows_of(documents: DataFrame, id_column: str, text_column: str, carry: tupl
 
 
 def _emit_anchors(rows: DataFrame) -> DataFrame:
+    """Anchors of all texts, equal contexts of a batch as one row.
+
+    n is how often the batch has the context.  Where that is more than once,
+    its places are known to be repeats and come as rows of their own with n = 0,
+    joined to intervals; they are dealt by their document.
+    """
     id_type = rows.schema["id"].dataType.simpleString()
 
     def emit(batches):
@@ -241,17 +247,38 @@ def _emit_anchors(rows: DataFrame) -> DataFrame:
                         context_digest(data[a : b + LENGTH], x)
                         for a, b, x in zip(first.tolist(), last.tolist(), left.tolist(), strict=True)
                     ]
-            if at:
-                grams, first, more, left = (np.concatenate(c) for c in zip(*parts, strict=True))
-                where = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(where), batch.column("t").take(where), pa.array(grams),
-                     pa.array(np.array(digests, np.int64)), pa.array(first.astype(np.int64)),
-                     pa.array(more.astype(np.int16)), pa.array(left.astype(np.int16))],
-                    ["id", "t", "h", "u", "first", "more", "left"],
-                )
+            if not at:
+                continue
+            h, first, more, left = (np.concatenate(c) for c in zip(*parts, strict=True))
+            row, u = np.concatenate(at), np.array(digests, np.int64)
+            order = np.lexsort((u, h))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (u[order][1:] != u[order][:-1])])
+            group = np.cumsum(new) - 1
+            n = np.bincount(group)
+            often = np.sort(order[n[group] > 1])  # by document and place
+            stop = first[often] + more[often] + LENGTH
+            spans: list[list[int]] = []
+            for k, a, b in zip(row[often].tolist(), first[often].tolist(), stop.tolist(), strict=True):
+                if spans and spans[-1][0] == k and a <= spans[-1][2]:
+                    spans[-1][2] = max(b, spans[-1][2])
+                else:
+                    spans.append([k, a, b])
+            one = order[new]
+            known = np.array(spans, np.int64).reshape(-1, 3)
+            where = pa.array(np.concatenate([row[one], known[:, 0]]))
+            ids, ts = batch.column("id").take(where), batch.column("t").take(where)
+            fake = _mixed(ts.to_numpy().astype(np.uint64)[len(one) :] + known[:, 1].astype(np.uint64)).view(np.int64)
+            zero = np.zeros(len(known), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [ids, ts, pa.array(np.concatenate([h[one], fake])), pa.array(np.concatenate([u[one], zero])),
+                 pa.array(np.concatenate([first[one], known[:, 1]])),
+                 pa.array(np.concatenate([more[one], known[:, 2] - known[:, 1] - LENGTH]).astype(np.int32)),
+                 pa.array(np.concatenate([left[one], zero]).astype(np.int16)),
+                 pa.array(np.concatenate([n, zero]).astype(np.int32))],
+                ["id", "t", "h", "u", "first", "more", "left", "n"],
+            )
 
-    return rows.mapInArrow(emit, f"id {id_type}, t int, h long, u long, first long, more short, left short")
+    return rows.mapInArrow(emit, f"id {id_type}, t int, h long, u long, first long, more int, left short, n int")
 
 
 def covered(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -259,16 +286,21 @@ def covered(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = documents.sparkSession
     where = work_dir(spark, "suffixes")
     rows = _rows_of(documents, id_column, text_column)
-    _emit_anchors(rows).write.parquet(f"{where}/anchors")
-    found = spark.read.parquet(f"{where}/anchors")
-    # counts combine in each task, so a frequent context is a row a task
-    lead = F.min(F.struct("id", "t", "first", "more", "left")).alias("lead")
-    found.groupBy("h", "u").agg(F.count("*").alias("n"), lead).write.parquet(f"{where}/contexts")
-    known = spark.read.parquet(f"{where}/contexts")
-    again = known.where("n > 1").select("h", "u")
-    whole = found.join(again, ["h", "u"]).select("id", "t", "first", (F.col("first") + F.col("more") + LENGTH).alias("stop"))
-    classes = known.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    open_rows = known.join(classes, "h").select("h", "u", "n", "m", "lead.*")
+    # windows of one anchor hash meet once; a frequent context is a row a batch by now
+    by_hash, by_context = Window.partitionBy("h"), Window.partitionBy("h", "u")
+    _emit_anchors(rows).repartition("h").withColumns(
+        {
+            "all": F.sum("n").over(by_context),
+            "nth": F.row_number().over(by_context.orderBy("id", "t", "first")),
+        }
+    ).withColumn("m", F.sum(((F.col("nth") == 1) & (F.col("n") > 0)).cast("long")).over(by_hash)).where(
+        "n = 0 or (n = 1 and all > 1) or (nth = 1 and m > 1)"
+    ).write.parquet(f"{where}/found")
+    found = spark.read.parquet(f"{where}/found")
+    whole = found.where("n = 0 or (n = 1 and all > 1)").select(
+        "id", "t", "first", (F.col("first") + F.col("more") + LENGTH).alias("stop")
+    )
+    open_rows = found.where("n > 0 and nth = 1 and m > 1").withColumn("n", F.col("all"))
     targets = max(1, -(-open_rows.count() // TARGET_ROWS))
     wanted = open_rows.groupBy("id", "t").agg(
         F.collect_list(F.struct("h", "u", "first", "more", "left", "n", (F.col("m") > CLASS_ROWS).alias("wide"))).alias("at")
