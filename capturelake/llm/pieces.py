@@ -71,7 +71,7 @@ class PieceModel:
         for piece in self.ids:
             self._grow(piece)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.stretches = WordCache(lambda words: map(self.encode_word, words), 400_000)
+        self.stretches = WordCache(lambda words: map(self.encode_word, words), 800_000)
 
     def _grow(self, piece: str) -> None:
         """Edges of the piece's merge tree: (part, time made, time used up)."""
@@ -188,7 +188,7 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         table = self.text
-        out = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        out = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if out.startswith(" ") else out
 
 
@@ -199,7 +199,7 @@ def load_model(path: str) -> tuple[PieceModel, WordCache]:
     """Model and word memory of this worker; kept from task to task."""
     if path not in _models:
         model = PieceModel(path)
-        _models[path] = (model, WordCache(model.encode_words, 800_000))
+        _models[path] = (model, WordCache(model.encode_words, 1_200_000))
     return _models[path]
 
 

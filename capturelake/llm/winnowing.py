@@ -42,8 +42,9 @@ def _let(value: str, name: str, body: str) -> str:
 
 def _keys(text: str) -> str:
     low = (1 << _BITS) - 1
-    gram = f"shiftleft(shiftright(xxhash64(substring({text}, i + 1, {GRAM})), {_BITS}), {_BITS})"
-    return f"transform(sequence(0, length({text}) - {GRAM}), i -> {gram} | cast({low} - i as bigint))"
+    # a look-ahead per character gives all grams in one pass over the text
+    grams = f"regexp_extract_all({text}, '(?s)(?=(.{{{GRAM}}})).', 1)"
+    return f"transform({grams}, (g, i) -> shiftleft(shiftright(xxhash64(g), {_BITS}), {_BITS}) | cast({low} - i as bigint))"
 
 
 def _minima(keys: str) -> str:
