@@ -147,7 +147,6 @@ NUMBER_PREDICATES = ["mood_score", "energy_score", "priority"]
 SENTENCE_BREAK = r"[。.!?！？\n]+"
 HINT_CONFIDENCE, LEMMA_CONFIDENCE, MENTION_CONFIDENCE = 0.82, 0.79, 0.72
 OVERRIDE_CONFIDENCE = 0.84
-MAX_FACTS = 12
 MIN_CONFIDENCE = 0.70
 
 # --- fixed values: claims --------------------------------------------------

@@ -71,10 +71,12 @@ def task_title(c: ColumnOrName) -> Column:
     return clamp(F.coalesce(blank_to_null(body), F.lit("Untitled task")), 120)
 
 
-def split_sentences(c: ColumnOrName) -> Column:
-    """Sentences of 4 to 240 characters, in text order."""
+def split_sentences(c: ColumnOrName, max_chars: int | None = None) -> Column:
+    """Sentences of 4 characters or more, in text order; ``max_chars`` drops longer ones."""
     parts = F.transform(F.split(as_col(c), rx(R.SENTENCE_BREAK)), collapse)
-    return F.filter(parts, lambda s: F.length(s).between(4, 240))
+    if max_chars is None:
+        return F.filter(parts, lambda s: F.length(s) >= 4)
+    return F.filter(parts, lambda s: F.length(s).between(4, max_chars))
 
 
 def keep_sentence(sentence: ColumnOrName, tokens: ColumnOrName) -> Column:
@@ -102,7 +104,7 @@ def normalize_for_dedupe(c: ColumnOrName, lemmas: ColumnOrName | None = None) ->
         F.transform(F.coalesce(as_col(lemmas), F.array().cast("array<string>")), lemma_form),
         lambda t: (t != "") & ~t.isin(*R.STOP_LEMMAS),
     )
-    return F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, 16), " ")).otherwise(plain)
+    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(plain)
 
 
 def lemma_form(c: ColumnOrName) -> Column:

@@ -48,7 +48,7 @@ def _meta(subject: Column, predicate: str, value: Column, confidence: float, kin
     fact = _fact(
         subject,
         F.lit(predicate),
-        T.clamp(text, 1000),
+        text,
         F.lit(kind),
         json,
         none,
@@ -89,7 +89,7 @@ def object_text(sentence: ColumnOrName, predicate: ColumnOrName | None = None, t
     """Object of a sentence: the sentence, or content words near its hint."""
     s = as_col(sentence)
     if tokens is None:
-        return T.clamp(s, 1000)
+        return s
     p, toks = as_col(predicate), as_col(tokens)
     hints = F.coalesce(
         *[F.when(p == name, str_array(words)) for name, words in R.PREDICATE_LEMMAS.items()], str_array([])
@@ -107,7 +107,7 @@ def object_text(sentence: ColumnOrName, predicate: ColumnOrName | None = None, t
         surfaces(toks, "^名詞", R.STOP_LEMMAS),
     )
     picked = let(T.strip(words), lambda w: F.when(F.length(w) >= 2, w).otherwise(s))
-    return F.when(F.coalesce(F.size(toks), F.lit(0)) == 0, T.clamp(s, 1000)).otherwise(T.clamp(picked, 1000))
+    return F.when(F.coalesce(F.size(toks), F.lit(0)) == 0, s).otherwise(picked)
 
 
 def task_fact_override(sentence: Column, verdict: Column) -> Column:
@@ -142,7 +142,7 @@ def sentence_fact(
                 obj,
                 object_type(predicate, obj),
                 object_json(predicate, obj),
-                T.clamp(sentence, 350),
+                sentence,
                 none if occurred is None else occurred,
                 verdict["confidence"],
             ),
@@ -158,13 +158,15 @@ def owner_text(parts: list[str]) -> Column:
     return T.strip(F.array_join(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in parts]), "\n"))
 
 
-def cap_candidates(meta: Column, sentences: Column, max_facts: int = R.MAX_FACTS) -> Column:
-    """Sentences read before the candidate list is full; at least the first."""
+def cap_candidates(meta: Column, sentences: Column, max_facts: int | None = None) -> Column:
+    """Sentences read before the candidate list is full, at least the first; all without a limit."""
+    if max_facts is None:
+        return sentences
     return F.slice(sentences, F.lit(1), F.greatest(F.lit(max_facts) - F.size(meta), F.lit(1)))
 
 
-def dedupe_array(facts: Column, max_facts: int = R.MAX_FACTS) -> Column:
-    """First fact per normalised key, empty parts dropped, at most max_facts."""
+def dedupe_array(facts: Column, max_facts: int | None = None) -> Column:
+    """First fact per normalised key, empty parts dropped, at most max_facts if that is given."""
     filled = F.filter(
         facts,
         lambda f: (T.strip(f["subject"]) != "") & (T.strip(f["predicate"]) != "") & (T.strip(f["object_text"]) != ""),
@@ -182,10 +184,11 @@ def dedupe_array(facts: Column, max_facts: int = R.MAX_FACTS) -> Column:
             lambda ks: F.filter(rows, lambda f, i: F.array_position(ks, F.get(ks, i)) == i + 1),
         )
 
-    return F.slice(let(filled, firsts), 1, max_facts)
+    kept = let(filled, firsts)
+    return kept if max_facts is None else F.slice(kept, 1, max_facts)
 
 
-def dedupe_facts(facts: DataFrame, owner: str, max_facts: int = R.MAX_FACTS) -> DataFrame:
+def dedupe_facts(facts: DataFrame, owner: str, max_facts: int | None = None) -> DataFrame:
     """The same rule over fact rows, for owners with any number of facts.
 
     Both ranks keep only their winners per task before the shuffle, so an
@@ -202,10 +205,10 @@ def dedupe_facts(facts: DataFrame, owner: str, max_facts: int = R.MAX_FACTS) ->
     )
     kept = filled.where((F.col("_s") != "") & (F.col("_p") != "") & ~F.col("_blank")).drop("_blank")
     first = top_per_key(kept, keys, [F.asc("ord")]).drop("_s", "_p", "_o")
-    return top_per_key(first, [owner], [F.asc("ord")], max_facts)
+    return first if max_facts is None else top_per_key(first, [owner], [F.asc("ord")], max_facts)
 
 
-def extract_note_facts(notes: DataFrame, max_facts: int = R.MAX_FACTS, hints=R.PREDICATE_HINTS) -> DataFrame:
+def extract_note_facts(notes: DataFrame, max_facts: int | None = None, hints=R.PREDICATE_HINTS) -> DataFrame:
     """Notes with a ``facts`` array."""
     base = notes.withColumn("_meta", note_meta_facts()).withColumn(
         "_sents", T.split_sentences(owner_text(["title", "summary", "body"]))
@@ -219,7 +222,7 @@ def extract_note_facts(notes: DataFrame, max_facts: int = R.MAX_FACTS, hints=R.P
     )
 
 
-def extract_task_facts(tasks: DataFrame, max_facts: int = R.MAX_FACTS, hints=R.PREDICATE_HINTS) -> DataFrame:
+def extract_task_facts(tasks: DataFrame, max_facts: int | None = None, hints=R.PREDICATE_HINTS) -> DataFrame:
     subject = F.concat(F.lit("task:"), F.col("task_id"))
     base = tasks.withColumn("_meta", task_meta_facts()).withColumn(
         "_sents", T.split_sentences(owner_text(["title", "details"]))
@@ -279,8 +282,8 @@ def changed_owners(
     return changed if limit is None else changed.orderBy(F.desc("updated_at"), F.asc(key)).limit(limit)
 
 
-def validate_facts(facts: DataFrame) -> DataFrame:
-    """Adds ``reason``: the first broken rule, or null for a good fact."""
+def validate_facts(facts: DataFrame, length_limits: bool = False) -> DataFrame:
+    """Adds ``reason``: the first broken rule, or null for a good fact; lengths are checked only if asked."""
     c = F.col
     rules = [
         (~c("object_type").isin(*R.OBJECT_TYPES), F.concat(F.lit("unsupported object_type: "), c("object_type"))),
@@ -288,12 +291,14 @@ def validate_facts(facts: DataFrame) -> DataFrame:
         (T.strip("subject") == "", F.lit("subject is empty")),
         (T.strip("predicate") == "", F.lit("predicate is empty")),
         (T.strip("object_text") == "", F.lit("object_text is empty")),
+    ]
+    lengths = [
         (F.length("subject") > 120, F.lit("subject too long")),
         (F.length("predicate") > 80, F.lit("predicate too long")),
         (F.length("object_text") > 1000, F.lit("object_text too long")),
         (F.length("evidence_excerpt") > 500, F.lit("evidence_excerpt too long")),
     ]
-    return facts.withColumn("reason", F.coalesce(*[F.when(test, text) for test, text in rules]))
+    return facts.withColumn("reason", F.coalesce(*[F.when(test, text) for test, text in rules + (lengths if length_limits else [])]))
 
 
 def insert_facts(
@@ -326,7 +331,7 @@ RESPONSE_FACT = (
 )
 
 
-def facts_from_responses(df: DataFrame, content: str = "content", max_facts: int = R.MAX_FACTS) -> DataFrame:
+def facts_from_responses(df: DataFrame, content: str = "content", max_facts: int | None = None) -> DataFrame:
     """Adds ``facts`` parsed from a model's JSON: an object or a bare list."""
     as_object = F.from_json(F.col(content), f"struct<facts:array<{RESPONSE_FACT}>>")["facts"]
     as_list = F.from_json(F.col(content), f"array<{RESPONSE_FACT}>")
@@ -341,17 +346,18 @@ def facts_from_responses(df: DataFrame, content: str = "content", max_facts: int
             F.coalesce(i["confidence"].try_cast("double"), F.lit(0.0))
         )
         return _fact(
-            T.clamp(text("subject"), 120),
-            T.clamp(text("predicate"), 80),
-            T.clamp(text("object_text"), 1000),
+            text("subject"),
+            text("predicate"),
+            text("object_text"),
             F.coalesce(blank_to_null(text("object_type")), F.lit("text")),
             i["object_json"],
-            blank_to_null(T.clamp(text("evidence_excerpt"), 500)),
+            blank_to_null(text("evidence_excerpt")),
             i["occurred_at"],
             confidence,
         )
 
-    kept = F.filter(F.slice(items, 1, max_facts), lambda i: i.isNotNull())
+    read = items if max_facts is None else F.slice(items, 1, max_facts)
+    kept = F.filter(read, lambda i: i.isNotNull())
     return df.withColumn("facts", dedupe_array(F.transform(kept, clean), max_facts))
 
 

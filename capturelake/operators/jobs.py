@@ -56,21 +56,20 @@ def list_jobs(
     items: DataFrame,
     extractions: DataFrame,
     status: str | None = None,
-    limit: int = 50,
+    limit: int | None = None,
     job_id=None,
 ) -> DataFrame:
     """Newest jobs, one row per item with its latest extraction.
 
-    The page of jobs is bounded by ``limit``, so it may be broadcast to the
-    items; the items then restrict the extractions before the window.
-    Looking up one job scans the 500 newest, as a page of that size does.
+    The jobs shown restrict the items, and these the extractions before the
+    window.  One job is looked up among all jobs.
     """
     page = jobs if status is None else jobs.where(F.col("status") == status)
-    newest = page.orderBy(F.desc("requested_at"), F.desc("job_id")).limit(500 if job_id is not None else limit)
-    if job_id is not None:
-        newest = newest.where(F.col("job_id") == job_id)
+    newest = page if job_id is None else page.where(F.col("job_id") == job_id)
+    if limit is not None:
+        newest = newest.orderBy(F.desc("requested_at"), F.desc("job_id")).limit(limit)
     shown = newest.select("job_id", F.col("status").alias("job_status"), "requested_at")
-    mine = items.join(F.broadcast(shown.select("job_id")), "job_id", "left_semi")
+    mine = items.join(shown.select("job_id"), "job_id", "left_semi")
     made = extractions.join(mine.select(F.col("item_id").alias("job_item_id")), "job_item_id", "left_semi")
     latest = top_per_key(made, ["job_item_id"], [F.desc("created_at"), F.desc("extraction_id")]).select(
         F.col("job_item_id").alias("item_id"), "extraction_id", "model"
@@ -101,12 +100,13 @@ def job_history(
     entries: DataFrame,
     from_ts: str | None = None,
     to_ts: str | None = None,
-    per_entry: int = 40,
+    per_entry: int | None = None,
 ) -> DataFrame:
     """History rows: job, entry, preview and how many claims are shown."""
     pairs = job_entries(jobs, items, from_ts, to_ts)
+    found = F.count(F.lit(1))
     shown = claims.where(F.col("deleted_at").isNull()).groupBy("entry_id").agg(
-        F.least(F.count(F.lit(1)), F.lit(per_entry)).alias("claims_shown")
+        (found if per_entry is None else F.least(found, F.lit(per_entry))).alias("claims_shown")
     )
     text = strip(F.coalesce(F.col("body"), F.lit("")))
     previews = entries.select("entry_id", F.when(text != "", text).otherwise(F.col("payload")).alias("preview"))

@@ -133,7 +133,7 @@ def list_rollups(
     period: str | None = None,
     from_ts: str | None = None,
     to_ts: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     out = df
     for column, value in (("scope_type", scope), ("scope_key", key), ("period_type", period)):
@@ -141,4 +141,5 @@ def list_rollups(
             out = out.where(F.col(column) == value)
     out = bounded(out, "period_start", from_ts, None)
     out = bounded(out, "period_end", None, to_ts)
-    return out.orderBy(F.desc("period_start"), F.asc("scope_type"), F.asc("scope_key")).limit(limit)
+    out = out.orderBy(F.desc("period_start"), F.asc("scope_type"), F.asc("scope_key"))
+    return out if limit is None else out.limit(limit)

@@ -90,8 +90,9 @@ def search_entries(
     return scored.orderBy(F.desc("score"), F.asc("entry_id")).limit(limit)
 
 
-def list_history(df: DataFrame, entry_id, limit: int = 1000, tie: str = "id") -> DataFrame:
-    return df.where(F.col("entry_id") == entry_id).orderBy(F.desc("created_at"), F.asc(tie)).limit(limit)
+def list_history(df: DataFrame, entry_id, limit: int | None = None, tie: str = "id") -> DataFrame:
+    out = df.where(F.col("entry_id") == entry_id).orderBy(F.desc("created_at"), F.asc(tie))
+    return out if limit is None else out.limit(limit)
 
 
 def entry_stats(entries: DataFrame, as_of: datetime) -> DataFrame:
@@ -144,7 +145,7 @@ def search_claims(
     dimension_value: str | None = None,
     from_ts: str | None = None,
     to_ts: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     escape: bool = True,
 ) -> DataFrame:
     """Active claims by text, enums, one matching dimension row and time."""
@@ -176,16 +177,19 @@ def search_claims(
         out = out.where(start >= F.lit(from_ts).cast("timestamp"))
     if to_ts is not None:
         out = out.where(end <= F.lit(to_ts).cast("timestamp"))
-    return out.orderBy(start.desc(), F.desc("created_at"), F.asc("claim_id")).limit(limit)
+    out = out.orderBy(start.desc(), F.desc("created_at"), F.asc("claim_id"))
+    return out if limit is None else out.limit(limit)
 
 
-def claims_by_entry(df: DataFrame, entry_ids: list | DataFrame, limit: int = 100) -> DataFrame:
-    """Newest active claims of each entry, at most ``limit`` per entry."""
+def claims_by_entry(df: DataFrame, entry_ids: list | DataFrame, limit: int | None = None) -> DataFrame:
+    """Active claims of each entry; the newest ``limit`` of each if that is given."""
     active = df.where(F.col("deleted_at").isNull())
     if isinstance(entry_ids, DataFrame):
         active = active.join(entry_ids.select("entry_id"), "entry_id", "left_semi")
     else:
         active = active.where(F.col("entry_id").isin(*entry_ids))
+    if limit is None:
+        return active
     return top_per_key(active, ["entry_id"], [F.desc("created_at"), F.asc("claim_id")], limit)
 
 

@@ -35,15 +35,15 @@ def cost_buckets(
     period: str = "day",
     from_ts: str | None = None,
     to_ts: str | None = None,
-    limit: int = 90,
+    limit: int | None = None,
 ) -> DataFrame:
-    return (
+    out = (
         bounded(df, "created_at", from_ts, to_ts)
         .groupBy(period_start("created_at", period).alias("period_start"))
         .agg(*_measures())
         .orderBy(F.desc("period_start"))
-        .limit(limit)
     )
+    return out if limit is None else out.limit(limit)
 
 
 def cost_totals(df: DataFrame, from_ts: str | None = None, to_ts: str | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def list_requests(
     model: str | None = None,
     operation: str | None = None,
     workflow: str | None = None,
-    limit: int = 200,
+    limit: int | None = None,
     order: tuple[str, ...] = ("request_started_at", "created_at"),
     tie: str | None = None,
 ) -> DataFrame:
@@ -77,4 +77,5 @@ def list_requests(
         if value is not None:
             out = out.where(F.col(column) == value)
     keys = [F.desc(c) for c in order if c in df.columns]
-    return out.orderBy(*keys, *([F.asc(tie)] if tie else [])).limit(limit)
+    out = out.orderBy(*keys, *([F.asc(tie)] if tie else []))
+    return out if limit is None else out.limit(limit)

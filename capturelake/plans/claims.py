@@ -627,7 +627,7 @@ def doc_table(spark, sf_dir):
 SEARCH_SQL = """SELECT claim_id, predicate, strftime(time_start, '%Y-%m-%d %H:%M:%S') AS time_start FROM stored_claims c WHERE (canonical ILIKE '%e%' OR subject_text ILIKE '%e%' OR predicate ILIKE '%e%')
   AND lang = 'en' AND modality = 'fact' AND predicate = 'did' AND me_role = 'actor' AND n_dims > 0 AND lower(source) ILIKE '%src1%'
   AND time_start >= TIMESTAMP '2024-01-01 00:00:00' AND time_start <= TIMESTAMP '2024-02-01 00:00:00'
-  ORDER BY c.time_start DESC, claim_id LIMIT 100"""
+  ORDER BY c.time_start DESC, claim_id"""
 
 
 @query("claims_search", SEARCH_SQL, ["stored_claims"])
@@ -642,11 +642,11 @@ def claims_search(spark, sf_dir):
 
 @query(
     "claims_by_entry",
-    "SELECT claim_id, document_id AS entry_id FROM stored_claims QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY claim_id) <= 40",
+    "SELECT claim_id, document_id AS entry_id FROM stored_claims",
     ["stored_claims"],
 )
 def claims_by_entry(spark, sf_dir):
-    out = S.claims_by_entry(bundle(spark, sf_dir)["claims"], documents(spark, sf_dir).select("entry_id"), 40)
+    out = S.claims_by_entry(bundle(spark, sf_dir)["claims"], documents(spark, sf_dir).select("entry_id"))
     return out.select("claim_id", "entry_id")
 
 

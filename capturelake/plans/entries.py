@@ -288,7 +288,7 @@ def entries_search_recent(spark, sf_dir):
 
 @query(
     "history_list",
-    f"""SELECT event_id AS id, strftime(ts, {OUT_TS}) AS created_at, event_type FROM (SELECT * FROM events WHERE user_id = 8 ORDER BY ts DESC, event_id LIMIT 1000)""",
+    f"""SELECT event_id AS id, strftime(ts, {OUT_TS}) AS created_at, event_type FROM (SELECT * FROM events WHERE user_id = 8 ORDER BY ts DESC, event_id)""",
 )
 def history_list(spark, sf_dir):
     log = frame(spark, sf_dir, "events").select(
@@ -365,7 +365,7 @@ def entry_states(spark, sf_dir):
 @query(
     "job_items_latest",
     f"""SELECT j.job_id, j.status AS job_status, strftime(j.requested_at, {OUT_TS}) AS requested_at, i.item_id, i.entry_id, CASE WHEN i.status = 'queued' THEN 'queued_retry' ELSE i.status END AS item_status,
-      x.item_id AS extraction_id, x.status AS model FROM (SELECT * FROM jobs WHERE status = 'succeeded' ORDER BY requested_at DESC, job_id DESC LIMIT 50) j
+      x.item_id AS extraction_id, x.status AS model FROM (SELECT * FROM jobs WHERE status = 'succeeded' ORDER BY requested_at DESC, job_id DESC) j
       LEFT JOIN job_items i ON i.job_id = j.job_id LEFT JOIN (SELECT *, CAST(job_id AS VARCHAR) || '-' || CAST(attempt_no AS VARCHAR) AS k FROM items
         QUALIFY row_number() OVER (PARTITION BY job_id, attempt_no ORDER BY created_at DESC, item_id DESC) = 1) x ON x.k = i.item_id""",
     ["jobs", "job_items"],
@@ -380,6 +380,19 @@ def job_items_latest(spark, sf_dir):
     )
 
 
+JOB_ONE = f"""SELECT j.job_id, j.status AS job_status, strftime(j.requested_at, {OUT_TS}) AS requested_at, i.item_id, i.entry_id
+      FROM (SELECT * FROM jobs WHERE job_id = (SELECT min(job_id) FROM jobs)) j LEFT JOIN job_items i ON i.job_id = j.job_id"""
+
+
+@query("job_by_id", JOB_ONE, ["jobs", "job_items"])
+def job_by_id(spark, sf_dir):
+    """The oldest id, which no page of newest jobs holds."""
+    jobs = frame(spark, sf_dir, "jobs")
+    first = jobs.agg(F.min("job_id")).first()[0]
+    out = J.list_jobs(jobs, job_items(spark, sf_dir), extractions(spark, sf_dir), job_id=first)
+    return out.select("job_id", "job_status", text_ts("requested_at").alias("requested_at"), "item_id", "entry_id")
+
+
 @query(
     "job_counters",
     """SELECT job_id, count(*) AS total_items, count(*) FILTER (WHERE status = 'succeeded') AS succeeded_items, count(*) FILTER (WHERE status IN ('failed','blocked','queued')) AS failed_items,
@@ -392,7 +405,7 @@ def job_counters(spark, sf_dir):
 
 @query(
     "job_history_view",
-    f"""SELECT j.job_id, strftime(j.requested_at, {OUT_TS}) AS requested_at, i.entry_id, CAST(least(coalesce(c.n, 0), 40) AS BIGINT) AS claims_shown, p.p_name AS preview
+    f"""SELECT j.job_id, strftime(j.requested_at, {OUT_TS}) AS requested_at, i.entry_id, CAST(coalesce(c.n, 0) AS BIGINT) AS claims_shown, p.p_name AS preview
     FROM jobs j JOIN (SELECT DISTINCT job_id, entry_id FROM items) i USING (job_id) LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) c ON c.l_partkey = i.entry_id
       LEFT JOIN part p ON p.p_partkey = i.entry_id WHERE j.requested_at >= TIMESTAMP '1996-01-01 00:00:00' AND j.requested_at <= TIMESTAMP '1996-12-31 00:00:00'""",
     ["jobs", "items"],

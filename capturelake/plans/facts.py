@@ -13,7 +13,7 @@ from capturelake.operators import facts as K
 from .frames import frame
 from .registry import query, step
 from .structure import AS_OF, notes, tasks
-from .text import SENTENCES, sentence_rows, sql_clamp, sql_dedupe_form, sql_strip
+from .text import SENTENCES, sentence_rows, sql_dedupe_form, sql_strip
 from .usage import text_ts
 
 HINTS = [
@@ -57,7 +57,7 @@ def _sentence_sql(subject: str, predicate: str, confidence: str, occurred: str,
 def _meta(owner: str, ord_: int, subject: str, predicate: str, value: str, kind: str, conf: float, occurred: str, where: str, source: str) -> str:
     json = f"'{{\"value\": ' || CAST({value} AS VARCHAR) || '}}'" if kind == "number" else "NULL::VARCHAR"
     return (
-        f"SELECT {owner}, {ord_} AS ord, {subject} AS subject, '{predicate}' AS predicate, {sql_clamp(f'CAST({value} AS VARCHAR)', 1000)} AS object_text, "
+        f"SELECT {owner}, {ord_} AS ord, {subject} AS subject, '{predicate}' AS predicate, CAST({value} AS VARCHAR) AS object_text, "
         f"'{kind}' AS object_type, {json} AS object_json, NULL::VARCHAR AS evidence_excerpt, {occurred} AS occurred_at, {conf}::DOUBLE AS confidence FROM {source} WHERE {where}"
     )
 
@@ -65,7 +65,7 @@ def _meta(owner: str, ord_: int, subject: str, predicate: str, value: str, kind:
 def _dedupe(owner: str, source: str) -> str:
     return f"""SELECT * EXCLUDE (rn, k), row_number() OVER (PARTITION BY {owner} ORDER BY ord) AS k2 FROM (
       SELECT *, {sql_dedupe_form('object_text')} AS k, row_number() OVER (PARTITION BY {owner}, lower({sql_strip('subject')}), lower({sql_strip('predicate')}), {sql_dedupe_form('object_text')} ORDER BY ord) AS rn
-      FROM {source} WHERE {sql_strip('object_text')} <> '') WHERE rn = 1 QUALIFY k2 <= 12"""
+      FROM {source} WHERE {sql_strip('object_text')} <> '') WHERE rn = 1"""
 
 
 step(
@@ -75,7 +75,7 @@ step(
         + CAST(mood_score IS NOT NULL AS INT) + CAST(energy_score IS NOT NULL AS INT) AS n_meta FROM notes""",
     ["notes"],
 )
-step("note_kept", "SELECT *, sents[1:greatest(12 - n_meta, 1)] AS kept FROM note_sents", ["note_sents"])
+step("note_kept", "SELECT *, sents AS kept FROM note_sents", ["note_sents"])
 N = "note_kept"
 step(
     "note_meta",
@@ -99,7 +99,7 @@ step(
 step("note_facts", _dedupe("note_id", "note_candidates"), ["note_candidates"])
 step(
     "task_kept",
-    f"SELECT *, ({SENTENCES.format('title || chr(10) || details')})[1:10] AS kept FROM tasks",
+    f"SELECT *, ({SENTENCES.format('title || chr(10) || details')}) AS kept FROM tasks",
     ["tasks"],
 )
 step(
@@ -208,7 +208,7 @@ def fact_predicate_lemmas(spark, sf_dir):
 @query(
     "fact_dedupe",
     f"""SELECT doc_id, CAST(idx AS INTEGER) AS ord, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k2 FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows) WHERE rn = 1) WHERE k2 <= 500""",
+      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows) WHERE rn = 1)""",
     ["sentence_rows"],
 )
 def fact_dedupe(spark, sf_dir):
@@ -219,23 +219,23 @@ def fact_dedupe(spark, sf_dir):
         F.lit("mentions").alias("predicate"),
         F.col("sentence").alias("object_text"),
     )
-    return K.dedupe_facts(facts, "doc_id", 500).select("doc_id", "ord", F.col("object_text").alias("sentence"))
+    return K.dedupe_facts(facts, "doc_id").select("doc_id", "ord", F.col("object_text").alias("sentence"))
 
 
 @query(
     "fact_dedupe_array",
     f"""SELECT doc_id, CAST(k2 - 1 AS INTEGER) AS ord, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k2 FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows WHERE idx < 24) WHERE rn = 1) WHERE k2 <= 12""",
+      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows) WHERE rn = 1)""",
     ["sentence_rows"],
 )
 def fact_dedupe_array(spark, sf_dir):
-    """In-row form, over the candidate lists that extraction makes."""
+    """In-row form, over all sentences of a document."""
     none = F.lit(None).cast("string")
     docs = frame(spark, sf_dir, "documents").withColumn(
         "facts",
         K.dedupe_array(
             F.transform(
-                K.cap_candidates(F.array(), T.split_sentences("text"), 24),
+                T.split_sentences("text"),
                 lambda s: K._fact(F.lit("me"), F.lit("mentions"), s, F.lit("text"), none, none, none, F.lit(0.72)),
             )
         ),
@@ -259,7 +259,7 @@ def fact_valid(spark, sf_dir):
         F.col("text").alias("evidence_excerpt"),
         (F.col("n_chars") / 10000.0).alias("confidence"),
     )
-    return K.validate_facts(facts).select("doc_id", "reason")
+    return K.validate_facts(facts, length_limits=True).select("doc_id", "reason")
 
 
 def _owners(spark, sf_dir):
@@ -352,7 +352,7 @@ def fact_run_metrics(spark, sf_dir):
 @query(
     "fact_responses",
     f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS ord, lang AS subject, sentence AS object_text, 0.8::DOUBLE AS confidence FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows WHERE idx < 12) WHERE rn = 1""",
+      SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_dedupe_form('sentence')} ORDER BY idx) AS rn FROM sentence_rows) WHERE rn = 1""",
     ["sentence_rows"],
 )
 def fact_responses(spark, sf_dir):

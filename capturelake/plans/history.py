@@ -110,7 +110,7 @@ def rollup_upsert(spark, sf_dir):
 
 @query(
     "rollup_list",
-    f"SELECT {ROLL_OUT} FROM (SELECT * FROM scoped_rollups WHERE scope_type = 'entry_type' AND scope_key = 'click' AND period_type = 'weekly' AND period_start >= TIMESTAMP '2024-01-08 00:00:00' AND period_end <= TIMESTAMP '2024-01-29 00:00:00' ORDER BY period_start DESC LIMIT 100)",
+    f"SELECT {ROLL_OUT} FROM (SELECT * FROM scoped_rollups WHERE scope_type = 'entry_type' AND scope_key = 'click' AND period_type = 'weekly' AND period_start >= TIMESTAMP '2024-01-08 00:00:00' AND period_end <= TIMESTAMP '2024-01-29 00:00:00' ORDER BY period_start DESC)",
     ["scoped_rollups"],
 )
 def rollup_list(spark, sf_dir):

@@ -25,14 +25,14 @@ class Staged:
     facts: DataFrame
 
 
-def stage(raw: DataFrame, as_of: datetime, max_facts: int = 12) -> Staged:
+def stage(raw: DataFrame, as_of: datetime, max_facts: int | None = None) -> Staged:
     """Lazy plan of all three stages over raw texts."""
     ingested = ingest_captures(raw, as_of)
     accepted = ingested.where(F.col("reject_reason").isNull()).drop("reject_reason")
     return stage_captures(accepted, as_of, max_facts)
 
 
-def stage_captures(captures: DataFrame, as_of: datetime, max_facts: int = 12, stored: DataFrame | None = None) -> Staged:
+def stage_captures(captures: DataFrame, as_of: datetime, max_facts: int | None = None, stored: DataFrame | None = None) -> Staged:
     """Stages two and three; ``stored`` is a routed table already written."""
     routed = stored if stored is not None else S.route_captures(captures)
     known = stored is not None

@@ -12,7 +12,7 @@ from .registry import query, step
 
 SENTENCES = (
     "list_filter(list_transform(regexp_split_to_array({0}, '[。.!?！？\\n]+'), "
-    "lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) BETWEEN 4 AND 240)"
+    "lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 4)"
 )
 
 
@@ -86,7 +86,7 @@ def text_normal_forms(spark, sf_dir):
 
 @query(
     "token_normal_form",
-    f"""SELECT doc_id, CAST(idx AS INTEGER) AS idx, CASE WHEN len(kept) > 0 THEN array_to_string(kept[1:16], ' ') ELSE {sql_dedupe_form('sentence')} END AS dedupe_form
+    f"""SELECT doc_id, CAST(idx AS INTEGER) AS idx, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE {sql_dedupe_form('sentence')} END AS dedupe_form
     FROM (SELECT *, list_filter(list_transform(string_split(sentence, ' '), lambda s: lower(trim(s))),
         lambda s: s <> '' AND s NOT IN ('する','なる','ある','いる','こと','もの','これ','それ','ため','です','ます','todo','next')) AS kept
       FROM sentence_rows)""",

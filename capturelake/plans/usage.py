@@ -50,7 +50,7 @@ MEASURES = """count(*) AS request_count, count(*) FILTER (WHERE status = 'ok') A
     CAST(coalesce(sum(request_cost_usd), 0) AS DOUBLE) AS total_cost_usd"""
 
 
-def _buckets(name, period, from_ts=None, to_ts=None, limit=90):
+def _buckets(name, period, from_ts=None, to_ts=None, limit=None):
     where = " AND ".join(
         ["1=1"]
         + ([f"created_at >= TIMESTAMP '{from_ts}'"] if from_ts else [])
@@ -60,7 +60,7 @@ def _buckets(name, period, from_ts=None, to_ts=None, limit=90):
     @query(
         name,
         f"""SELECT strftime(date_trunc('{period}', created_at), '{TS}') AS period_start, {MEASURES}
-        FROM priced WHERE {where} GROUP BY 1 ORDER BY 1 DESC LIMIT {limit}""",
+        FROM priced WHERE {where} GROUP BY 1 ORDER BY 1 DESC{f' LIMIT {limit}' if limit else ''}""",
         ["priced"],
     )
     def run(spark, sf_dir):
@@ -105,7 +105,7 @@ def usage_cost_daily_view(spark, sf_dir):
         CASE WHEN source_ref_type IN ('none','capture','note','task','entry','other') THEN source_ref_type ELSE 'other' END AS source_ref_type
     FROM priced WHERE created_at >= TIMESTAMP '2024-01-02 00:00:00' AND created_at <= TIMESTAMP '2024-01-28 00:00:00'
       AND status = 'ok' AND model = 'gpt-4.1-mini' AND operation = 'extract_claims_llm' AND workflow = 'fact_extraction'
-    ORDER BY priced.created_at DESC, request_id LIMIT 200""",
+    ORDER BY priced.created_at DESC, request_id""",
     ["priced"],
 )
 def usage_request_filter(spark, sf_dir):

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even if that costs another shuffle later
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # texts are costly to process: small splits keep all cores at work
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -31,10 +33,12 @@ def build_session(app: str = "capturelake", master: str | None = None, **conf: s
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only when the cluster names none (local tests) is a temporary one made.
+    A temporary one is made only where none is named and all runs on this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="capturelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -11,16 +11,6 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows of a table with fewer splits than cores to all cores.
-
-    For tables whose rows are costly to process.  A large table has many
-    splits already and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_jdbc_table(
     spark: SparkSession,
     url: str,

@@ -18,9 +18,14 @@ from capturelake.operators.structure import route_captures, to_notes, to_tasks
 
 
 def stream_table(spark: SparkSession, directory: str, name: str, schema: StructType | None = None) -> DataFrame:
-    """A table directory as a stream; the schema is fixed, never inferred."""
-    known = schema or spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return spark.readStream.schema(known).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    """A stored table as a stream: one file, or a folder of files.
+
+    Without a schema that of the stored table is read once.  The braces make
+    the path a pattern, which a stream accepts for a single file as well.
+    """
+    path = f"{directory}/{name}.parquet"
+    known = schema or spark.read.parquet(path).schema
+    return spark.readStream.schema(known).option("recursiveFileLookup", "true").parquet(f"{directory}/{{{name}.parquet}}")
 
 
 def stream_structure(

@@ -120,27 +120,11 @@ def test_augment_is_ordered(spark):
     assert len(out) == 2
 
 
-def plain_cover(clause, texts):
-    import re
-
-    def norm(t):
-        return re.sub("[。、！？・,.;:()（）「」『』\"'`]", "", re.sub(r"\s+", "", t).lower())
-
-    def grams(t):
-        return {t} if 0 < len(t) <= 2 else {t[i : i + 2] for i in range(len(t) - 1)}
-
-    c = norm(clause)
-    for t in map(norm, texts):
-        if t and (t in c or c in t or len(grams(t) & grams(c)) / max(1, min(len(grams(t)), len(grams(c)))) >= 0.55):
-            return True
-    return not c
-
-
-def test_coverage_equals_brute_force(spark):
+def test_coverage(spark):
     clauses = ["資料を作った", "abc def", "会議の準備をした", "。。", "xyz"]
     texts = ["資料を 作ったあと", "ABC-DEF", "会議準備", ""]
     df = spark.createDataFrame([(clauses, texts)], "c array<string>, t array<string>")
-    assert C.covered_clauses(df, "c", "t").first()["covered"] == [plain_cover(c, texts) for c in clauses]
+    assert C.covered_clauses(df, "c", "t").first()["covered"] == [True, True, True, True, False]
 
 
 def test_causes_and_context(spark):
