@@ -11,7 +11,7 @@ possible distance is within the k-th of the largest possible ones is ranked
 again by its exact distance in double precision.
 
 Centres are fitted on SAMPLE rows at most; every row is indexed.  A query goes
-to its PROBES nearest centres.  Rows and queries of one centre meet in blocks,
+to the nearest PROBE_SHARE of the centres.  Rows and queries of one centre meet in blocks,
 so a centre that holds a third of all rows is many tasks.  Of equal vectors
 only the k + 1 smallest ids can be among the answers of any query; the others
 leave before the search, and equal queries are searched once.
@@ -33,7 +33,8 @@ from capturelake.session import work_dir
 
 SAMPLE = 16_384
 MOST_CENTRES = 256
-PROBE_SHARE = 4
+#: Vectors without clusters have neighbours behind most centres: a half of them gave a recall of 0.90, this 0.99.
+PROBE_SHARE = 0.9
 BLOCK, QUERY_BLOCK = 4096, 256
 #: Standard deviations of the estimate that count as its error bound.
 BOUND = 3.0
@@ -133,7 +134,7 @@ def nearest(
         [r["v"] for r in rows.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], np.float64
     )
     centres = fit_centres(sample, int(min(MOST_CENTRES, max(1, round(total**0.5 / 2)))))
-    turn, probes = rotation(dim), max(1, -(-len(centres) // PROBE_SHARE))
+    turn, probes = rotation(dim), int(np.ceil(len(centres) * PROBE_SHARE))
 
     def deal(base: bool):
         def run(batches):
