@@ -14,7 +14,8 @@ shingle sets.  A block gives link counts and one edge a node, not pairs.
 Defined results: words are what white space parts, in lower case; a text of
 fewer words than a shingle is one shingle; null and empty texts are equal
 texts without links to others; repeated rows count as copies; null ids are
-kept, and the class id is the smallest non-null id; an empty table gives an empty result;
+kept, a text with null ids only has no links to others, and the class id is the
+smallest non-null id; an empty table gives an empty result;
 columns beyond id and text are not read.
 """
 
@@ -195,8 +196,10 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     nodes.write.parquet(f"{where}/nodes")
     nodes = spark.read.parquet(f"{where}/nodes")
-    one = rows.where("text != ''").join(nodes.select("node", "id"), ["node", "id"]).select("id", "node", "text")
-    one.mapInArrow(sign, f"id {id_type}, node binary, sig binary, bands array<bigint>").dropDuplicates(["node"]).write.parquet(
+    # repeated rows leave within the join's own partitions
+    met_texts = rows.where("text != ''").join(nodes.select("node", "id"), ["node", "id"])
+    one = met_texts.dropDuplicates(["node", "id"]).select("id", "node", "text")
+    one.mapInArrow(sign, f"id {id_type}, node binary, sig binary, bands array<bigint>").write.parquet(
         f"{where}/signed"
     )
     signed = spark.read.parquet(f"{where}/signed")
@@ -226,9 +229,9 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
 
     texts = (
         rows.join(placed.join(nodes, "node").select("node", "id"), ["node", "id"])
+        .dropDuplicates(["node", "id"])
         .select("node", "text")
         .mapInArrow(gather, "node binary, grams binary")
-        .dropDuplicates(["node"])
     )
 
     def meet(key, frame):
