@@ -102,7 +102,8 @@ def test_note_facts_order_and_types(spark):
 
 def test_candidate_cap_keeps_one_sentence(spark):
     text = ". ".join(f"sentence number {i}" for i in range(30))
-    assert len(K.extract_note_facts(note(spark, text)).first()["facts"]) == 12
+    assert len(K.extract_note_facts(note(spark, text)).first()["facts"]) == 30
+    assert len(K.extract_note_facts(note(spark, text), 12).first()["facts"]) == 12
     assert len(K.extract_note_facts(note(spark, text, summary="s u m"), max_facts=1).first()["facts"]) == 1
 
 
