@@ -18,6 +18,11 @@ def as_col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def head(c: ColumnOrName, n: int | None) -> Column:
+    """The first ``n`` characters, or the whole text without ``n``."""
+    return as_col(c) if n is None else F.substring(as_col(c), 1, n)
+
+
 def rx(pattern: str, ci: bool = False) -> str:
     return ("(?Ui)" if ci else "(?U)") + pattern
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .rx import ColumnOrName, as_col, blank_to_null, extract, let, matches, replace_all, rx, str_array
+from .rx import ColumnOrName, as_col, blank_to_null, extract, head, let, matches, replace_all, rx, str_array
 
 
 # every Unicode whitespace character; trimming a character set is one pass
@@ -148,12 +148,10 @@ def has_cjk(c: ColumnOrName) -> Column:
     return as_col(c).rlike(R.CJK)
 
 
-def normalize_subject(c: ColumnOrName) -> Column:
+def normalize_subject(c: ColumnOrName, max_chars: int | None = None) -> Column:
     return let(
         strip(c),
-        lambda v: F.when((v == "") | matches(v, R.ME_WORDS, ci=True), F.lit("me")).otherwise(
-            F.substring(v, 1, 120)
-        ),
+        lambda v: F.when((v == "") | matches(v, R.ME_WORDS, ci=True), F.lit("me")).otherwise(head(v, max_chars)),
     )
 
 
@@ -162,10 +160,10 @@ def normalize_time_prefix(c: ColumnOrName) -> Column:
     return F.regexp_replace(value, R.TIME_PREFIX, "$1に")
 
 
-def extract_topic(c: ColumnOrName) -> Column:
-    """Topic named by a text, or null."""
+def extract_topic(c: ColumnOrName, max_chars: int | None = None) -> Column:
+    """Topic named by a text, or null; whole unless ``max_chars`` is given."""
     value = strip(c)
-    named = blank_to_null(F.substring(strip(F.regexp_extract(value, R.TOPIC_SUBJECT, 1)), 1, 24))
+    named = blank_to_null(head(strip(F.regexp_extract(value, R.TOPIC_SUBJECT, 1)), max_chars))
     return F.coalesce(named, extract(value, R.TOPIC_HINT, 1, ci=True))
 
 

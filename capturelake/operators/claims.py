@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
 from capturelake.functions import text as T
-from capturelake.functions.rx import blank_to_null, explode_rows, let, matches
+from capturelake.functions.rx import blank_to_null, explode_rows, head, let, matches
 from capturelake.functions.scalars import artifact_hash, at, expires_at, retry_at
 
 from .classify import canonicalize_predicate
@@ -36,6 +36,13 @@ LINK = "struct<from_idx:int,to_idx:int,relation_type:string,confidence:double>"
 
 # fixed values: limits of the older response format
 V1_CAPS = {"claims": 24, "spans": 4, "entities": 40, "aliases": 10, "links": 30}
+# fixed values: text lengths of the original job; texts stay whole unless these are passed as ``lengths``
+LENGTHS = {"subject": 120, "object": 1000, "name": 160, "excerpt": 500, "value": 200, "evidence": 200, "context": 180}
+Lengths = dict[str, int] | None
+
+
+def _cut(lengths: Lengths, kind: str) -> int | None:
+    return (lengths or {}).get(kind)
 
 
 def _record(kind: str, **fields: Column) -> Column:
@@ -64,7 +71,7 @@ def _list(v: Column, field: str, cap: int | None) -> Column:
     return items if cap is None else F.slice(items, 1, cap)
 
 
-def repair_spans(v: Column, cap: int | None = None) -> Column:
+def repair_spans(v: Column, cap: int | None = None, lengths: Lengths = None) -> Column:
     """Evidence spans of a claim: bad offsets become null, empty ones go."""
 
     def offsets(s: Column) -> Column:
@@ -74,19 +81,19 @@ def repair_spans(v: Column, cap: int | None = None) -> Column:
             SPAN,
             char_start=F.when(good, start),
             char_end=F.when(good, end),
-            excerpt=F.substring(_text(s, "excerpt"), 1, 500),
+            excerpt=head(_text(s, "excerpt"), _cut(lengths, "excerpt")),
         )
 
     return F.filter(F.transform(_list(v, "evidence_spans", cap), offsets), lambda s: s["excerpt"] != "")
 
 
-def filter_dimensions(v: Column) -> Column:
+def filter_dimensions(v: Column, lengths: Lengths = None) -> Column:
     def read(d: Column) -> Column:
         source = F.when(F.try_variant_get(d, "$.source", "string").isNull(), F.lit("llm")).otherwise(_text(d, "source"))
         return _record(
             DIMENSION,
             dimension_type=_text(d, "dimension_type"),
-            dimension_value=F.substring(_text(d, "dimension_value"), 1, 200),
+            dimension_value=head(_text(d, "dimension_value"), _cut(lengths, "value")),
             confidence=_number(d, "confidence"),
             source=source,
         )
@@ -100,7 +107,9 @@ def filter_dimensions(v: Column) -> Column:
     )
 
 
-def parse_claims(v: Column, caps: dict[str, int] | None = None, map_aliases: bool = False) -> Column:
+def parse_claims(
+    v: Column, caps: dict[str, int] | None = None, map_aliases: bool = False, lengths: Lengths = None
+) -> Column:
     """Valid claims of a response, in order.
 
     With ``caps`` the older format is read: no roles or dimensions, and the
@@ -118,20 +127,20 @@ def parse_claims(v: Column, caps: dict[str, int] | None = None, map_aliases: boo
         predicate = _text(c, "predicate")
         return _record(
             CLAIM,
-            subject_text=F.substring(_text(c, "subject_text"), 1, 120),
+            subject_text=head(_text(c, "subject_text"), _cut(lengths, "subject")),
             predicate=canonicalize_predicate(predicate, raw) if map_aliases else predicate,
-            object_text_raw=F.substring(raw, 1, 1000),
-            object_text_canonical=F.substring(canonical, 1, 1000),
+            object_text_raw=head(raw, _cut(lengths, "object")),
+            object_text_canonical=head(canonical, _cut(lengths, "object")),
             me_role=F.lit("none") if old else _text(c, "me_role"),
             modality=_text(c, "modality"),
             polarity=_text(c, "polarity"),
             certainty=_number(c, "certainty"),
             time_start_utc=blank_to_null(_text(c, "time_start_utc")),
             time_end_utc=blank_to_null(_text(c, "time_end_utc")),
-            subject_entity_name=blank_to_null(F.substring(_text(c, "subject_entity_name"), 1, 160)),
-            object_entity_name=blank_to_null(F.substring(_text(c, "object_entity_name"), 1, 160)),
-            dimensions=F.array().cast(f"array<{DIMENSION}>") if old else filter_dimensions(c),
-            evidence_spans=repair_spans(c, caps.get("spans")),
+            subject_entity_name=blank_to_null(head(_text(c, "subject_entity_name"), _cut(lengths, "name"))),
+            object_entity_name=blank_to_null(head(_text(c, "object_entity_name"), _cut(lengths, "name"))),
+            dimensions=F.array().cast(f"array<{DIMENSION}>") if old else filter_dimensions(c, lengths),
+            evidence_spans=repair_spans(c, caps.get("spans"), lengths),
         )
 
     return F.filter(
@@ -148,7 +157,7 @@ def parse_claims(v: Column, caps: dict[str, int] | None = None, map_aliases: boo
     )
 
 
-def parse_entities(v: Column, caps: dict[str, int] | None = None) -> Column:
+def parse_entities(v: Column, caps: dict[str, int] | None = None, lengths: Lengths = None) -> Column:
     caps = caps or {}
 
     def read(e: Column) -> Column:
@@ -156,10 +165,9 @@ def parse_entities(v: Column, caps: dict[str, int] | None = None) -> Column:
             _list(e, "aliases", caps.get("aliases")),
             lambda a: F.when(F.schema_of_variant(a) == "STRING", T.strip(F.try_variant_get(a, "$", "string"))),
         )
-        kept = F.transform(F.filter(aliases, lambda a: a.isNotNull() & (a != "")), lambda a: F.substring(a, 1, 160))
-        return _record(
-            ENTITY, name=F.substring(_text(e, "name"), 1, 160), entity_type=_text(e, "entity_type"), aliases=kept
-        )
+        cut = _cut(lengths, "name")
+        kept = F.transform(F.filter(aliases, lambda a: a.isNotNull() & (a != "")), lambda a: head(a, cut))
+        return _record(ENTITY, name=head(_text(e, "name"), cut), entity_type=_text(e, "entity_type"), aliases=kept)
 
     return F.filter(
         F.transform(_list(v, "entities", caps.get("entities")), read),
@@ -189,14 +197,18 @@ def parse_links(v: Column, caps: dict[str, int] | None = None) -> Column:
 
 
 def bundles_from_responses(
-    df: DataFrame, content: str = "content", caps: dict[str, int] | None = None, map_aliases: bool = False
+    df: DataFrame,
+    content: str = "content",
+    caps: dict[str, int] | None = None,
+    map_aliases: bool = False,
+    lengths: Lengths = None,
 ) -> DataFrame:
     """Adds claims, entities, links and parse_error to documents with content."""
     v = F.try_parse_json(F.col(content))
     parsed = df.withColumn("_v", v)
     return (
-        parsed.withColumn("claims", parse_claims(F.col("_v"), caps, map_aliases))
-        .withColumn("entities", parse_entities(F.col("_v"), caps))
+        parsed.withColumn("claims", parse_claims(F.col("_v"), caps, map_aliases, lengths))
+        .withColumn("entities", parse_entities(F.col("_v"), caps, lengths))
         .withColumn("links", parse_links(F.col("_v"), caps))
         .withColumn("parse_error", F.when(F.col("_v").isNull(), "content is not json"))
         .drop("_v")
@@ -206,33 +218,34 @@ def bundles_from_responses(
 # --- normalising ------------------------------------------------------------
 
 
-def restore_language(canonical: Column, spans: Column, raw_has_cjk: Column) -> Column:
+def restore_language(canonical: Column, spans: Column, raw_has_cjk: Column, lengths: Lengths = None) -> Column:
     """Translated objects go back to the words of their first excerpt."""
     excerpt = T.strip(F.get(spans, F.lit(0))["excerpt"])
     translated = raw_has_cjk & ~T.has_cjk(canonical) & F.coalesce(T.has_cjk(excerpt), F.lit(False))
-    return F.when(translated, F.substring(excerpt, 1, 1000)).otherwise(canonical)
+    return F.when(translated, head(excerpt, _cut(lengths, "object"))).otherwise(canonical)
 
 
-def ensure_evidence(spans: Column, canonical: Column, raw_head: Column) -> Column:
+def ensure_evidence(spans: Column, canonical: Column, raw: Column, lengths: Lengths = None) -> Column:
+    cut = _cut(lengths, "evidence")
     excerpt = F.coalesce(
-        blank_to_null(raw_head), blank_to_null(F.substring(canonical, 1, 200)), F.lit("evidence unavailable")
+        blank_to_null(head(raw, cut)), blank_to_null(head(canonical, cut)), F.lit("evidence unavailable")
     )
     none = F.lit(None).cast("int")
     one = F.array(_record(SPAN, char_start=none, char_end=none, excerpt=excerpt))
     return F.when(F.size(spans) == 0, one).otherwise(spans)
 
 
-def me_centric(b: DataFrame) -> DataFrame:
+def me_centric(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """Subject, predicate, object, role, time and evidence of every claim."""
     prepared = b.withColumn("_cjk", F.coalesce(T.has_cjk("raw_text"), F.lit(False))).withColumn(
-        "_head", F.substring(T.strip(F.coalesce(F.col("raw_text"), F.lit(""))), 1, 200)
+        "_raw", T.strip(F.coalesce(F.col("raw_text"), F.lit("")))
     )
 
     def normalise(c: Column) -> Column:
-        subject = T.normalize_subject(c["subject_text"])
+        subject = T.normalize_subject(c["subject_text"], _cut(lengths, "subject"))
         raw = F.coalesce(blank_to_null(c["object_text_raw"]), c["object_text_canonical"])
         canonical = restore_language(
-            F.coalesce(blank_to_null(c["object_text_canonical"]), raw), c["evidence_spans"], F.col("_cjk")
+            F.coalesce(blank_to_null(c["object_text_canonical"]), raw), c["evidence_spans"], F.col("_cjk"), lengths
         )
         return _record(
             CLAIM,
@@ -249,10 +262,10 @@ def me_centric(b: DataFrame) -> DataFrame:
             subject_entity_name=c["subject_entity_name"],
             object_entity_name=c["object_entity_name"],
             dimensions=c["dimensions"],
-            evidence_spans=ensure_evidence(c["evidence_spans"], canonical, F.col("_head")),
+            evidence_spans=ensure_evidence(c["evidence_spans"], canonical, F.col("_raw"), lengths),
         )
 
-    return prepared.withColumn("claims", F.transform("claims", normalise)).drop("_cjk", "_head")
+    return prepared.withColumn("claims", F.transform("claims", normalise)).drop("_cjk", "_raw")
 
 
 def _made_claim(subject, predicate, text, role, modality, certainty, start, excerpt) -> Column:
@@ -277,23 +290,23 @@ def _made_claim(subject, predicate, text, role, modality, certainty, start, exce
     )
 
 
-def fallback_claims(b: DataFrame) -> DataFrame:
+def fallback_claims(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """A document without claims gets one that says what was recorded."""
     text = T.strip(F.coalesce(F.col("raw_text"), F.lit("")))
     made = _made_claim(
         "me",
         F.lit("experienced"),
-        F.coalesce(blank_to_null(F.substring(text, 1, 1000)), F.lit("entry recorded")),
+        F.coalesce(blank_to_null(head(text, _cut(lengths, "object"))), F.lit("entry recorded")),
         "experiencer",
         F.lit("fact"),
         F.lit(0.5),
         F.col("occurred_at_utc"),
-        F.coalesce(blank_to_null(F.substring(text, 1, 200)), F.lit("no text")),
+        F.coalesce(blank_to_null(head(text, _cut(lengths, "evidence"))), F.lit("no text")),
     )
     return b.withColumn("claims", F.when(F.size("claims") == 0, F.array(made)).otherwise(F.col("claims")))
 
 
-def complete_context(b: DataFrame) -> DataFrame:
+def complete_context(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """State changes told without a topic get the last topic named before.
 
     Topics are found once per claim; earlier ones are searched only for a
@@ -310,7 +323,7 @@ def complete_context(b: DataFrame) -> DataFrame:
             F.try_element_at(earlier, F.lit(-1)),
             lambda t: F.when(
                 t.isNotNull() & ~text.contains(t),
-                F.substring(F.concat(t, F.lit("が"), T.normalize_time_prefix(text)), 1, 1000),
+                head(F.concat(t, F.lit("が"), T.normalize_time_prefix(text)), _cut(lengths, "object")),
             ),
         )
         return F.when(
@@ -360,21 +373,21 @@ def covered_clauses(b: DataFrame, clauses: str, texts: str) -> DataFrame:
     ).drop("_seen")
 
 
-def clause_claim(clause: Column, start: Column) -> Column:
+def clause_claim(clause: Column, start: Column, lengths: Lengths = None) -> Column:
     plan = matches(clause, R.PLAN_HINT, ci=True)
     return _made_claim(
         "me",
         F.when(plan, "planned").otherwise("did"),
-        F.substring(clause, 1, 1000),
+        head(clause, _cut(lengths, "object")),
         "actor",
         F.when(plan, "plan").otherwise("fact"),
         F.when(plan, F.lit(0.72)).otherwise(F.lit(0.68)),
         start,
-        F.substring(clause, 1, 200),
+        head(clause, _cut(lengths, "evidence")),
     )
 
 
-def augment_claims(b: DataFrame) -> DataFrame:
+def augment_claims(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """Appends action clauses no claim covers.
 
     An appended clause covers later ones too, so the clauses are folded in
@@ -395,7 +408,7 @@ def augment_claims(b: DataFrame) -> DataFrame:
 
     appended = F.transform(
         F.aggregate("_clauses", F.array().cast(form), fold),
-        lambda a: clause_claim(a["clause"], F.col("occurred_at_utc")),
+        lambda a: clause_claim(a["clause"], F.col("occurred_at_utc"), lengths),
     )
     return prepared.withColumn(
         "claims", F.when(F.size("_clauses") > 0, F.concat("claims", appended)).otherwise(F.col("claims"))
@@ -452,12 +465,11 @@ def infer_causes(b: DataFrame) -> DataFrame:
     ).drop("_d", "_c")
 
 
-def context_claims(b: DataFrame) -> DataFrame:
+def context_claims(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """Decisions without any event, in a text that hints at a cause, get a
     context claim and links to it."""
     text = F.coalesce(F.col("raw_text"), F.lit(""))
-    head = F.coalesce(blank_to_null(F.substring(text, 1, 180)), F.lit("context event happened"))
-    excerpt = F.coalesce(blank_to_null(F.substring(text, 1, 180)), F.lit("context event"))
+    told = blank_to_null(head(text, _cut(lengths, "context")))
     prepared = b.withColumn("_d", _decisions()).withColumn(
         "_add",
         (F.size("_d") > 0)
@@ -465,7 +477,8 @@ def context_claims(b: DataFrame) -> DataFrame:
         & (matches(text, R.RAIN_HINT, ci=True) | matches(text, R.CAUSE_HINT, ci=True)),
     )
     made = _made_claim(
-        "context", F.lit("happened"), head, "none", F.lit("fact"), F.lit(0.7), F.col("occurred_at_utc"), excerpt
+        "context", F.lit("happened"), F.coalesce(told, F.lit("context event happened")), "none", F.lit("fact"), F.lit(0.7),
+        F.col("occurred_at_utc"), F.coalesce(told, F.lit("context event")),
     )
     links = F.concat("links", _cause_links(F.col("_d"), F.size("claims"), 0.72))
     return (
@@ -475,13 +488,13 @@ def context_claims(b: DataFrame) -> DataFrame:
     )
 
 
-def normalize_bundles(b: DataFrame) -> DataFrame:
+def normalize_bundles(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """All normalising rules in order; stated links keep their indexes."""
-    named = fallback_claims(me_centric(b))
+    named = fallback_claims(me_centric(b, lengths), lengths)
     sized = named.withColumn("_n", F.size("claims"))
-    completed = augment_claims(complete_context(sized))
+    completed = augment_claims(complete_context(sized, lengths), lengths)
     linked = valid_links(completed, F.col("_n")).drop("_n")
-    return context_claims(infer_causes(linked))
+    return context_claims(infer_causes(linked), lengths)
 
 
 def quality_gate(b: DataFrame) -> DataFrame:
@@ -513,7 +526,7 @@ def quality_gate(b: DataFrame) -> DataFrame:
     )
 
 
-def retry_status(b: DataFrame, as_of: datetime) -> DataFrame:
+def retry_status(b: DataFrame, as_of: datetime, max_flags: int | None = None) -> DataFrame:
     """Job outcome of a gated bundle: succeeded, or queued for a retry."""
     failed = F.coalesce(F.col("parse_error").isNotNull(), F.lit(False)) | (F.size("claims") == 0)
     return (
@@ -524,7 +537,7 @@ def retry_status(b: DataFrame, as_of: datetime) -> DataFrame:
             "error",
             F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
             .when(F.size("claims") == 0, "quality_gate_rejected_all_claims")
-            .otherwise(blank_to_null(F.array_join(F.slice("quality_flags", 1, 5), ","))),
+            .otherwise(blank_to_null(F.array_join(F.col("quality_flags") if max_flags is None else F.slice("quality_flags", 1, max_flags), ","))),
         )
     )
 
@@ -704,7 +717,7 @@ def supersede_claims(claims: DataFrame, entries: DataFrame, as_of: datetime) ->
 # --- request log ---------------------------------------------------------------
 
 
-def classify_errors(df: DataFrame, error: str = "unwrap_error") -> DataFrame:
+def classify_errors(df: DataFrame, error: str = "unwrap_error", max_chars: int | None = None) -> DataFrame:
     """Adds request_status, error_type and error_message of a response row.
 
     Columns read: http_status, http_detail, network_error and the parse
@@ -722,7 +735,7 @@ def classify_errors(df: DataFrame, error: str = "unwrap_error") -> DataFrame:
     return (
         df.withColumn("request_status", F.when(network & timed_out & ~F.coalesce(http, F.lit(False)), "timeout").when(http | network | parse, "error").otherwise("ok"))
         .withColumn("error_type", F.when(http, "http_error").when(network, "network_error").when(parse, "parse_error"))
-        .withColumn("error_message", F.substring(message, 1, 1000))
+        .withColumn("error_message", head(message, max_chars))
     )
 
 
@@ -780,43 +793,60 @@ def artifacts(responses: DataFrame, as_of: datetime) -> DataFrame:
 # --- prompts --------------------------------------------------------------------
 
 
+def _parts(df: DataFrame, text: Column, n: int) -> DataFrame:
+    """One row per ``n`` characters of a text, so that a prompt is bounded and
+    no character is lost: part from 0, offset in characters, chunk.  A null
+    or empty text makes one empty part."""
+    whole = df.withColumn("_text", F.coalesce(text, F.lit("")))
+    last = F.greatest(F.ceil(F.length("_text") / n).cast("int") - 1, F.lit(0))
+    return (
+        whole.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+        .withColumn("offset", F.col("part") * n)
+        .withColumn("chunk", F.substring(F.col("_text"), F.col("offset") + 1, F.lit(n)))
+        .drop("_text")
+    )
+
+
+def _prompt(*fields: Column | str) -> Column:
+    return F.to_json(F.struct(*fields, "part", "offset"), {"ignoreNullFields": "false"}).alias("prompt")
+
+
 def note_prompts(notes: DataFrame, n: int = 6000) -> DataFrame:
+    """Prompts of notes, as many parts as the body needs."""
     fields = ["note_type", "occurred_at", "journal_date", "mood_score", "energy_score", "source_url"]
-    payload = F.to_json(
-        F.struct(
+    return _parts(notes, T.collapse("body"), n).select(
+        "note_id",
+        "part",
+        _prompt(
             F.lit("note").alias("item_type"),
             F.col("note_id").alias("id"),
-            T.clamp(F.coalesce("title", F.lit("")), 300).alias("title"),
-            T.clamp(F.coalesce("summary", F.lit("")), 500).alias("summary"),
-            T.clamp(F.coalesce("body", F.lit("")), n).alias("body"),
+            F.coalesce(T.collapse("title"), F.lit("")).alias("title"),
+            F.coalesce(T.collapse("summary"), F.lit("")).alias("summary"),
+            F.col("chunk").alias("body"),
             *fields,
         ),
-        {"ignoreNullFields": "false"},
     )
-    return notes.select("note_id", payload.alias("prompt"))
 
 
 def task_prompts(tasks: DataFrame, n: int = 6000) -> DataFrame:
+    """Prompts of tasks, as many parts as the details need."""
     fields = ["status", "priority", "due_at", "scheduled_at", "done_at", "source_note_id"]
-    payload = F.to_json(
-        F.struct(
+    return _parts(tasks, T.collapse("details"), n).select(
+        "task_id",
+        "part",
+        _prompt(
             F.lit("task").alias("item_type"),
             F.col("task_id").alias("id"),
-            T.clamp(F.coalesce("title", F.lit("")), 300).alias("title"),
-            T.clamp(F.coalesce("details", F.lit("")), n).alias("details"),
+            F.coalesce(T.collapse("title"), F.lit("")).alias("title"),
+            F.col("chunk").alias("details"),
             *fields,
         ),
-        {"ignoreNullFields": "false"},
     )
-    return tasks.select("task_id", payload.alias("prompt"))
 
 
 def document_prompts(docs: DataFrame, n: int = 7000, text: str = "safe_text") -> DataFrame:
-    """Request parts of a document that may be sent: type, time and text."""
-    return docs.where(F.col("redaction_state") != "blocked").select(
-        "document_id",
-        F.to_json(
-            F.struct("declared_type", "occurred_at_utc", F.substring(text, 1, n).alias("text")),
-            {"ignoreNullFields": "false"},
-        ).alias("prompt"),
+    """Request parts of a document that may be sent: type, time and text, as
+    many as the text needs."""
+    return _parts(docs.where(F.col("redaction_state") != "blocked"), F.col(text), n).select(
+        "document_id", "part", _prompt("declared_type", "occurred_at_utc", F.col("chunk").alias("text"))
     )

@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 
 
 def stable_id(*parts: Column | str) -> Column:
-    """sha256 over the natural key, so that reruns make the same ids."""
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.sha2(F.concat_ws("|", *[c.cast("string") for c in cols]), 256)
+    """sha256 over the natural key, so that reruns make the same ids.
+
+    Parts are joined with ``|``; a backslash or ``|`` inside a part is escaped
+    and a null is ``\\N``, so different keys never join to one string.
+    """
+
+    def part(p: Column | str) -> Column:
+        text = (F.col(p) if isinstance(p, str) else p).cast("string")
+        return F.coalesce(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+
+    return F.sha2(F.concat_ws("|", *[part(p) for p in parts]), 256)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:

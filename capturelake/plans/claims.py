@@ -210,8 +210,8 @@ step(
       CASE WHEN regexp_matches(raw_text, '[ぁ-んァ-ヶ一-龠]') AND regexp_matches(excerpt, '[ぁ-んァ-ヶ一-龠]') THEN excerpt ELSE canonical END AS canonical,
       CASE WHEN lower(subject_text) IN ('i', 'me') AND me_role = 'none' THEN 'experiencer' ELSE me_role END AS me_role, modality, polarity, certainty, coalesce(time_start, '2024-02-02T00:00:00Z') AS time_start,
       subject_entity_name, object_entity_name, 3 AS n_dims, char_start, char_end, excerpt FROM parsed_claims
-    UNION ALL SELECT doc_id, lang, source, raw_text, 0, 'me', 'experienced', substr({sql_strip('raw_text')}, 1, 1000), substr({sql_strip('raw_text')}, 1, 1000), 'experiencer', 'fact', 'affirm', 0.5::DOUBLE,
-      '2024-02-02T00:00:00Z', NULL, NULL, 0, NULL, NULL, substr({sql_strip('raw_text')}, 1, 200) FROM claim_docs WHERE error_kind = 'none' AND doc_id NOT IN (SELECT doc_id FROM parsed_claims)""",
+    UNION ALL SELECT doc_id, lang, source, raw_text, 0, 'me', 'experienced', {sql_strip('raw_text')}, {sql_strip('raw_text')}, 'experiencer', 'fact', 'affirm', 0.5::DOUBLE,
+      '2024-02-02T00:00:00Z', NULL, NULL, 0, NULL, NULL, {sql_strip('raw_text')} FROM claim_docs WHERE error_kind = 'none' AND doc_id NOT IN (SELECT doc_id FROM parsed_claims)""",
     ["parsed_claims"],
 )
 TOPIC = "nullif(regexp_extract(canonical, '(?i)(喉(?:の調子)?|のど|体調|熱|咳|頭痛|胃|声|鼻|睡眠|気分|疲労|sore throat|throat|condition|health)', 1), '')"
@@ -261,7 +261,7 @@ step(
 )
 step(
     "final_claims",
-    """SELECT * FROM augmented UNION ALL SELECT d.doc_id, lang, source, raw_text, n, 'context', 'happened', substr(raw_text, 1, 180), substr(raw_text, 1, 180), 'none', 'fact', 'affirm', 0.7::DOUBLE, '2024-02-02T00:00:00Z', NULL, NULL, 0, NULL, NULL, substr(raw_text, 1, 180)
+    """SELECT * FROM augmented UNION ALL SELECT d.doc_id, lang, source, raw_text, n, 'context', 'happened', raw_text, raw_text, 'none', 'fact', 'affirm', 0.7::DOUBLE, '2024-02-02T00:00:00Z', NULL, NULL, 0, NULL, NULL, raw_text
     FROM claim_docs d JOIN causes c USING (doc_id) WHERE n_dec > 0 AND NOT has_event AND hint""",
     ["augmented", "causes"],
 )

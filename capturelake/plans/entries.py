@@ -32,7 +32,7 @@ step(
 )
 step(
     "entry_texts",
-    """SELECT e.entry_id, coalesce(substr(string_agg(part, chr(10) ORDER BY pos), 1, 10000), '') AS txt FROM entries e LEFT JOIN (
+    """SELECT e.entry_id, coalesce(string_agg(part, chr(10) ORDER BY pos), '') AS txt FROM entries e LEFT JOIN (
       SELECT entry_id, -2 AS pos, title AS part FROM entries WHERE coalesce(title, '') <> ''
       UNION ALL SELECT entry_id, -1, body FROM entries WHERE coalesce(body, '') <> ''
       UNION ALL SELECT entry_id, pos, key || ': ' || CASE WHEN type = 'ARRAY' THEN array_to_string(items, ' / ') ELSE txt END

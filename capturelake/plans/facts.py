@@ -13,7 +13,7 @@ from capturelake.operators import facts as K
 from .frames import frame
 from .registry import query, step
 from .structure import AS_OF, notes, tasks
-from .text import SENTENCES, sentence_rows, sql_dedupe_form, sql_strip
+from .text import SENTENCES, sentence_rows, sql_dedupe_form, sql_key, sql_strip
 from .usage import text_ts
 
 HINTS = [
@@ -125,9 +125,9 @@ step(
 step("task_facts", _dedupe("task_id", "task_candidates"), ["task_candidates"])
 step(
     "key_facts",
-    """SELECT sha256('note|' || note_id || '|' || subject || '|' || predicate || '|' || object_text) AS fact_id, note_id, NULL::VARCHAR AS task_id, k2 - 1 AS ord,
+    f"""SELECT sha256('note|' || note_id || '|' || {sql_key('subject')} || '|' || predicate || '|' || {sql_key('object_text')}) AS fact_id, note_id, NULL::VARCHAR AS task_id, k2 - 1 AS ord,
       subject, predicate, object_text, object_type, object_json, evidence_excerpt, occurred_at, confidence FROM note_facts
-    UNION ALL SELECT sha256('task|' || task_id || '|' || subject || '|' || predicate || '|' || object_text), NULL, task_id, k2 - 1,
+    UNION ALL SELECT sha256('task|' || task_id || '|' || {sql_key('subject')} || '|' || predicate || '|' || {sql_key('object_text')}), NULL, task_id, k2 - 1,
       subject, predicate, object_text, object_type, object_json, evidence_excerpt, occurred_at, confidence FROM task_facts""",
     ["note_facts", "task_facts"],
 )

@@ -22,7 +22,7 @@ from .frames import FRAMES, frame
 from .registry import query, step
 from .run import write_run
 from .structure import AS_OF, notes, routed, stored_captures, tasks
-from .text import sql_clamp
+from .text import sql_one_line, sql_parts
 from .usage import text_ts
 
 # --- rollups: events as claims, so that created_at spreads over the month ------
@@ -308,33 +308,33 @@ def request_contract(spark, sf_dir):
 
 @query(
     "prompts_notes",
-    f"SELECT note_id, title, md5({sql_clamp('body', 6000)}) AS body, mood_score FROM notes",
+    f"SELECT note_id, CAST(part AS INTEGER) AS part, title, md5(substr(body, part * 6000 + 1, 6000)) AS body, mood_score FROM ({sql_parts('note_id, title, mood_score', 'body', sql_one_line('body'), 6000, 'notes')})",
     ["notes"],
 )
 def prompts_notes(spark, sf_dir):
     out = C.note_prompts(notes(spark, sf_dir))
     return out.select(
-        "note_id", F.get_json_object("prompt", "$.title").alias("title"), F.md5(F.get_json_object("prompt", "$.body")).alias("body"),
+        "note_id", "part", F.get_json_object("prompt", "$.title").alias("title"), F.md5(F.get_json_object("prompt", "$.body")).alias("body"),
         F.get_json_object("prompt", "$.mood_score").cast("int").alias("mood_score"),
     )
 
 
 @query(
     "prompts_tasks",
-    f"SELECT task_id, title, md5({sql_clamp('details', 6000)}) AS details, priority FROM tasks",
+    f"SELECT task_id, CAST(part AS INTEGER) AS part, title, md5(substr(details, part * 6000 + 1, 6000)) AS details, priority FROM ({sql_parts('task_id, title, priority', 'details', sql_one_line('details'), 6000, 'tasks')})",
     ["tasks"],
 )
 def prompts_tasks(spark, sf_dir):
     out = C.task_prompts(tasks(spark, sf_dir))
     return out.select(
-        "task_id", F.get_json_object("prompt", "$.title").alias("title"), F.md5(F.get_json_object("prompt", "$.details")).alias("details"),
+        "task_id", "part", F.get_json_object("prompt", "$.title").alias("title"), F.md5(F.get_json_object("prompt", "$.details")).alias("details"),
         F.get_json_object("prompt", "$.priority").cast("int").alias("priority"),
     )
 
 
 @query(
     "prompts_documents",
-    "SELECT CAST(doc_id AS VARCHAR) AS document_id, md5(substr(CASE WHEN pii_score >= 0.5 THEN m ELSE text END, 1, 7000)) AS text FROM masked_docs WHERE pii_score < 0.9",
+    f"SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(part AS INTEGER) AS part, md5(substr(safe, part * 7000 + 1, 7000)) AS text FROM ({sql_parts('doc_id', 'safe', 'CASE WHEN pii_score >= 0.5 THEN m ELSE text END', 7000, '(SELECT * FROM masked_docs WHERE pii_score < 0.9)')})",
     ["masked_docs"],
 )
 def prompts_documents(spark, sf_dir):
@@ -342,7 +342,7 @@ def prompts_documents(spark, sf_dir):
         F.col("doc_id").cast("string").alias("document_id"), "text", F.lit("thought").alias("declared_type"), F.lit("2024-02-02T00:00:00Z").alias("occurred_at_utc")
     )
     out = C.document_prompts(P.redact(docs))
-    return out.select("document_id", F.md5(F.get_json_object("prompt", "$.text")).alias("text"))
+    return out.select("document_id", "part", F.md5(F.get_json_object("prompt", "$.text")).alias("text"))
 
 
 # --- whole runs and table checks -----------------------------------------------

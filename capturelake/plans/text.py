@@ -21,6 +21,21 @@ def sql_clamp(expr: str, n: int) -> str:
     return f"CASE WHEN length({one}) <= {n} THEN {one} ELSE rtrim(substr({one}, 1, {n - 3})) || '...' END"
 
 
+def sql_one_line(expr: str) -> str:
+    return f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+
+
+def sql_parts(keys: str, name: str, expr: str, n: int, source: str) -> str:
+    """One row per part of n characters of a text: keys, the text and part."""
+    whole = f"SELECT {keys}, coalesce({expr}, '') AS {name} FROM {source}"
+    return f"SELECT *, unnest(generate_series(0, greatest(CAST(ceil(length({name}) / {n}) AS BIGINT) - 1, 0))) AS part FROM ({whole})"
+
+
+def sql_key(expr: str) -> str:
+    """A key part as ids join it: backslash and ``|`` escaped."""
+    return f"replace(replace({expr}, '\\', '\\\\'), '|', '\\|')"
+
+
 def sql_strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
 from capturelake.functions.pii import pii_score, redaction_state
-from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, let
+from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, head, let
 from capturelake.functions.scalars import at
 from capturelake.functions.text import payload_entries, strip
 from capturelake.operators.merge import top_per_key, upsert
@@ -44,8 +44,13 @@ def capture_to_entry(df: DataFrame, text: str = "text", kind: str = "declared_ty
     )
 
 
-def build_capture_text(title: ColumnOrName = "title", body: ColumnOrName = "body", payload: ColumnOrName = "payload") -> Column:
-    """Title, body and ``key: value`` lines, cut at 10,000 characters."""
+def build_capture_text(
+    title: ColumnOrName = "title",
+    body: ColumnOrName = "body",
+    payload: ColumnOrName = "payload",
+    max_chars: int | None = None,
+) -> Column:
+    """Title, body and ``key: value`` lines; whole unless ``max_chars`` is given."""
 
     def line(e: Column) -> Column:
         value = (
@@ -56,8 +61,9 @@ def build_capture_text(title: ColumnOrName = "title", body: ColumnOrName = "body
         return F.concat(e["key"], F.lit(": "), value)
 
     lines = F.filter(F.transform(payload_entries(payload), line), lambda x: x.isNotNull())
-    head = F.filter(F.array(blank_to_null(title), blank_to_null(body)), lambda x: x.isNotNull())
-    return F.substring(F.array_join(F.concat(head, F.coalesce(lines, F.array().cast("array<string>"))), "\n"), 1, 10000)
+    first = F.filter(F.array(blank_to_null(title), blank_to_null(body)), lambda x: x.isNotNull())
+    whole = F.array_join(F.concat(first, F.coalesce(lines, F.array().cast("array<string>"))), "\n")
+    return head(whole, max_chars)
 
 
 def capture_input_type(kind: ColumnOrName = "declared_type", payload: ColumnOrName = "payload") -> Column:
