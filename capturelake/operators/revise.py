@@ -13,7 +13,7 @@ from capturelake.functions.rules import ENTRY_TYPES
 from capturelake.functions.scalars import at, legacy_ts
 
 from .jobs import map_entry_state
-from .merge import insert_ignore, latest_per_key, stable_id
+from .merge import insert_ignore, latest_per_key, stable_id, top_per_key
 
 
 def _replaced(df: DataFrame, changed: dict) -> DataFrame:
@@ -24,10 +24,12 @@ def revise_claims(claims: DataFrame, revisions: DataFrame, as_of: datetime) -> t
     """(claim snapshot, feedback rows) after a batch of revisions.
 
     ``revisions`` has claim_id, object_text_canonical and revision_note; one
-    per claim, for active claims.  The old row is closed and a successor is
+    per claim, for active claims; of several, the smallest text, then note.
+    The old row is closed and a successor is
     added; the claims are joined once and the pair comes from one explode.
     """
-    wanted = revisions.dropDuplicates(["claim_id"]).select(
+    order = [F.asc("object_text_canonical"), F.asc("revision_note")]
+    wanted = top_per_key(revisions, ["claim_id"], order).select(
         "claim_id", F.col("object_text_canonical").alias("_text"), F.col("revision_note").alias("_note"), F.lit(True).alias("_hit")
     )
     joined = claims.join(wanted, "claim_id", "left")
@@ -71,8 +73,11 @@ def revise_claims(claims: DataFrame, revisions: DataFrame, as_of: datetime) -> t
 
 
 def retract_claims(claims: DataFrame, retractions: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
-    """(claim snapshot, feedback rows); retracted claims stay searchable."""
-    wanted = retractions.dropDuplicates(["claim_id"]).select("claim_id", F.col("reason").alias("_reason"), F.lit(True).alias("_hit"))
+    """(claim snapshot, feedback rows); retracted claims stay searchable.
+
+    Of several retractions of a claim, the smallest reason counts.
+    """
+    wanted = top_per_key(retractions, ["claim_id"], [F.asc("reason")]).select("claim_id", F.col("reason").alias("_reason"), F.lit(True).alias("_hit"))
     joined = claims.join(wanted, "claim_id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("deleted_at").isNull()
     changed = {

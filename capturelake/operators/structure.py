@@ -13,7 +13,7 @@ from capturelake.functions.rx import blank_to_null, keep_rows
 from capturelake.functions.scalars import at, journal_date, to_text_ts
 
 from .classify import classify
-from .merge import stable_id
+from .merge import stable_id, top_per_key
 
 CLOSED = ["blocked", "processed", "archived"]
 
@@ -95,8 +95,11 @@ def to_notes(routed: DataFrame, as_of: datetime, stored: bool = False) -> DataFr
 
 
 def reuse_active(new: DataFrame, existing: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, capture -> id map): an active row is reused, not doubled."""
-    active = existing.where(F.col("deleted_at").isNull()).select(
+    """(rows to insert, capture -> id map): an active row is reused, not doubled.
+
+    Of several active rows of a capture, the one with the smallest id is reused.
+    """
+    active = top_per_key(existing.where(F.col("deleted_at").isNull()), ["source_capture_id"], [F.asc(id_col)]).select(
         "source_capture_id", F.col(id_col).alias("_active_id")
     )
     looked = new.join(active, "source_capture_id", "left")
