@@ -22,7 +22,7 @@ from .frames import FRAMES, frame
 from .registry import query, step
 from .run import write_run
 from .structure import AS_OF, notes, routed, stored_captures, tasks
-from .text import sql_one_line, sql_parts
+from .text import sql_key, sql_one_line, sql_parts
 from .usage import text_ts
 
 # --- rollups: events as claims, so that created_at spreads over the month ------
@@ -129,7 +129,7 @@ def _revisions(claims):
     )
 
 
-NEXT = "sha256('revision|' || claim_id || '|revised ' || canonical)"
+NEXT = f"sha256('revision|' || claim_id || '|revised ' || {sql_key('canonical')})"
 LATER = AS_OF.replace(month=7)
 
 
