@@ -178,30 +178,25 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
     def sign(batches):
         import pyarrow as pa
 
+        seen = set()
         for batch in batches:
-            signs = [signature(shingles(t)) for t in batch.column("text").to_pylist()]
+            fresh = {}
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    fresh[node] = text
+            signs = [signature(shingles(t)) for t in fresh.values()]
             bands = [_mixed(np.sum(s.reshape(BANDS, ROWS) * _SALT, axis=1, dtype=np.uint64) + _SALT_BAND).view(np.int64) for s in signs]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("node"),
-                    pa.array([s.tobytes() for s in signs], pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
-                ],
-                ["id", "node", "sig", "bands"],
+                [pa.array(list(fresh), pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"]
             )
 
-    id_type = rows.schema["id"].dataType.simpleString()
-    # repeats of a text carry nothing but their id into the shuffle
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     nodes.write.parquet(f"{where}/nodes")
     nodes = spark.read.parquet(f"{where}/nodes")
-    # repeated rows leave within the join's own partitions
-    met_texts = rows.where("text != ''").join(nodes.select("node", "id"), ["node", "id"])
-    one = met_texts.dropDuplicates(["node", "id"]).select("id", "node", "text")
-    one.mapInArrow(sign, f"id {id_type}, node binary, sig binary, bands array<bigint>").write.parquet(
-        f"{where}/signed"
-    )
+    # texts are signed where they lie, once a task; only the bands of a text move
+    bands = rows.where("text != ''").select("node", "text").mapInArrow(sign, "node binary, bands array<bigint>")
+    bands.dropDuplicates(["node"]).write.parquet(f"{where}/signed")
     signed = spark.read.parquet(f"{where}/signed")
     banded = signed.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
@@ -212,10 +207,9 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
     placed = near.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = (
         placed.join(nodes, "node")
-        .join(signed.select("node", "sig"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "id", "node", "n", "sig", "root", "block",
+            "id", "node", "n", "root", "block",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         )
     )
@@ -224,14 +218,21 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"),
+                    pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                ["node", "sig", "grams"],
+            )
 
     texts = (
         rows.join(placed.join(nodes, "node").select("node", "id"), ["node", "id"])
         .dropDuplicates(["node", "id"])
         .select("node", "text")
-        .mapInArrow(gather, "node binary, grams binary")
+        .mapInArrow(gather, "node binary, sig binary, grams binary")
     )
 
     def meet(key, frame):
