@@ -8,8 +8,13 @@ proportions form nested sets; each set's proportions are estimated again, and
 the set with the largest likelihood less a penalty of half the logarithm of
 the trigram count for each language is taken.
 
-Defined results: `und` with score 0 where the text is null, empty or without a
-letter, or nothing could be learned; equal texts get equal answers; equal
+A text is rejected where a background explains its trigrams better than the
+chosen set does.  The background is half the trigrams of the training texts
+with the characters of each text shuffled, so the letters without their order,
+and half the uniform law, so letters that no training text has.
+
+Defined results: `und` with score 0 and no set where the text is null, empty,
+without a letter or rejected, or nothing could be learned; equal texts get equal answers; equal
 proportions go to the language name that sorts first; a null id is no training
 row and not held out; an empty table gives an empty result; columns beyond id,
 text and language are not read, and language only to learn.
@@ -31,8 +36,8 @@ UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
 
-def trigram_buckets(text: str) -> np.ndarray:
-    """Hashed trigrams around every letter; none where the text has no letter."""
+def trigram_buckets(text: str, shuffled: bool = False) -> np.ndarray:
+    """Hashed trigrams around every letter, on request of the shuffled text; none where the text has no letter."""
     global _letters
     if _letters is None:
         _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
@@ -40,6 +45,9 @@ def trigram_buckets(text: str) -> np.ndarray:
     letter = _letters[code]
     if not letter.any():
         return np.zeros(0, np.int64)
+    if shuffled:
+        order = np.random.default_rng(len(code)).permutation(len(code))
+        code, letter = code[order], letter[order]
     padded = np.zeros(len(code) + 2, np.uint32)
     np.multiply(code, letter, out=padded[1:-1])
     mixed = (padded[:-2] * np.uint32(0x9E3779B1)) ^ (padded[1:-1] * np.uint32(0x85EBCA77)) ^ (
@@ -51,16 +59,20 @@ def trigram_buckets(text: str) -> np.ndarray:
 
 
 def learn_counts(labelled: DataFrame) -> DataFrame:
-    """lang, bucket, n of columns text and lang; summed in each task before the shuffle."""
+    """lang, bucket, n of columns text and lang; summed in each task before the shuffle.
+
+    Rows whose lang is null count the shuffled texts of all languages.
+    """
 
     def count(batches):
         import pyarrow as pa
 
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str | None, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                own += np.bincount(trigram_buckets(text), minlength=BUCKETS)
+                for key, shuffled in ((lang, False), (None, True)):
+                    own = sums.setdefault(key, np.zeros(BUCKETS, np.int64))
+                    own += np.bincount(trigram_buckets(text, shuffled), minlength=BUCKETS)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
@@ -71,17 +83,19 @@ def learn_counts(labelled: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and likelihoods [bucket, language].
+    """Languages by name, and likelihoods [bucket, language]; the last column is the background's.
 
     What comes to the driver is bounded by BUCKETS rows a language.
     """
     found = learn_counts(labelled).collect()
-    languages = sorted({r["lang"] for r in found})
-    counts = np.full((BUCKETS, len(languages)), SMOOTHING)
-    at = {lang: k for k, lang in enumerate(languages)}
+    languages = sorted({r["lang"] for r in found if r["lang"] is not None})
+    counts = np.full((BUCKETS, len(languages) + 1), SMOOTHING)
+    at = {lang: k for k, lang in enumerate([*languages, None])}
     for r in found:
         counts[r["bucket"], at[r["lang"]]] += r["n"]
-    return languages, (counts / counts.sum(axis=0)).astype(np.float32)
+    model = counts / counts.sum(axis=0)
+    model[:, -1] = (model[:, -1] + 1 / BUCKETS) / 2
+    return languages, model.astype(np.float32)
 
 
 def _mix(likelihood, weight, starts, doc, allowed, rounds):
@@ -114,11 +128,14 @@ def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tup
         sizes = np.array([len(b) for b in buckets])
         starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
         weight, likelihood = np.concatenate(weights).astype(np.float64), model[np.concatenate(buckets)].astype(np.float64)
+        background = np.add.reduceat(weight * np.log(likelihood[:, -1]), starts)
+        likelihood = np.ascontiguousarray(likelihood[:, :-1])
         every = np.ones((len(rows), len(languages)))
         share, _ = _mix(likelihood, weight, starts, doc, every, ROUNDS)
         order = np.argsort(-share, axis=1, kind="stable")
         penalty = 0.5 * np.log(np.add.reduceat(weight, starts) + 1)
         best, best_share = np.full(len(rows), -np.inf), share
+        best_likely = best
         allowed = np.zeros_like(every)
         for m in range(min(len(languages), MOST_LANGUAGES)):
             allowed[np.arange(len(rows)), order[:, m]] = 1.0
@@ -126,8 +143,11 @@ def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tup
             value = likely - (m + 1) * penalty
             better = value > best
             best = np.where(better, value, best)
+            best_likely = np.where(better, likely, best_likely)
             best_share = np.where(better[:, None], own, best_share)
         for k, i in enumerate(rows):
+            if best_likely[k] < background[k]:
+                continue
             own = best_share[k]
             chosen = [j for j in np.argsort(-own, kind="stable").tolist() if own[j] > 0]
             answers[i] = (

@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of documents.  SQL cannot express the stages, so there is no ORACLE_SQL;
-tests hold each stage against a plain version.
+tests hold the stages' operators against plain versions, and the language stage
+against planted texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter; every other has a language."""
+    """Rejects documents without a letter, and those that the background explains better than any learned language."""
     ship_package(spark)
     languages, model = fit_on_training(docs)
     return identify(docs, languages, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

@@ -207,6 +207,28 @@ def test_language(shipped, empty):
     assert language.infer(["abc"], [], model) == [("und", 0.0, [], [])]
 
 
+def test_language_stage_rejects_unknown_languages(shipped):
+    import corpus_pipeline
+
+    docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "すべての人間は、生まれながらにして自由であり",
+        "#### 123 --- x 4567 ===",
+        noise(rng, 300, "abcdefghijklmnopqrstuvwxyz "),
+    ]
+    clean = [" ".join(r.text.split()[:4]) for r in docs.where("n_chars > 100").orderBy("doc_id").limit(40).collect()]
+    # without a language nothing is learned from them
+    rows = [(10**9 + k, t, None, "planted", len(t)) for k, t in enumerate(strange + clean)]
+    planted = docs.unionByName(shipped.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(shipped, planted, "").select("doc_id").collect()}
+    assert {i for i, *_ in rows} & kept == {i for i, *_ in rows[len(strange) :]}
+    assert len(kept) == docs.count() + len(clean)
+
+
 def test_winnowing(odd, empty, odd_texts):
     import xxhash
 
