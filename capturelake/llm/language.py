@@ -6,7 +6,8 @@ A document's trigrams come from a mixture of languages whose proportions
 expectation-maximisation estimates.  The languages with the largest
 proportions form nested sets; each set's proportions are estimated again, and
 the set with the largest likelihood less a penalty of half the logarithm of
-the trigram count for each language is taken.
+the trigram count for each language is taken.  Sets grow until no larger one
+can be better, by a bound on the likelihood of all mixtures.
 
 A text is rejected where a background explains its trigrams better than the
 chosen set does.  The background is half the trigrams of the training texts
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from .wordcache import slices
 
 BUCKETS = 1 << 15
-MOST_LANGUAGES = 4
 ROUNDS, SET_ROUNDS = 12, 8
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -137,7 +137,14 @@ def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tup
         best, best_share = np.full(len(rows), -np.inf), share
         best_likely = best
         allowed = np.zeros_like(every)
-        for m in range(min(len(languages), MOST_LANGUAGES)):
+        # no mixture's log likelihood exceeds that of `share` by more than total x log of its largest gradient / total
+        mixed = (likelihood * share[doc]).sum(axis=1)
+        gradient = np.add.reduceat(likelihood * (weight / mixed)[:, None], starts, axis=0).max(axis=1)
+        total = np.add.reduceat(weight, starts)
+        most = np.add.reduceat(weight * np.log(mixed), starts) + total * np.log(gradient / total)
+        for m in range(len(languages)):
+            if (most - (m + 1) * penalty <= best).all():
+                break
             allowed[np.arange(len(rows)), order[:, m]] = 1.0
             own, likely = _mix(likelihood, weight, starts, doc, allowed, SET_ROUNDS if m else 0)
             value = likely - (m + 1) * penalty

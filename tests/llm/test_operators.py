@@ -207,6 +207,16 @@ def test_language(shipped, empty):
     assert language.infer(["abc"], [], model) == [("und", 0.0, [], [])]
 
 
+def test_language_set_has_no_cap():
+    names = [f"l{k}" for k in range(7)]
+    texts = [noise(random.Random(k), 3000, "".join(chr(0x4E00 + 40 * k + j) for j in range(12))) for k in range(7)]
+    counts = np.stack([np.bincount(language.trigram_buckets(t), minlength=language.BUCKETS) for t in texts], axis=1) + 0.5
+    model = np.concatenate([counts / counts.sum(axis=0), np.full((language.BUCKETS, 1), 1 / language.BUCKETS)], axis=1)
+    answers = language.infer(["".join(t[:600] for t in texts[:6]), texts[2][:600]], names, model)
+    assert set(answers[0][2]) == set(names[:6]) and abs(answers[0][1] - 1 / 6) < 0.03
+    assert answers[1][0] == "l2" and answers[1][2] == ["l2"]
+
+
 def test_language_stage_rejects_unknown_languages(shipped):
     import corpus_pipeline
 
