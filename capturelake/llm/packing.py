@@ -22,7 +22,6 @@ import json
 import os
 import re
 import struct
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,6 +32,8 @@ from capturelake.session import work_dir
 #: Salted groups per length, and of pieces that fill a window.
 SALTS, FULL_SALTS = 64, 4096
 ITERATIONS = 200
+#: Bytes of ids after which a task hands on the pieces it has cut.
+MOST_BYTES = 16_000_000
 HUGE_TEXT = 4_000_000
 #: Fixed value: the splitting pattern of this family of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -197,7 +198,7 @@ def cut_pieces(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """Pieces of at most a window: id, start, length, ids_crc32, doc_tokens, salt."""
+    """Pieces of at most a window: id, start, length, ids (little-endian 32-bit numbers), doc_tokens, salt."""
     rows = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     end = struct.pack("<I", end_id)
@@ -205,26 +206,30 @@ def cut_pieces(
     def cut(batches):
         import pyarrow as pa
 
+        def made(own, row, start, length, total, held):
+            arrays = [own.take(pa.array(row, pa.int64()))]
+            arrays += [pa.array(c, pa.int64()) for c in (start, length, total)] + [pa.array(held, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "doc_tokens", "ids"])
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            row, start, length, crc, total = [], [], [], [], []
+            own, texts = batch.column("id"), batch.column("text").to_pylist()
+            columns, size = ([], [], [], [], []), 0
             for i, ids in enumerate(id_bytes(tokenizer_path, texts)):
                 ids += end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     piece = ids[4 * at : 4 * (at + window)]
-                    row.append(i)
-                    start.append(at)
-                    length.append(len(piece) // 4)
-                    crc.append(zlib.crc32(piece))
-                    total.append(n)
-            arrays = [batch.column("id").take(pa.array(row, pa.int64()))]
-            arrays += [pa.array(c, pa.int64()) for c in (start, length, crc, total)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    pieces = rows.mapInArrow(cut, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+                    for column, value in zip(columns, (i, at, len(piece) // 4, n, piece), strict=True):
+                        column.append(value)
+                    size += len(piece)
+                    if size >= MOST_BYTES:
+                        yield made(own, *columns)
+                        columns, size = ([], [], [], [], []), 0
+            yield made(own, *columns)
+
+    pieces = rows.mapInArrow(cut, f"id {id_type}, start long, length long, doc_tokens long, ids binary")
     salts = F.when(F.col("length") == window, FULL_SALTS).otherwise(SALTS)
-    return pieces.withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), salts).cast("int"))
+    return pieces.withColumn("salt", F.pmod(F.xxhash64("id", "start", F.crc32("ids")), salts).cast("int"))
 
 
 def pack_sequences(
@@ -235,10 +240,10 @@ def pack_sequences(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per piece with its sequence_id and offset; no two pieces overlap."""
+    """One row per piece with its ids, their digest, its sequence_id and offset; no two pieces overlap."""
     spark = documents.sparkSession
     where = work_dir(spark, "packing-pieces")
-    cut_pieces(documents, tokenizer_path, end_id, window, id_column, text_column).write.parquet(where)
+    cut_pieces(documents, tokenizer_path, end_id, window, id_column, text_column).write.parquet(where, compression="zstd")
     pieces = spark.read.parquet(where)
     # at most window x SALTS + FULL_SALTS rows, whatever the corpus
     counts = [np.zeros(SALTS, np.int64) for _ in range(window)] + [np.zeros(FULL_SALTS, np.int64)]
@@ -248,11 +253,10 @@ def pack_sequences(
     segments = _segments(pack_histogram(np.array([c.sum() for c in counts]), window), window)
 
     def place(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            length = batch["length"].to_numpy()
-            salt, rank = batch["salt"].to_numpy(), batch["rank"].to_numpy()
+            length, salt, rank = (batch.column(c).to_numpy() for c in ("length", "salt", "rank"))
             sequence, offset = np.empty_like(rank), np.empty_like(rank)
             for v in np.unique(length):
                 own = length == v
@@ -261,13 +265,13 @@ def pack_sequences(
                 k = np.searchsorted(first, r, "right") - 1
                 sequence[own] = base[k] + r - first[k]
                 offset[own] = at[k]
-            columns = batch[["id", "start", "length", "ids_crc32", "doc_tokens"]]
-            yield pd.concat([columns, pd.DataFrame({"sequence_id": sequence, "offset": offset}, columns.index)], axis=1)
+            arrays = [batch.column(c) for c in names] + [pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32")
+    names = ["id", "start", "length", "ids", "doc_tokens"]
+    order = Window.partitionBy("length", "salt").orderBy("id", "start", F.crc32("ids"))
     id_type = pieces.schema["id"].dataType.simpleString()
-    placed = pieces.withColumn("rank", F.row_number().over(order).cast("long") - 1).mapInPandas(
-        place,
-        f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
-    )
+    placed = pieces.withColumn("rank", F.row_number().over(order).cast("long") - 1).mapInArrow(
+        place, f"id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    ).select("id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
     return placed.withColumnRenamed("id", id_column)

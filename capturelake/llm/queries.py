@@ -102,7 +102,8 @@ def op5_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_sequences
 
-    return pack_sequences(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    placed = pack_sequences(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 @query

@@ -47,7 +47,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents with their ids, in sequences of 2048 tokens."""
     ship_package(spark)
     return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -181,6 +181,18 @@ def test_packing(odd, empty, odd_texts):
     assert packing.pack_sequences(empty, BYTES).count() == 0
 
 
+def test_packing_gives_the_ids(odd, odd_texts, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BYTES", 500)
+    tok = token_counts.load_tokenizer(BYTES)
+    rows = packing.pack_sequences(odd, BYTES, window=64).collect()
+    for k, text in enumerate(odd_texts):
+        own = sorted((r.start, bytes(r.ids)) for r in rows if r.doc_id == k)
+        assert np.frombuffer(b"".join(ids for _, ids in own), "<u4").tolist() == tok.encode(
+            text or "", add_special_tokens=False
+        ).ids + [1]
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+
+
 def test_packing_wastes_little():
     rng = np.random.default_rng(3)
     histogram = np.bincount(rng.integers(1, 128, 5000), minlength=129)
