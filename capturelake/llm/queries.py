@@ -47,13 +47,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shuffle_into_shards
 
+    dealt = shuffle_into_shards(read_table(spark, sf_dir, "documents"), 8)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = read_table(spark, sf_dir, "documents").select(
-        "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    return shuffle_into_shards(rows, 8).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    return dealt.select(
+        "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -97,6 +97,22 @@ def test_shards(odd, empty):
     assert shards.shuffle_into_shards(empty, 8).count() == 0
 
 
+def test_shards_hold_the_texts(shipped, monkeypatch):
+    from capturelake.llm import queries
+
+    dealt, shuffle = [], shards.shuffle_into_shards
+    monkeypatch.setattr(shards, "shuffle_into_shards", lambda *a: dealt.append(shuffle(*a)) or dealt[-1])
+    got = queries.QUERIES["op3_hypergeometric_shards"](shipped, "/root/testdata/sf0.001")
+    docs = shipped.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert set(docs.columns) < set(dealt[0].columns)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = got.collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {k: (len(t) + 1, zlib.crc32(t)) for k, t in text.items()}
+    # the digest is made above both permutations
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("crc32") < plan.index("Window")
+
+
 def test_matrix_sums_and_large_populations():
     m = shards.communication_matrix([5, 0, 9, 3], [6, 4, 7], 1)
     assert m.sum(axis=0).tolist() == [6, 4, 7] and m.sum(axis=1).tolist() == [5, 0, 9, 3]
