@@ -20,15 +20,15 @@ def _sentence() -> Column:
     return F.concat_ws(" ", "subject_text", "predicate", "object_text_canonical")
 
 
-def _summaries(top: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: up to 12 ids and up to 10 sentences, in rank order.
+def _summaries(top: DataFrame, keys: list[str], sentences_most: int) -> DataFrame:
+    """Per key: the ids and up to ``sentences_most`` sentences, in rank order.
 
-    ``top`` holds at most 12 ranked rows per key, so the collected arrays
+    ``top`` holds at most ``key_ids`` ranked rows per key, so the collected arrays
     are bounded.
     """
     packed = F.array_sort(F.collect_list(F.struct("_rank", "claim_id", _sentence().alias("s"))))
     grouped = top.groupBy(*keys).agg(packed.alias("_p"))
-    sentences = F.filter(F.transform(F.slice("_p", 1, SENTENCES), lambda x: x["s"]), lambda s: s != "")
+    sentences = F.filter(F.transform(F.slice("_p", 1, sentences_most), lambda x: x["s"]), lambda s: s != "")
     return grouped.select(
         *keys,
         F.when(F.size(sentences) > 0, F.array_join(sentences, " / ")).otherwise(R.EMPTY_ROLLUP_TEXT).alias("summary_text"),
@@ -48,14 +48,15 @@ def build_rollup(
     scope_key: str = "all",
     period_type: str = "custom",
     model: str = "rules-rollup-v1",
+    key_ids: int = KEY_IDS,
+    sentences_most: int = SENTENCES,
 ) -> DataFrame:
     """One rollup row of the claims created in a range, also when empty.
 
-    Only the newest 12 of the newest 200 claims are named, which are the
-    newest 12; a top-k, so no claim group is collected.
+    Only the newest ``key_ids`` claims are named; a top-k, so no claim group is collected.
     """
     active = bounded(claims.where(F.col("deleted_at").isNull()), "created_at", from_ts, to_ts)
-    top = active.orderBy(*_newest()).limit(KEY_IDS)
+    top = active.orderBy(*_newest()).limit(key_ids)
     ranked = top.select(
         F.struct(
             F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), F.col("claim_id"), _sentence().alias("s")
@@ -66,7 +67,7 @@ def build_rollup(
         lambda a, b: F.when(a["t"] > b["t"], -1).when(a["t"] < b["t"], 1).when(a["claim_id"] < b["claim_id"], -1).otherwise(1),
     )
     one = ranked.agg(order.alias("_p"))
-    sentences = F.filter(F.transform(F.slice("_p", 1, SENTENCES), lambda x: x["s"]), lambda s: s != "")
+    sentences = F.filter(F.transform(F.slice("_p", 1, sentences_most), lambda x: x["s"]), lambda s: s != "")
     return one.select(
         F.lit(scope_type).alias("scope_type"),
         F.lit(scope_key).alias("scope_key"),
@@ -80,12 +81,17 @@ def build_rollup(
 
 
 def build_rollups(
-    claims: DataFrame, period_type: str, scopes: dict[str, str], model: str = "rules-rollup-v1"
+    claims: DataFrame,
+    period_type: str,
+    scopes: dict[str, str],
+    model: str = "rules-rollup-v1",
+    key_ids: int = KEY_IDS,
+    sentences_most: int = SENTENCES,
 ) -> DataFrame:
     """Rollups of every period for scope "all" and for each named scope.
 
     ``scopes`` maps a scope type to the column that holds its key.  The top
-    12 per (scope key, period) are found first; "all" is ranked from the
+    ``key_ids`` per (scope key, period) are found first; "all" is ranked from the
     union of the first scope's winners, as its own winners are among them.
     So rows are never multiplied by scopes before they are reduced.
     """
@@ -96,16 +102,16 @@ def build_rollups(
     parts = []
     for i, (scope, column) in enumerate(scopes.items()):
         rows = active.select(*fields, F.lit(scope).alias("scope_type"), F.col(column).cast("string").alias("scope_key"))
-        top = top_per_key(rows, ["scope_type", "scope_key", "period_start"], _newest(), KEY_IDS, rank="_rank")
+        top = top_per_key(rows, ["scope_type", "scope_key", "period_start"], _newest(), key_ids, rank="_rank")
         parts.append(top)
         if i == 0:
             every = top.drop("_rank").withColumn("scope_type", F.lit("all")).withColumn("scope_key", F.lit("all"))
             keys = ["scope_type", "scope_key", "period_start"]
-            parts.append(top_per_key(every, keys, _newest(), KEY_IDS, rank="_rank"))
+            parts.append(top_per_key(every, keys, _newest(), key_ids, rank="_rank"))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    out = _summaries(merged, ["scope_type", "scope_key", "period_start"])
+    out = _summaries(merged, ["scope_type", "scope_key", "period_start"], sentences_most)
     return out.select(
         "scope_type",
         "scope_key",

@@ -335,8 +335,12 @@ def response_request_log(spark, sf_dir):
     ["claim_docs"],
 )
 def response_artifacts(spark, sf_dir):
-    rows = C.artifacts(logged(spark, sf_dir), AS_OF).where("artifact_type = 'prompt_meta'")
-    return rows.withColumn("expires_at", text_ts("expires_at"))
+    return response_artifacts_all(spark, sf_dir).where("artifact_type = 'prompt_meta'")
+
+
+@query("response_artifacts_all")
+def response_artifacts_all(spark, sf_dir):
+    return C.artifacts(logged(spark, sf_dir), AS_OF).withColumn("expires_at", text_ts("expires_at"))
 
 
 CLAIM_OUT = [
@@ -659,7 +663,21 @@ def claims_by_entry(spark, sf_dir):
 def claims_hydrated(spark, sf_dir):
     b = stored_bundle(spark, sf_dir)
     english = documents(spark, sf_dir).where("lang = 'en'").select("document_id")
-    claims = b["claims"].join(english, "document_id", "left_semi")
+    return _hydrated(b, b["claims"].join(english, "document_id", "left_semi"))
+
+
+@query(
+    "claims_hydrated_all",
+    """SELECT c.claim_id, 1 AS n_spans, md5(c.excerpt) AS first_excerpt, coalesce((SELECT string_agg(dimension_type || '=' || normalized_value, ',' ORDER BY ord) FROM stored_dims d WHERE d.claim_id = c.claim_id), '') AS dims,
+      CASE WHEN c.predicate = 'chose' THEN 'supersede,revise' ELSE '' END AS feedback FROM stored_claims c""",
+    ["stored_claims", "stored_dims"],
+)
+def claims_hydrated_all(spark, sf_dir):
+    b = stored_bundle(spark, sf_dir)
+    return _hydrated(b, b["claims"])
+
+
+def _hydrated(b, claims):
     chosen = claims.where("predicate = 'chose'").select("claim_id")
     feedback = chosen.select("claim_id", F.lit(0).alias("ord"), F.lit("revise").alias("action"), SC.at(AS_OF).alias("created_at")).unionByName(
         chosen.select("claim_id", F.lit(1).alias("ord"), F.lit("supersede").alias("action"), SC.at(AS_OF.replace(day=2)).alias("created_at"))

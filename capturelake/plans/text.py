@@ -119,10 +119,22 @@ def token_normal_form(spark, sf_dir):
       FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE length(text) > 2))""",
 )
 def char_ngrams(spark, sf_dir):
-    grams = frame(spark, sf_dir, "documents").where(F.length("text") > 2).select(
-        "doc_id", T.char_ngrams("text").alias("g")
-    )
-    return grams.select(
+    return _grams(frame(spark, sf_dir, "documents").where(F.length("text") > 2))
+
+
+@query(
+    "char_ngrams_all",
+    """SELECT doc_id, len(g) AS n_grams, md5(array_to_string(list_sort(g), '|')) AS digest
+    FROM (SELECT doc_id, CASE WHEN length(text) = 0 THEN [] WHEN length(text) <= 2 THEN [text]
+        ELSE list_distinct(list_transform(list_zip(c[1:len(c)-1], c[2:len(c)]), lambda p: p[1] || p[2])) END AS g
+      FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS c FROM documents))""",
+)
+def char_ngrams_all(spark, sf_dir):
+    return _grams(frame(spark, sf_dir, "documents"))
+
+
+def _grams(docs):
+    return docs.select("doc_id", T.char_ngrams("text").alias("g")).select(
         "doc_id",
         F.size("g").cast("bigint").alias("n_grams"),
         F.md5(F.array_join(F.array_sort("g"), "|")).alias("digest"),

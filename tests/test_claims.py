@@ -210,3 +210,33 @@ def test_streams_over_two_batches(spark, tmp_path):
     assert spark.read.parquet(f"{out}/s/notes").count() == 6
     last = Sm.read_latest(spark, f"{out}/l", ["capture_id"], "created_at", "v")
     assert last.count() == 6 and last.where("created_at > timestamp'2024-01-01 12:00:00'").count() == 4
+
+
+def test_whole_queries_drop_no_rows(spark):
+    import __spark_entry__ as entry
+
+    sf_dir, queries = "/root/testdata/sf0.001", entry.queries()
+    kinds = {r.artifact_type: r["count"] for r in queries["response_artifacts_all"](spark, sf_dir).groupBy("artifact_type").count().collect()}
+    assert kinds["prompt_meta"] == kinds["response_meta"] + kinds["validation_error"] and min(kinds.values()) > 0
+    hydrated = queries["claims_hydrated_all"](spark, sf_dir)
+    assert hydrated.count() == queries["claims_by_entry"](spark, sf_dir).count() > queries["claims_hydrated"](spark, sf_dir).count()
+
+
+def test_rollup_limits_are_arguments(spark):
+    from capturelake.operators import rollups
+
+    claims = spark.sql(
+        "SELECT cast(id AS string) AS claim_id, timestamp'2024-07-01 10:00:00' AS created_at, cast(NULL AS timestamp) AS deleted_at,"
+        " concat('s', id) AS subject_text, 'p' AS predicate, 'o' AS object_text_canonical, 'k' AS topic FROM range(30)"
+    )
+    one = rollups.build_rollup(claims, "2024-07-01", "2024-07-02", key_ids=20, sentences_most=15).first()
+    assert len(one.key_claim_ids) == 20 and one.summary_text.count(" / ") == 14
+    for r in rollups.build_rollups(claims, "daily", {"topic": "topic"}, key_ids=25, sentences_most=25).collect():
+        assert len(r.key_claim_ids) == 25 and r.summary_text.count(" / ") == 24
+
+
+def test_short_texts_are_their_own_gram(spark):
+    from capturelake.plans import text
+
+    docs = spark.createDataFrame([(0, ""), (1, "a"), (2, "ab"), (3, "abc")], "doc_id long, text string")
+    assert {r.doc_id: r.n_grams for r in text._grams(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
