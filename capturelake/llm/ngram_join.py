@@ -14,8 +14,8 @@ shingle sets.  A block gives link counts and one edge a node, not pairs.
 Defined results: words are what white space parts, in lower case; a text of
 fewer words than a shingle is one shingle; null and empty texts are equal
 texts without links to others; repeated rows count as copies; null ids are
-kept, a text with null ids only has no links to others, and the class id is the
-smallest non-null id; an empty table gives an empty result;
+kept and linked like others, and the class id is the smallest non-null id, null
+where a class has none; an empty table gives an empty result;
 columns beyond id and text are not read.
 """
 
@@ -228,9 +228,10 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
                 ["node", "sig", "grams"],
             )
 
+    wanted = placed.join(nodes, "node").select(F.col("node").alias("_node"), F.col("id").alias("_id"))
     texts = (
-        rows.join(placed.join(nodes, "node").select("node", "id"), ["node", "id"])
-        .dropDuplicates(["node", "id"])
+        rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
+        .dropDuplicates(["node"])
         .select("node", "text")
         .mapInArrow(gather, "node binary, sig binary, grams binary")
     )

@@ -322,6 +322,14 @@ def test_jaccard(shipped, odd, empty):
     assert ngram_join.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_links_texts_without_ids(shipped):
+    words = [noise(random.Random(k), 6, "abcdefg") for k in range(150)]
+    texts = [" ".join(words), " ".join([*words[:-1], "xyz"]), "alone"]
+    df = shipped.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert sorted(r.n_links for r in ngram_join.jaccard_classes(df).collect()) == [0, 1, 1]
+    assert ngram_join.one_of_each(df).count() == 2
+
+
 def test_neighbours(shipped):
     from capturelake.llm import neighbours
 
