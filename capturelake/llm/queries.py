@@ -134,3 +134,26 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_digests
 
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs, with_planted_runs
+
+    found = periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")))
+    # the greatest exact length / period, then the smallest start, then the smallest period
+    better = lambda a, r: (
+        a.isNull()
+        | (r.length * a.period > a.length * r.period)
+        | ((r.length * a.period == a.length * r.period) & ((r.start < a.start) | ((r.start == a.start) & (r.period < a.period))))
+    )
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    top = F.aggregate("runs", none, lambda a, r: F.when(better(a, r), r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
