@@ -157,3 +157,14 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", "top.start", "top.length", "top.period",
         F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@query
+def op12_pointer_jumping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import alignment_scores
+
+    return alignment_scores(
+        read_table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
