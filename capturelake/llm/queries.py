@@ -168,3 +168,13 @@ def op12_pointer_jumping_alignment(spark: SparkSession, sf_dir: str) -> DataFram
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"),
     )
+
+
+@query
+def op11_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out
+    from .toxicity import fit_on_labels, score_documents
+
+    documents = read_table(spark, sf_dir, "documents")
+    network = fit_on_labels(documents, read_table(spark, sf_dir, "labels"))
+    return score_documents(documents, network).select("doc_id", held_out().alias("held_out"), "score", "predicted")
