@@ -22,6 +22,7 @@ from capturelake.functions.rx import blank_to_null, explode_rows, head, let, mat
 from capturelake.functions.scalars import artifact_hash, at, expires_at, retry_at
 
 from .classify import canonicalize_predicate
+from .coverage import covered_flags, covered_in_order
 from .merge import insert_ignore, stable_id
 
 SPAN = "struct<char_start:int,char_end:int,excerpt:string>"
@@ -49,57 +50,74 @@ def _record(kind: str, **fields: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(kind)
 
 
+#: A response as it is read, in one cast: texts and numbers as text, a wrong type as null.  Values whose JSON type
+#: matters stay variants.
+RAW_SPAN = "struct<char_start:variant,char_end:variant,excerpt:string>"
+RAW_DIMENSION = "struct<dimension_type:string,dimension_value:string,confidence:string,source:string>"
+RAW_CLAIM = (
+    "struct<subject_text:string,predicate:string,object_text:string,object_text_raw:string,object_text_canonical:string,"
+    "me_role:string,modality:string,polarity:string,certainty:string,time_start_utc:string,time_end_utc:string,"
+    f"subject_entity_name:string,object_entity_name:string,dimensions:array<{RAW_DIMENSION}>,evidence_spans:array<{RAW_SPAN}>>"
+)
+RAW_ENTITY = "struct<name:string,entity_type:string,aliases:array<variant>>"
+RAW_LINK = "struct<from_claim_index:variant,to_claim_index:variant,relation_type:string,confidence:string>"
+
+
 def _text(v: Column, field: str) -> Column:
-    return T.strip(F.coalesce(F.try_variant_get(v, f"$.{field}", "string"), F.lit("")))
+    return T.strip(F.coalesce(v[field], F.lit("")))
 
 
-def _whole(v: Column, field: str) -> Column:
+def _whole(raw: Column) -> Column:
     """An integer written as a JSON integer, else null."""
-    raw = F.try_variant_get(v, f"$.{field}", "variant")
-    return F.when(F.schema_of_variant(raw) == "BIGINT", F.try_variant_get(v, f"$.{field}", "int"))
+    return F.when(F.schema_of_variant(raw) == "BIGINT", F.try_variant_get(raw, "$", "int"))
 
 
 def _number(v: Column, field: str) -> Column:
     """A number or numeric text; 0 when absent, null when it is neither."""
-    t = F.try_variant_get(v, f"$.{field}", "string")
-    return F.when(t.isNull(), F.lit(0.0)).otherwise(t.try_cast("double"))
+    return F.when(v[field].isNull(), F.lit(0.0)).otherwise(v[field].try_cast("double"))
 
 
-def _list(v: Column, field: str, cap: int | None) -> Column:
-    """Members of a list field; ``cap`` applies to the raw list, if given."""
-    items = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+def _members(items: Column, cap: int | None) -> Column:
+    """Members of a list field, none where it is no list; ``cap`` applies to the raw list, if given."""
     return items if cap is None else F.slice(items, 1, cap)
 
 
-def repair_spans(v: Column, cap: int | None = None, lengths: Lengths = None) -> Column:
+def _read_all(items: Column, cap: int | None, kind: str, read) -> Column:
+    return F.coalesce(F.transform(_members(items, cap), read), F.array().cast(f"array<{kind}>"))
+
+
+def repair_spans(spans: Column, cap: int | None = None, lengths: Lengths = None) -> Column:
     """Evidence spans of a claim: bad offsets become null, empty ones go."""
 
     def offsets(s: Column) -> Column:
-        start, end = _whole(s, "char_start"), _whole(s, "char_end")
-        good = (start >= 0) & (end >= 0) & (end > start)
-        return _record(
-            SPAN,
-            char_start=F.when(good, start),
-            char_end=F.when(good, end),
-            excerpt=head(_text(s, "excerpt"), _cut(lengths, "excerpt")),
+        return let(
+            F.struct(_whole(s["char_start"]).alias("start"), _whole(s["char_end"]).alias("end")),
+            lambda o: let(
+                (o["start"] >= 0) & (o["end"] >= 0) & (o["end"] > o["start"]),
+                lambda good: _record(
+                    SPAN,
+                    char_start=F.when(good, o["start"]),
+                    char_end=F.when(good, o["end"]),
+                    excerpt=head(_text(s, "excerpt"), _cut(lengths, "excerpt")),
+                ),
+            ),
         )
 
-    return F.filter(F.transform(_list(v, "evidence_spans", cap), offsets), lambda s: s["excerpt"] != "")
+    return F.filter(_read_all(spans, cap, SPAN, offsets), lambda s: s["excerpt"] != "")
 
 
-def filter_dimensions(v: Column, lengths: Lengths = None) -> Column:
+def filter_dimensions(dimensions: Column, lengths: Lengths = None) -> Column:
     def read(d: Column) -> Column:
-        source = F.when(F.try_variant_get(d, "$.source", "string").isNull(), F.lit("llm")).otherwise(_text(d, "source"))
         return _record(
             DIMENSION,
             dimension_type=_text(d, "dimension_type"),
             dimension_value=head(_text(d, "dimension_value"), _cut(lengths, "value")),
             confidence=_number(d, "confidence"),
-            source=source,
+            source=F.when(d["source"].isNull(), F.lit("llm")).otherwise(_text(d, "source")),
         )
 
     return F.filter(
-        F.transform(_list(v, "dimensions", None), read),
+        _read_all(dimensions, None, DIMENSION, read),
         lambda d: d["dimension_type"].isin(*R.DIMENSION_TYPES)
         & (d["dimension_value"] != "")
         & d["source"].isin(*R.DIMENSION_SOURCES)
@@ -108,9 +126,9 @@ def filter_dimensions(v: Column, lengths: Lengths = None) -> Column:
 
 
 def parse_claims(
-    v: Column, caps: dict[str, int] | None = None, map_aliases: bool = False, lengths: Lengths = None
+    claims: Column, caps: dict[str, int] | None = None, map_aliases: bool = False, lengths: Lengths = None
 ) -> Column:
-    """Valid claims of a response, in order.
+    """Valid claims of a response's claims as read, in order.
 
     With ``caps`` the older format is read: no roles or dimensions, and the
     object has one spelling.  With ``map_aliases`` unknown predicates are
@@ -120,31 +138,40 @@ def parse_claims(
     old = bool(caps)
 
     def read(c: Column) -> Column:
-        has_raw = F.try_variant_get(c, "$.object_text_raw", "string").isNotNull()
-        raw = _text(c, "object_text") if old else F.when(has_raw, _text(c, "object_text_raw")).otherwise(_text(c, "object_text"))
-        has_canonical = F.try_variant_get(c, "$.object_text_canonical", "string").isNotNull()
-        canonical = raw if old else F.when(has_canonical, _text(c, "object_text_canonical")).otherwise(raw)
-        predicate = _text(c, "predicate")
-        return _record(
-            CLAIM,
-            subject_text=head(_text(c, "subject_text"), _cut(lengths, "subject")),
-            predicate=canonicalize_predicate(predicate, raw) if map_aliases else predicate,
-            object_text_raw=head(raw, _cut(lengths, "object")),
-            object_text_canonical=head(canonical, _cut(lengths, "object")),
-            me_role=F.lit("none") if old else _text(c, "me_role"),
-            modality=_text(c, "modality"),
-            polarity=_text(c, "polarity"),
-            certainty=_number(c, "certainty"),
-            time_start_utc=blank_to_null(_text(c, "time_start_utc")),
-            time_end_utc=blank_to_null(_text(c, "time_end_utc")),
-            subject_entity_name=blank_to_null(head(_text(c, "subject_entity_name"), _cut(lengths, "name"))),
-            object_entity_name=blank_to_null(head(_text(c, "object_entity_name"), _cut(lengths, "name"))),
-            dimensions=F.array().cast(f"array<{DIMENSION}>") if old else filter_dimensions(c, lengths),
-            evidence_spans=repair_spans(c, caps.get("spans"), lengths),
+        objects = F.array(
+            _text(c, "object_text") if old else T.strip(F.coalesce(c["object_text_raw"], c["object_text"], F.lit(""))),
         )
+        if not old:
+            objects = let(
+                F.get(objects, F.lit(0)),
+                lambda raw: F.array(raw, F.when(c["object_text_canonical"].isNotNull(), _text(c, "object_text_canonical")).otherwise(raw)),
+            )
+
+        def record(o: Column) -> Column:
+            raw, canonical = F.get(o, F.lit(0)), F.get(o, F.lit(0 if old else 1))
+            predicate = _text(c, "predicate")
+            return _record(
+                CLAIM,
+                subject_text=head(_text(c, "subject_text"), _cut(lengths, "subject")),
+                predicate=canonicalize_predicate(predicate, raw) if map_aliases else predicate,
+                object_text_raw=head(raw, _cut(lengths, "object")),
+                object_text_canonical=head(canonical, _cut(lengths, "object")),
+                me_role=F.lit("none") if old else _text(c, "me_role"),
+                modality=_text(c, "modality"),
+                polarity=_text(c, "polarity"),
+                certainty=_number(c, "certainty"),
+                time_start_utc=blank_to_null(_text(c, "time_start_utc")),
+                time_end_utc=blank_to_null(_text(c, "time_end_utc")),
+                subject_entity_name=blank_to_null(head(_text(c, "subject_entity_name"), _cut(lengths, "name"))),
+                object_entity_name=blank_to_null(head(_text(c, "object_entity_name"), _cut(lengths, "name"))),
+                dimensions=F.array().cast(f"array<{DIMENSION}>") if old else filter_dimensions(c["dimensions"], lengths),
+                evidence_spans=repair_spans(c["evidence_spans"], caps.get("spans"), lengths),
+            )
+
+        return let(objects, record)
 
     return F.filter(
-        F.transform(_list(v, "claims", caps.get("claims")), read),
+        _read_all(claims, caps.get("claims"), CLAIM, read),
         lambda c: c["modality"].isin(*R.MODALITIES)
         & c["polarity"].isin(*R.POLARITIES)
         & c["me_role"].isin(*R.ME_ROLES)
@@ -157,12 +184,12 @@ def parse_claims(
     )
 
 
-def parse_entities(v: Column, caps: dict[str, int] | None = None, lengths: Lengths = None) -> Column:
+def parse_entities(entities: Column, caps: dict[str, int] | None = None, lengths: Lengths = None) -> Column:
     caps = caps or {}
 
     def read(e: Column) -> Column:
         aliases = F.transform(
-            _list(e, "aliases", caps.get("aliases")),
+            F.coalesce(_members(e["aliases"], caps.get("aliases")), F.array().cast("array<variant>")),
             lambda a: F.when(F.schema_of_variant(a) == "STRING", T.strip(F.try_variant_get(a, "$", "string"))),
         )
         cut = _cut(lengths, "name")
@@ -170,25 +197,25 @@ def parse_entities(v: Column, caps: dict[str, int] | None = None, lengths: Lengt
         return _record(ENTITY, name=head(_text(e, "name"), cut), entity_type=_text(e, "entity_type"), aliases=kept)
 
     return F.filter(
-        F.transform(_list(v, "entities", caps.get("entities")), read),
+        _read_all(entities, caps.get("entities"), ENTITY, read),
         lambda e: (e["name"] != "") & e["entity_type"].isin(*R.ENTITY_TYPES),
     )
 
 
-def parse_links(v: Column, caps: dict[str, int] | None = None) -> Column:
+def parse_links(links: Column, caps: dict[str, int] | None = None) -> Column:
     caps = caps or {}
 
     def read(k: Column) -> Column:
         return _record(
             LINK,
-            from_idx=_whole(k, "from_claim_index"),
-            to_idx=_whole(k, "to_claim_index"),
+            from_idx=_whole(k["from_claim_index"]),
+            to_idx=_whole(k["to_claim_index"]),
             relation_type=_text(k, "relation_type"),
             confidence=_number(k, "confidence"),
         )
 
     return F.filter(
-        F.transform(_list(v, "links", caps.get("links")), read),
+        _read_all(links, caps.get("links"), LINK, read),
         lambda k: k["relation_type"].isin(*R.RELATIONS)
         & k["from_idx"].isNotNull()
         & k["to_idx"].isNotNull()
@@ -203,14 +230,17 @@ def bundles_from_responses(
     map_aliases: bool = False,
     lengths: Lengths = None,
 ) -> DataFrame:
-    """Adds claims, entities, links and parse_error to documents with content."""
-    v = F.try_parse_json(F.col(content))
-    parsed = df.withColumn("_v", v)
+    """Adds claims, entities, links and parse_error to documents with content.
+
+    The content is parsed once, and each list is read by one cast.
+    """
+    v = F.col("_v")
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(content)))
     return (
-        parsed.withColumn("claims", parse_claims(F.col("_v"), caps, map_aliases, lengths))
-        .withColumn("entities", parse_entities(F.col("_v"), caps, lengths))
-        .withColumn("links", parse_links(F.col("_v"), caps))
-        .withColumn("parse_error", F.when(F.col("_v").isNull(), "content is not json"))
+        parsed.withColumn("claims", parse_claims(F.try_variant_get(v, "$.claims", f"array<{RAW_CLAIM}>"), caps, map_aliases, lengths))
+        .withColumn("entities", parse_entities(F.try_variant_get(v, "$.entities", f"array<{RAW_ENTITY}>"), caps, lengths))
+        .withColumn("links", parse_links(F.try_variant_get(v, "$.links", f"array<{RAW_LINK}>"), caps))
+        .withColumn("parse_error", F.when(v.isNull(), "content is not json"))
         .drop("_v")
     )
 
@@ -306,35 +336,34 @@ def fallback_claims(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     return b.withColumn("claims", F.when(F.size("claims") == 0, F.array(made)).otherwise(F.col("claims")))
 
 
+def _carried(values: Column, kind: str) -> Column:
+    """For each element the last one before it that is not null; one pass."""
+    start = F.struct(F.lit(None).alias("last"), F.array().alias("out")).cast(f"struct<last:{kind},out:array<{kind}>>")
+    step = lambda a, v: F.struct(
+        F.coalesce(v, a["last"]).alias("last"), F.array_append(a["out"], a["last"]).alias("out")
+    )
+    return F.aggregate(values, start, step, lambda a: a["out"])
+
+
 def complete_context(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """State changes told without a topic get the last topic named before.
 
-    Topics are found once per claim; earlier ones are searched only for a
-    claim that needs one.
+    Topics are found once per claim and carried along the claims once.
     """
     topics = F.transform("claims", lambda c: T.extract_topic(c["object_text_canonical"]))
+    any_topic = F.exists("_topics", lambda t: t.isNotNull())
 
     def complete(c: Column, i: Column) -> Column:
         text = T.strip(c["object_text_canonical"])
-        own = F.get(F.col("_topics"), i)
-        needs = own.isNull() & T.needs_completion(text)
-        earlier = F.filter(F.slice(F.col("_topics"), F.lit(1), i), lambda t: t.isNotNull())
-        filled = let(
-            F.try_element_at(earlier, F.lit(-1)),
-            lambda t: F.when(
-                t.isNotNull() & ~text.contains(t),
-                head(F.concat(t, F.lit("が"), T.normalize_time_prefix(text)), _cut(lengths, "object")),
-            ),
-        )
-        return F.when(
-            needs, c.withField("object_text_canonical", F.coalesce(filled, c["object_text_canonical"]))
-        ).otherwise(c)
+        earlier = F.get(F.col("_earlier"), i)
+        needs = F.get(F.col("_topics"), i).isNull() & earlier.isNotNull() & ~text.contains(earlier) & T.needs_completion(text)
+        filled = head(F.concat(earlier, F.lit("が"), T.normalize_time_prefix(text)), _cut(lengths, "object"))
+        return F.when(needs, c.withField("object_text_canonical", filled)).otherwise(c)
 
-    with_topics = b.withColumn("_topics", topics)
-    any_topic = F.exists("_topics", lambda t: t.isNotNull())
-    return with_topics.withColumn(
-        "claims", F.when(any_topic, F.transform("claims", complete)).otherwise(F.col("claims"))
-    ).drop("_topics")
+    carried = b.withColumn("_topics", topics).withColumn("_earlier", F.when(any_topic, _carried(F.col("_topics"), "string")))
+    return carried.withColumn(
+        "claims", F.when(F.col("_earlier").isNotNull(), F.transform("claims", complete)).otherwise(F.col("claims"))
+    ).drop("_topics", "_earlier")
 
 
 def action_clauses(raw_text: Column) -> Column:
@@ -345,32 +374,9 @@ def action_clauses(raw_text: Column) -> Column:
     )
 
 
-def match_form(text: Column) -> Column:
-    """struct(norm, grams) used to compare clauses and claims."""
-    return let(
-        T.normalize_for_match(F.coalesce(text, F.lit(""))),
-        lambda n: F.struct(n.alias("norm"), T.char_ngrams(n).alias("grams")),
-    )
-
-
-def covered(clause: Column, seen: Column) -> Column:
-    """Whether any seen form contains, is in, or overlaps the clause form."""
-
-    def near(s: Column) -> Column:
-        inside = clause["norm"].contains(s["norm"]) | s["norm"].contains(clause["norm"])
-        smaller = F.greatest(F.least(F.size(clause["grams"]), F.size(s["grams"])), F.lit(1))
-        overlap = F.size(F.array_intersect(clause["grams"], s["grams"])) / smaller
-        return (s["norm"] != "") & (inside | (overlap >= R.COVERED_RATIO))
-
-    return (clause["norm"] == "") | F.exists(seen, near)
-
-
 def covered_clauses(b: DataFrame, clauses: str, texts: str) -> DataFrame:
     """Adds covered: one flag per clause, by the texts of the same row."""
-    forms = b.withColumn("_seen", F.transform(texts, match_form))
-    return forms.withColumn(
-        "covered", F.transform(clauses, lambda c: let(match_form(c), lambda m: covered(m, F.col("_seen"))))
-    ).drop("_seen")
+    return b.withColumn("covered", covered_flags(F.col(clauses), F.col(texts)))
 
 
 def clause_claim(clause: Column, start: Column, lengths: Lengths = None) -> Column:
@@ -390,29 +396,17 @@ def clause_claim(clause: Column, start: Column, lengths: Lengths = None) -> Colu
 def augment_claims(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """Appends action clauses no claim covers.
 
-    An appended clause covers later ones too, so the clauses are folded in
-    order with the accepted ones as the state.
+    An appended clause covers later ones too, so they are judged in order.
     """
-    form = "array<struct<clause:string,m:struct<norm:string,grams:array<string>>>>"
-    prepared = b.withColumn("_clauses", action_clauses(F.col("raw_text"))).withColumn(
-        "_seen", F.when(F.size("_clauses") > 0, F.transform("claims", lambda c: match_form(c["object_text_canonical"])))
-    )
-
-    def fold(accepted: Column, clause: Column) -> Column:
-        def decide(m: Column) -> Column:
-            known = covered(m, F.col("_seen")) | covered(m, F.transform(accepted, lambda a: a["m"]))
-            one = F.array(F.struct(clause.alias("clause"), m.alias("m"))).cast(form)
-            return F.when(known, accepted).otherwise(F.concat(accepted, one))
-
-        return let(match_form(clause), decide)
-
-    appended = F.transform(
-        F.aggregate("_clauses", F.array().cast(form), fold),
-        lambda a: clause_claim(a["clause"], F.col("occurred_at_utc"), lengths),
+    prepared = b.withColumn("_clauses", action_clauses(F.col("raw_text")))
+    some = F.size("_clauses") > 0
+    seen = F.when(some, F.transform("claims", lambda c: c["object_text_canonical"]))
+    judged = prepared.withColumn("_covered", covered_in_order(F.when(some, F.col("_clauses")), seen))
+    fresh = F.filter("_clauses", lambda c, i: ~F.get(F.col("_covered"), i))
+    appended = F.transform(fresh, lambda c: clause_claim(c, F.col("occurred_at_utc"), lengths))
+    return judged.withColumn("claims", F.when(some, F.concat("claims", appended)).otherwise(F.col("claims"))).drop(
+        "_clauses", "_covered"
     )
-    return prepared.withColumn(
-        "claims", F.when(F.size("_clauses") > 0, F.concat("claims", appended)).otherwise(F.col("claims"))
-    ).drop("_clauses", "_seen")
 
 
 def valid_links(b: DataFrame, size: Column | None = None) -> DataFrame:
@@ -455,9 +449,8 @@ def infer_causes(b: DataFrame) -> DataFrame:
             F.lit(0),
         ),
     )
-    stated = F.exists(
-        "links", lambda k: (k["relation_type"] == "caused_by") & F.array_contains(F.col("_d"), k["from_idx"])
-    )
+    decides = lambda i: F.coalesce(F.get("claims", i)["predicate"].isin(*R.DECISION_PREDICATES), F.lit(False))
+    stated = F.exists("links", lambda k: (k["relation_type"] == "caused_by") & decides(k["from_idx"]))
     infer = ~stated & F.col("_c").isNotNull()
     return prepared.withColumn(
         "links",
@@ -497,23 +490,36 @@ def normalize_bundles(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     return context_claims(infer_causes(linked), lengths)
 
 
+def new_places(keep: Column, drop: Column) -> Column:
+    """Where each element of an array goes when only some stay, null for the others, from both lists of positions.
+
+    One sort by the old position, so that every look-up is by index.
+    """
+    stay = F.transform(keep, lambda old, new: F.struct(old.alias("old"), new.cast("int").alias("new")))
+    gone = F.transform(drop, lambda old: F.struct(old.alias("old"), F.lit(None).cast("int").alias("new")))
+    return F.transform(F.array_sort(F.concat(stay, gone)), lambda x: x["new"])
+
+
 def quality_gate(b: DataFrame) -> DataFrame:
     """Drops claims with a blank object, re-indexes links, adds quality_flags."""
 
     def blank(c: Column) -> Column:
         return T.strip(F.coalesce(c["object_text_canonical"], F.lit(""))) == ""
 
-    prepared = b.withColumn("_keep", _indexes(lambda c: ~blank(c))).withColumn("_bad", _indexes(blank))
+    prepared = b.withColumn("_keep", _indexes(lambda c: ~blank(c))).withColumn("_bad", _indexes(blank)).withColumn(
+        "_place", F.when(F.size("_bad") > 0, new_places(F.col("_keep"), F.col("_bad")))
+    )
 
     def moved(i: Column) -> Column:
-        return (F.array_position(F.col("_keep"), i) - 1).cast("int")
+        inside = (i >= 0) & (i < F.size("claims"))
+        return F.when(inside, F.coalesce(F.get(F.col("_place"), i), F.when(F.col("_place").isNull(), i)))
 
     links = F.filter(
         F.transform(
             "links",
             lambda k: k.withField("from_idx", moved(k["from_idx"])).withField("to_idx", moved(k["to_idx"])),
         ),
-        lambda k: (k["from_idx"] >= 0) & (k["to_idx"] >= 0),
+        lambda k: k["from_idx"].isNotNull() & k["to_idx"].isNotNull(),
     )
     return (
         prepared.withColumn("links", links)
@@ -522,7 +528,7 @@ def quality_gate(b: DataFrame) -> DataFrame:
             "quality_flags",
             F.transform("_bad", lambda i: F.concat(F.lit("claim_rejected:"), i.cast("string"))),
         )
-        .drop("_keep", "_bad")
+        .drop("_keep", "_bad", "_place")
     )
 
 
@@ -581,17 +587,47 @@ def upsert_aliases(mentions: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def _first_by(items: Column, key) -> Column:
-    """Members of an array whose key was not seen before."""
-    return let(
-        F.transform(items, key),
-        lambda ks: F.filter(items, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1),
+    """Members of an array whose key was not seen before, in order; two sorts."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    heads = let(
+        keyed,
+        lambda ks: F.filter(ks, lambda e, j: (j == 0) | ~F.get(ks, j - 1)["k"].eqNullSafe(e["k"])),
     )
+    ordered = F.array_sort(F.transform(heads, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.transform(ordered, lambda e: e["x"])
 
 
-def _last_type(name: Column) -> Column:
-    """Type of the last entity with this name in the document."""
-    same = F.filter(F.col("entities"), lambda e: e["name"] == name)
-    return F.try_element_at(same, F.lit(-1))["entity_type"]
+def _named_types(claims: Column, entities: Column, name: str) -> Column:
+    """For each claim the type of the last entity with its subject's or object's name; null without one.
+
+    Names of claims and entities are sorted together once and the type is
+    carried along; a second sort brings the claims' order back.
+    """
+    kind = "struct<name:string,side:int,place:int,type:string>"
+    none = F.lit(None)
+    told = F.transform(
+        entities,
+        lambda e, i: F.struct(e["name"].alias("name"), F.lit(0).alias("side"), i.alias("place"), e["entity_type"].alias("type")).cast(kind),
+    )
+    asked = F.transform(
+        claims, lambda c, i: F.struct(c[name].alias("name"), F.lit(1).alias("side"), i.alias("place"), none.alias("type")).cast(kind)
+    )
+    start = F.struct(none.alias("name"), none.alias("type"), F.array().alias("out")).cast(
+        "struct<name:string,type:string,out:array<struct<place:int,type:string>>>"
+    )
+
+    def walk(a: Column, x: Column) -> Column:
+        entity = x["side"] == 0
+        type_ = F.when(entity, x["type"]).when(a["name"] == x["name"], a["type"])
+        answer = F.array_append(a["out"], F.struct(x["place"].alias("place"), type_.alias("type")))
+        return F.struct(
+            F.when(entity, x["name"]).otherwise(a["name"]).alias("name"),
+            F.when(entity, x["type"]).otherwise(a["type"]).alias("type"),
+            F.when(entity, a["out"]).otherwise(answer).alias("out"),
+        )
+
+    found = F.aggregate(F.array_sort(F.concat(told, asked)), start, walk, lambda a: F.array_sort(a["out"]))
+    return F.transform(found, lambda x: x["type"])
 
 
 def write_bundle(
@@ -605,15 +641,10 @@ def write_bundle(
     written = F.size("claims") > 0
     ready = b.withColumn("entities", F.when(written, F.col("entities")).otherwise(F.slice("entities", 1, 0)))
     keep = ["document_id", "entry_id", extraction_id]
-    typed = F.transform(
-        "claims",
-        lambda c: F.struct(
-            c.alias("c"),
-            _last_type(c["subject_entity_name"]).alias("subject_entity_name"),
-            _last_type(c["object_entity_name"]).alias("object_entity_name"),
-        ),
-    )
-    base = explode_rows(ready.withColumn("_rows", typed), "_rows", *keep, item="r").withColumn("c", F.col("r.c"))
+    sides = ["subject_entity_name", "object_entity_name"]
+    named = ready.withColumns({n: _named_types(F.col("claims"), F.col("entities"), n) for n in sides})
+    rows = named.withColumn("_rows", F.arrays_zip("claims", *sides))
+    base = explode_rows(rows, "_rows", *keep, item="r").withColumn("c", F.col("r.claims"))
 
     def claim_id(ord_col: Column) -> Column:
         return stable_id(F.lit("claim"), "document_id", extraction_id, ord_col)
