@@ -53,19 +53,26 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
+    # the first run of claims_search also writes the stored claims that it reads
+    first: dict[str, float] = {}
     for name in HEADLINE:
         best = None
         for _ in range(runs):
             t0 = time.time()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.time() - t0
+            first.setdefault(name, round(took, 3))
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
-        print(f"{name} {times[name]}", file=sys.stderr)
+        print(f"{name} {times[name]} (first {first[name]})", file=sys.stderr)
     spark.stop()
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
-    print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": float(sf)}))
+    print(
+        json.dumps(
+            {"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "first_runs": first, "sf": float(sf)}
+        )
+    )
 
 
 if __name__ == "__main__":

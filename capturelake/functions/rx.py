@@ -61,6 +61,17 @@ def str_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def first_by(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Members of an array whose key was not seen before, in order; two sorts."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    heads = let(
+        keyed,
+        lambda ks: F.filter(ks, lambda e, j: (j == 0) | ~F.get(ks, j - 1)["k"].eqNullSafe(e["k"])),
+    )
+    ordered = F.array_sort(F.transform(heads, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.transform(ordered, lambda e: e["x"])
+
+
 def explode_rows(df, array: str, *keep: str, ord_name: str = "ord", item: str = "item"):
     """One row per array element, with its 0-based ordinal.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
 from capturelake.functions import text as T
-from capturelake.functions.rx import blank_to_null, explode_rows, head, let, matches
+from capturelake.functions.rx import blank_to_null, explode_rows, first_by, head, let, matches
 from capturelake.functions.scalars import artifact_hash, at, expires_at, retry_at
 
 from .classify import canonicalize_predicate
@@ -46,7 +46,7 @@ def _cut(lengths: Lengths, kind: str) -> int | None:
     return (lengths or {}).get(kind)
 
 
-def _record(kind: str, **fields: Column) -> Column:
+def record(kind: str, **fields: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(kind)
 
 
@@ -94,7 +94,7 @@ def repair_spans(spans: Column, cap: int | None = None, lengths: Lengths = None)
             F.struct(_whole(s["char_start"]).alias("start"), _whole(s["char_end"]).alias("end")),
             lambda o: let(
                 (o["start"] >= 0) & (o["end"] >= 0) & (o["end"] > o["start"]),
-                lambda good: _record(
+                lambda good: record(
                     SPAN,
                     char_start=F.when(good, o["start"]),
                     char_end=F.when(good, o["end"]),
@@ -108,7 +108,7 @@ def repair_spans(spans: Column, cap: int | None = None, lengths: Lengths = None)
 
 def filter_dimensions(dimensions: Column, lengths: Lengths = None) -> Column:
     def read(d: Column) -> Column:
-        return _record(
+        return record(
             DIMENSION,
             dimension_type=_text(d, "dimension_type"),
             dimension_value=head(_text(d, "dimension_value"), _cut(lengths, "value")),
@@ -147,10 +147,10 @@ def parse_claims(
                 lambda raw: F.array(raw, F.when(c["object_text_canonical"].isNotNull(), _text(c, "object_text_canonical")).otherwise(raw)),
             )
 
-        def record(o: Column) -> Column:
+        def shaped(o: Column) -> Column:
             raw, canonical = F.get(o, F.lit(0)), F.get(o, F.lit(0 if old else 1))
             predicate = _text(c, "predicate")
-            return _record(
+            return record(
                 CLAIM,
                 subject_text=head(_text(c, "subject_text"), _cut(lengths, "subject")),
                 predicate=canonicalize_predicate(predicate, raw) if map_aliases else predicate,
@@ -168,7 +168,7 @@ def parse_claims(
                 evidence_spans=repair_spans(c["evidence_spans"], caps.get("spans"), lengths),
             )
 
-        return let(objects, record)
+        return let(objects, shaped)
 
     return F.filter(
         _read_all(claims, caps.get("claims"), CLAIM, read),
@@ -194,7 +194,7 @@ def parse_entities(entities: Column, caps: dict[str, int] | None = None, lengths
         )
         cut = _cut(lengths, "name")
         kept = F.transform(F.filter(aliases, lambda a: a.isNotNull() & (a != "")), lambda a: head(a, cut))
-        return _record(ENTITY, name=head(_text(e, "name"), cut), entity_type=_text(e, "entity_type"), aliases=kept)
+        return record(ENTITY, name=head(_text(e, "name"), cut), entity_type=_text(e, "entity_type"), aliases=kept)
 
     return F.filter(
         _read_all(entities, caps.get("entities"), ENTITY, read),
@@ -206,7 +206,7 @@ def parse_links(links: Column, caps: dict[str, int] | None = None) -> Column:
     caps = caps or {}
 
     def read(k: Column) -> Column:
-        return _record(
+        return record(
             LINK,
             from_idx=_whole(k["from_claim_index"]),
             to_idx=_whole(k["to_claim_index"]),
@@ -261,7 +261,7 @@ def ensure_evidence(spans: Column, canonical: Column, raw: Column, lengths: Leng
         blank_to_null(head(raw, cut)), blank_to_null(head(canonical, cut)), F.lit("evidence unavailable")
     )
     none = F.lit(None).cast("int")
-    one = F.array(_record(SPAN, char_start=none, char_end=none, excerpt=excerpt))
+    one = F.array(record(SPAN, char_start=none, char_end=none, excerpt=excerpt))
     return F.when(F.size(spans) == 0, one).otherwise(spans)
 
 
@@ -277,7 +277,7 @@ def me_centric(b: DataFrame, lengths: Lengths = None) -> DataFrame:
         canonical = restore_language(
             F.coalesce(blank_to_null(c["object_text_canonical"]), raw), c["evidence_spans"], F.col("_cjk"), lengths
         )
-        return _record(
+        return record(
             CLAIM,
             subject_text=subject,
             predicate=canonicalize_predicate(c["predicate"], raw),
@@ -298,10 +298,10 @@ def me_centric(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     return prepared.withColumn("claims", F.transform("claims", normalise)).drop("_cjk", "_raw")
 
 
-def _made_claim(subject, predicate, text, role, modality, certainty, start, excerpt) -> Column:
+def made_claim(subject, predicate, text, role, modality, certainty, start, excerpt) -> Column:
     none = F.lit(None)
-    span = _record(SPAN, char_start=none.cast("int"), char_end=none.cast("int"), excerpt=excerpt)
-    return _record(
+    span = record(SPAN, char_start=none.cast("int"), char_end=none.cast("int"), excerpt=excerpt)
+    return record(
         CLAIM,
         subject_text=F.lit(subject),
         predicate=predicate,
@@ -323,7 +323,7 @@ def _made_claim(subject, predicate, text, role, modality, certainty, start, exce
 def fallback_claims(b: DataFrame, lengths: Lengths = None) -> DataFrame:
     """A document without claims gets one that says what was recorded."""
     text = T.strip(F.coalesce(F.col("raw_text"), F.lit("")))
-    made = _made_claim(
+    made = made_claim(
         "me",
         F.lit("experienced"),
         F.coalesce(blank_to_null(head(text, _cut(lengths, "object"))), F.lit("entry recorded")),
@@ -381,7 +381,7 @@ def covered_clauses(b: DataFrame, clauses: str, texts: str) -> DataFrame:
 
 def clause_claim(clause: Column, start: Column, lengths: Lengths = None) -> Column:
     plan = matches(clause, R.PLAN_HINT, ci=True)
-    return _made_claim(
+    return made_claim(
         "me",
         F.when(plan, "planned").otherwise("did"),
         head(clause, _cut(lengths, "object")),
@@ -431,7 +431,7 @@ def _decisions() -> Column:
 def _cause_links(decisions: Column, cause: Column, confidence: float) -> Column:
     return F.transform(
         decisions,
-        lambda d: _record(
+        lambda d: record(
             LINK, from_idx=d, to_idx=cause, relation_type=F.lit("caused_by"), confidence=F.lit(confidence)
         ),
     )
@@ -469,7 +469,7 @@ def context_claims(b: DataFrame, lengths: Lengths = None) -> DataFrame:
         & ~F.exists("claims", lambda c: c["predicate"].isin(*R.EVENT_PREDICATES))
         & (matches(text, R.RAIN_HINT, ci=True) | matches(text, R.CAUSE_HINT, ci=True)),
     )
-    made = _made_claim(
+    made = made_claim(
         "context", F.lit("happened"), F.coalesce(told, F.lit("context event happened")), "none", F.lit("fact"), F.lit(0.7),
         F.col("occurred_at_utc"), F.coalesce(told, F.lit("context event")),
     )
@@ -586,17 +586,6 @@ def upsert_aliases(mentions: DataFrame, existing: DataFrame) -> DataFrame:
     return out.select("entity_id", "alias", "normalized_alias")
 
 
-def _first_by(items: Column, key) -> Column:
-    """Members of an array whose key was not seen before, in order; two sorts."""
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
-    heads = let(
-        keyed,
-        lambda ks: F.filter(ks, lambda e, j: (j == 0) | ~F.get(ks, j - 1)["k"].eqNullSafe(e["k"])),
-    )
-    ordered = F.array_sort(F.transform(heads, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
-    return F.transform(ordered, lambda e: e["x"])
-
-
 def _named_types(claims: Column, entities: Column, name: str) -> Column:
     """For each claim the type of the last entity with its subject's or object's name; null without one.
 
@@ -689,7 +678,7 @@ def write_bundle(
     normed = rows.withColumn("_dims", F.transform("c.dimensions", lambda d: d.withField("normalized_value", norm(d))))
     unique = normed.withColumn(
         "_dims",
-        _first_by(F.col("_dims"), lambda d: F.struct(d["dimension_type"], d["normalized_value"], d["source"])),
+        first_by(F.col("_dims"), lambda d: F.struct(d["dimension_type"], d["normalized_value"], d["source"])),
     )
     dims = explode_rows(unique, "_dims", "claim_id").select("claim_id", "ord", "item.*", at(as_of).alias("created_at"))
     spans = explode_rows(
@@ -698,7 +687,7 @@ def write_bundle(
     n = F.size("claims")
     in_range = ready.withColumn(
         "_links",
-        _first_by(
+        first_by(
             F.filter("links", lambda k: (k["from_idx"] < n) & (k["to_idx"] < n)),
             lambda k: F.struct(k["from_idx"], k["to_idx"], k["relation_type"]),
         ),
@@ -719,7 +708,7 @@ def write_bundle(
 def bundle_counts(b: DataFrame) -> DataFrame:
     """Per document: claims, evidence spans, entities and links written."""
     n = F.size("claims")
-    unique_links = _first_by(
+    unique_links = first_by(
         F.filter("links", lambda k: (k["from_idx"] < n) & (k["to_idx"] < n)),
         lambda k: F.struct(k["from_idx"], k["to_idx"], k["relation_type"]),
     )

@@ -102,14 +102,6 @@ def predicted_label() -> Column:
     return F.when(F.col("is_task"), "task").otherwise(F.col("note_type"))
 
 
-def detect_note_type(df: DataFrame, **kw) -> DataFrame:
-    return classify(df, **kw).select(*df.columns, "note_type")
-
-
-def is_task(df: DataFrame, **kw) -> DataFrame:
-    return classify(df, **kw).select(*df.columns, "is_task")
-
-
 def detect_predicate(
     sentence: ColumnOrName,
     lemmas: ColumnOrName | None = None,

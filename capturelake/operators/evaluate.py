@@ -25,10 +25,12 @@ def class_metrics(
     e, p = F.col(expected), F.col(predicted)
     counts = []
     for i, label in enumerate(labels):
+        # a missing prediction or expectation is another label
+        is_p, is_e = p.eqNullSafe(F.lit(label)), e.eqNullSafe(F.lit(label))
         counts += [
-            F.count_if((p == label) & (e == label)).alias(f"tp{i}"),
-            F.count_if((p == label) & (e != label)).alias(f"fp{i}"),
-            F.count_if((p != label) & (e == label)).alias(f"fn{i}"),
+            F.count_if(is_p & is_e).alias(f"tp{i}"),
+            F.count_if(is_p & ~is_e).alias(f"fp{i}"),
+            F.count_if(~is_p & is_e).alias(f"fn{i}"),
         ]
     totals = df.agg(F.count(F.lit(1)).alias("samples"), F.count_if(p == e).alias("correct"), *counts)
     per_label = F.array(

@@ -7,18 +7,19 @@ and the cap need no shuffle; only the insert does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
 from capturelake.functions import text as T
-from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, explode_rows, let, matches, str_array
+from capturelake.functions.rx import ColumnOrName, as_col, blank_to_null, explode_rows, first_by, let, matches, str_array
 from capturelake.functions.scalars import at, object_json, object_type
 
 from .classify import detect_predicate
-from .merge import counted, insert_ignore, merge_rows, stable_id, top_per_key
+from .merge import counted, merge_rows, stable_id, top_per_key
 
 FACT_TYPE = (
     "struct<subject:string,predicate:string,object_text:string,object_type:string,object_json:string,"
@@ -28,7 +29,7 @@ FACTS_TYPE = f"array<{FACT_TYPE}>"
 TOKENS_TYPE = "array<struct<surface:string,lemma:string,pos:string>>"
 
 
-def _fact(subject, predicate, obj, kind, json, evidence, occurred, confidence) -> Column:
+def make_fact(subject, predicate, obj, kind, json, evidence, occurred, confidence) -> Column:
     return F.struct(
         subject.alias("subject"),
         predicate.alias("predicate"),
@@ -45,7 +46,7 @@ def _meta(subject: Column, predicate: str, value: Column, confidence: float, kin
     none = F.lit(None).cast("string")
     text = value.cast("string")
     json = F.concat(F.lit('{"value": '), text, F.lit("}")) if kind == "number" else none
-    fact = _fact(
+    fact = make_fact(
         subject,
         F.lit(predicate),
         text,
@@ -136,7 +137,7 @@ def sentence_fact(
         predicate = verdict["predicate"]
         return let(
             object_text(sentence, predicate, tokens),
-            lambda obj: _fact(
+            lambda obj: make_fact(
                 subject,
                 predicate,
                 obj,
@@ -172,19 +173,12 @@ def dedupe_array(facts: Column, max_facts: int | None = None) -> Column:
         lambda f: (T.strip(f["subject"]) != "") & (T.strip(f["predicate"]) != "") & (T.strip(f["object_text"]) != ""),
     )
 
-    def firsts(rows: Column) -> Column:
-        keys = F.transform(
-            rows,
-            lambda f: F.struct(
-                T.lemma_form(f["subject"]), T.lemma_form(f["predicate"]), T.normalize_for_dedupe(f["object_text"])
-            ),
-        )
-        return let(
-            keys,
-            lambda ks: F.filter(rows, lambda f, i: F.array_position(ks, F.get(ks, i)) == i + 1),
+    def key(f: Column) -> Column:
+        return F.struct(
+            T.lemma_form(f["subject"]).alias("s"), T.lemma_form(f["predicate"]).alias("p"), T.normalize_for_dedupe(f["object_text"]).alias("o")
         )
 
-    kept = let(filled, firsts)
+    kept = first_by(filled, key)
     return kept if max_facts is None else F.slice(kept, 1, max_facts)
 
 
@@ -208,37 +202,59 @@ def dedupe_facts(facts: DataFrame, owner: str, max_facts: int | None = None) ->
     return first if max_facts is None else top_per_key(first, [owner], [F.asc("ord")], max_facts)
 
 
-def extract_note_facts(notes: DataFrame, max_facts: int | None = None, hints=R.PREDICATE_HINTS) -> DataFrame:
+Tokenizer = Callable[[Column], Column]
+
+
+def _with_facts(
+    owners: DataFrame, meta: Column, text: list[str], fact: Callable[[Column, Column | None], Column], max_facts: int | None, tokenize: Tokenizer | None
+) -> DataFrame:
+    """Owners with a ``facts`` array: the facts of their fields, then those of their sentences.
+
+    ``tokenize`` maps the array of sentences to an array of token arrays in the
+    same order; a short sentence of one token is then dropped.
+    """
+    base = owners.withColumn("_meta", meta).withColumn("_sents", T.split_sentences(owner_text(text)))
+    if tokenize is None:
+        read = base.withColumn("_sents", cap_candidates(F.col("_meta"), F.col("_sents"), max_facts))
+        found = F.transform("_sents", lambda s: fact(s, None))
+    else:
+        paired = base.withColumn("_tokens", tokenize(F.col("_sents")).cast(f"array<{TOKENS_TYPE}>")).withColumn(
+            "_sents", F.filter(F.arrays_zip("_sents", "_tokens"), lambda p: T.keep_sentence(p["_sents"], p["_tokens"]))
+        )
+        read = paired.withColumn("_sents", cap_candidates(F.col("_meta"), F.col("_sents"), max_facts)).drop("_tokens")
+        found = F.transform("_sents", lambda p: fact(p["_sents"], p["_tokens"]))
+    rows = read.withColumn("_text_facts", found)
+    return rows.withColumn("facts", dedupe_array(F.concat("_meta", "_text_facts"), max_facts)).drop("_meta", "_sents", "_text_facts")
+
+
+def extract_note_facts(
+    notes: DataFrame, max_facts: int | None = None, hints=R.PREDICATE_HINTS, tokenize: Tokenizer | None = None
+) -> DataFrame:
     """Notes with a ``facts`` array."""
-    base = notes.withColumn("_meta", note_meta_facts()).withColumn(
-        "_sents", T.split_sentences(owner_text(["title", "summary", "body"]))
-    )
-    rows = base.withColumn("_sents", cap_candidates(F.col("_meta"), F.col("_sents"), max_facts)).withColumn(
-        "_text_facts",
-        F.transform("_sents", lambda s: sentence_fact(s, F.lit("me"), F.col("occurred_at"), hints=hints)),
-    )
-    return rows.withColumn("facts", dedupe_array(F.concat("_meta", "_text_facts"), max_facts)).drop(
-        "_meta", "_sents", "_text_facts"
-    )
 
+    def fact(s: Column, tokens: Column | None) -> Column:
+        return sentence_fact(s, F.lit("me"), F.col("occurred_at"), tokens=tokens, hints=hints)
+
+    return _with_facts(notes, note_meta_facts(), ["title", "summary", "body"], fact, max_facts, tokenize)
 
-def extract_task_facts(tasks: DataFrame, max_facts: int | None = None, hints=R.PREDICATE_HINTS) -> DataFrame:
+
+def extract_task_facts(
+    tasks: DataFrame, max_facts: int | None = None, hints=R.PREDICATE_HINTS, tokenize: Tokenizer | None = None
+) -> DataFrame:
+    """Tasks with a ``facts`` array."""
     subject = F.concat(F.lit("task:"), F.col("task_id"))
-    base = tasks.withColumn("_meta", task_meta_facts()).withColumn(
-        "_sents", T.split_sentences(owner_text(["title", "details"]))
-    )
-    rows = base.withColumn("_sents", cap_candidates(F.col("_meta"), F.col("_sents"), max_facts)).withColumn(
-        "_text_facts", F.transform("_sents", lambda s: sentence_fact(s, subject, task=True, hints=hints))
-    )
-    return rows.withColumn("facts", dedupe_array(F.concat("_meta", "_text_facts"), max_facts)).drop(
-        "_meta", "_sents", "_text_facts"
-    )
+
+    def fact(s: Column, tokens: Column | None) -> Column:
+        return sentence_fact(s, subject, task=True, tokens=tokens, hints=hints)
+
+    return _with_facts(tasks, task_meta_facts(), ["title", "details"], fact, max_facts, tokenize)
 
 
-def fact_rows(owners: DataFrame, kind: str, extractor_version: str = "rules-v1") -> DataFrame:
-    """One key_facts row per fact of a frame with a ``facts`` array."""
+def fact_rows(owners: DataFrame, kind: str, extractor_version: str = "rules-v1", outer: bool = False) -> DataFrame:
+    """One key_facts row per fact of a frame with a ``facts`` array; with ``outer`` also a row, without ord, per owner without facts."""
     owner = f"{kind}_id"
-    rows = explode_rows(owners, "facts", owner).select(owner, "ord", "item.*")
+    rows = owners.select(owner, F.posexplode_outer("facts").alias("ord", "item")) if outer else explode_rows(owners, "facts", owner)
+    rows = rows.select(owner, "ord", "item.*")
     ids = {
         "note_id": F.col(owner) if kind == "note" else F.lit(None).cast("string"),
         "task_id": F.col(owner) if kind == "task" else F.lit(None).cast("string"),
@@ -301,17 +317,36 @@ def validate_facts(facts: DataFrame, length_limits: bool = False) -> DataFrame:
     return facts.withColumn("reason", F.coalesce(*[F.when(test, text) for test, text in rules + (lengths if length_limits else [])]))
 
 
+def flag_inserts(existing: DataFrame, new: DataFrame, min_conf: float = R.MIN_CONFIDENCE) -> DataFrame:
+    """``new`` with ``inserted``: whether an insert against the active existing facts adds the row.
+
+    The new facts are evaluated once: winners per key are ranked and known keys
+    joined in the one frame, so rows and counts come from the same flags.
+    """
+    owner = F.coalesce(F.concat(F.lit("n"), F.col("note_id")), F.concat(F.lit("t"), F.col("task_id")))
+    keys = ["_owner", "subject", "predicate", "object_text"]
+    good = F.col("reason").isNull() & F.coalesce(F.col("confidence") >= min_conf, F.lit(False)) & F.col("ord").isNotNull()
+    active = existing.where(F.col("deleted_at").isNull()).withColumn("_owner", owner).select(*keys).distinct()
+    judged = validate_facts(new).withColumn("_owner", owner).withColumn("_good", good)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_good"), F.asc("ord"))) == 1
+    ranked = judged.withColumn("_first", first).join(active.withColumn("_known", F.lit(True)), keys, "left")
+    flagged = ranked.withColumn("inserted", F.col("_good") & F.col("_first") & F.col("_known").isNull())
+    return flagged.select(*new.columns, "inserted")
+
+
 def insert_facts(
     existing: DataFrame, new: DataFrame, min_conf: float = R.MIN_CONFIDENCE
 ) -> tuple[DataFrame, DataFrame]:
     """(inserted rows, one-row counts) against the active existing facts."""
-    owner = F.coalesce(F.concat(F.lit("n"), F.col("note_id")), F.concat(F.lit("t"), F.col("task_id")))
-    keys = ["_owner", "subject", "predicate", "object_text"]
-    good = validate_facts(new).where(F.col("reason").isNull() & (F.col("confidence") >= min_conf)).drop("reason")
-    active = existing.where(F.col("deleted_at").isNull()).withColumn("_owner", owner)
-    inserted = insert_ignore(active, good.withColumn("_owner", owner), keys, [F.asc("ord")]).drop("_owner")
-    counts = merge_rows(counted(new, "offered"), counted(inserted, "facts_inserted"))
-    return inserted, counts.select("facts_inserted", (F.col("offered") - F.col("facts_inserted")).alias("facts_skipped"))
+    flagged = flag_inserts(existing, new, min_conf)
+    return flagged.where("inserted").drop("inserted"), insert_totals(flagged)
+
+
+def insert_totals(flagged: DataFrame) -> DataFrame:
+    """One row: facts inserted and skipped of a flagged frame."""
+    return flagged.agg(
+        F.count_if("inserted").alias("facts_inserted"), F.count_if(F.col("ord").isNotNull() & ~F.col("inserted")).alias("facts_skipped")
+    )
 
 
 def replace_facts(existing: DataFrame, owners: DataFrame, key: str, as_of: datetime) -> DataFrame:
@@ -345,7 +380,7 @@ def facts_from_responses(df: DataFrame, content: str = "content", max_facts: int
         confidence = F.when(i["confidence"].isNull(), F.lit(0.8)).otherwise(
             F.coalesce(i["confidence"].try_cast("double"), F.lit(0.0))
         )
-        return _fact(
+        return make_fact(
             text("subject"),
             text("predicate"),
             text("object_text"),
@@ -361,16 +396,15 @@ def facts_from_responses(df: DataFrame, content: str = "content", max_facts: int
     return df.withColumn("facts", dedupe_array(F.transform(kept, clean), max_facts))
 
 
-def fact_run_metrics(
-    owners: DataFrame, counts: DataFrame, replaced: DataFrame | None = None, extractor_version: str = "rules-v1"
-) -> DataFrame:
-    """One result row of a fact run; ``owners`` are the processed rows."""
-    parts = [counted(owners, "items_processed"), counts]
-    if replaced is not None:
-        parts.append(counted(replaced, "facts_replaced"))
-    out = merge_rows(*parts)
-    if replaced is None:
-        out = out.withColumn("facts_replaced", F.lit(0).cast("bigint"))
+def fact_run_metrics(flagged: DataFrame, replaced: DataFrame | None = None, extractor_version: str = "rules-v1") -> DataFrame:
+    """One result row of a fact run, from the flagged rows of ``fact_rows(outer=True)``: an owner's first row counts it."""
+    first = F.coalesce(F.col("ord") == 0, F.lit(True))
+    out = flagged.agg(
+        F.count_if(first).alias("items_processed"),
+        F.count_if("inserted").alias("facts_inserted"),
+        F.count_if(F.col("ord").isNotNull() & ~F.col("inserted")).alias("facts_skipped"),
+    )
+    out = out.withColumn("facts_replaced", F.lit(0).cast("bigint")) if replaced is None else merge_rows(out, counted(replaced, "facts_replaced"))
     return out.select(
         "items_processed",
         "facts_inserted",

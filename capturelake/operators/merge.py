@@ -7,6 +7,8 @@ key and task before the shuffle, so a hot key never reaches one task whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ def latest_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> Dat
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    return df.dropDuplicates(keys) if not order else top_per_key(df, keys, order)
+    """One row per key: the first of an order, else the one whose other columns are smallest, so that reruns agree."""
+    rest = [F.col(c).asc_nulls_first() for c in df.columns if c not in keys]
+    return top_per_key(df, keys, [*(order or []), *rest]) if order or rest else df.distinct()
 
 
 def insert_ignore(
@@ -71,14 +75,15 @@ def upsert(
     cols: list[str],
     order: list[Column] | None = None,
 ) -> DataFrame:
-    """Snapshot after "on conflict do update": only ``cols`` take new values."""
+    """Snapshot after "on conflict do update": only ``cols`` take new values; null keys are equal."""
     fresh = first_per_key(new, keys, order).withColumn("_new", F.lit(True)).alias("n")
     old = existing.withColumn("_old", F.lit(True)).alias("o")
-    joined = old.join(fresh, keys, "full_outer")
+    same = reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+    joined = old.join(fresh, same, "full_outer")
     out = []
     for c in existing.columns:
         if c in keys:
-            out.append(F.col(c))
+            out.append(F.when(F.col("o._old"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
         elif c in cols:
             out.append(F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         elif c in new.columns:
@@ -94,12 +99,37 @@ def lww_merge(local: DataFrame, incoming: DataFrame, key: list[str], updated: st
     return top_per_key(both, key, [F.desc(updated), F.desc("_side")]).drop("_side")
 
 
+def ranked_children(
+    df: DataFrame, key: str, order: list[Column], path: str, position: str = "position", parts: int | None = None
+) -> DataFrame:
+    """Rows with their position, from 0, among the rows of their key.
+
+    The rows are dealt by ranges of key and order, so that a hot key fills many
+    tasks, and written once below ``path``, in the session's shared folder.  A
+    row's position is its place in its part, plus the number of its key's rows
+    in the parts before, of which there are as many sums as keys and parts.
+    ``order`` should be total; rows that tie in it stand in any order.
+    """
+    spark = df.sparkSession
+    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(count, F.asc(key), *order).sortWithinPartitions(F.asc(key), *order)
+    dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = rows.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = found.select(
+        F.col(key).alias("_key"), F.col("_part").alias("_own"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    joined = rows.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_own")))
+    return joined.select(*df.columns, (F.col("_place") - F.col("_first") + F.col("_before")).cast("bigint").alias(position))
+
+
 def group_ordered(df: DataFrame, key: str, order_cols: list[Column], value: list[str], name: str) -> DataFrame:
-    """One ordered array of structs per key.
+    """One ordered array of structs per key, for keys whose children fit one row.
 
     The sort keys lead the collected struct, so the array sorts after the
-    aggregation and the shuffle needs no order.  Children of a key must fit
-    one row; callers cap unbounded groups with ``top_per_key`` first.
+    aggregation and the shuffle needs no order.  ``ranked_children`` gives the
+    same as rows with positions, for keys with any number of children.
     """
     lead = [c.alias(f"_k{i}") for i, c in enumerate(order_cols)]
     packed = F.struct(*lead, F.struct(*value).alias("v"))

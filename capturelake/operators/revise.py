@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.pii import redaction_state
@@ -20,6 +20,11 @@ def _replaced(df: DataFrame, changed: dict) -> DataFrame:
     return df.select(*[changed.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
+def before_image(claims: DataFrame) -> Column:
+    """A claim's whole row as it was, nulls too, for the feedback that changes it."""
+    return F.to_json(F.struct(*[F.col(c) for c in claims.columns]), {"ignoreNullFields": "false"})
+
+
 def revise_claims(claims: DataFrame, revisions: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """(claim snapshot, feedback rows) after a batch of revisions.
 
@@ -55,13 +60,15 @@ def revise_claims(claims: DataFrame, revisions: DataFrame, as_of: datetime) -> t
         F.struct(
             F.col("claim_id").alias("claim_id"),
             F.lit("supersede").alias("action"),
-            F.to_json(F.struct(next_id.alias("supersededBy"))).alias("after_json"),
+            before_image(claims).alias("before_json"),
+            F.to_json(F.struct(next_id.alias("supersededBy"), now.alias("at"))).alias("after_json"),
         ),
         F.when(
             blank_to_null("_note").isNotNull(),
             F.struct(
                 next_id.alias("claim_id"),
                 F.lit("revise").alias("action"),
+                F.to_json(F.struct(F.col("claim_id").alias("id"))).alias("before_json"),
                 F.to_json(F.struct(F.col("_note").alias("revisionNote"))).alias("after_json"),
             ),
         ),
@@ -89,6 +96,7 @@ def retract_claims(claims: DataFrame, retractions: DataFrame, as_of: datetime) -
     feedback = claims.where(F.col("deleted_at").isNull()).join(wanted, "claim_id").select(
         "claim_id",
         F.lit("retract").alias("action"),
+        before_image(claims).alias("before_json"),
         F.to_json(F.struct(F.col("_reason").alias("reason")), {"ignoreNullFields": "false"}).alias("after_json"),
         F.lit("user").alias("actor"),
         at(as_of).alias("created_at"),

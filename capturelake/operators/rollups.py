@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from capturelake.functions import rules as R
 from capturelake.functions.rx import str_array
 
-from .merge import stable_id, top_per_key, upsert
+from .merge import top_per_key, upsert
 from .usage import bounded
 
 KEYS = ["scope_type", "scope_key", "period_type", "period_start", "period_end"]
@@ -80,38 +80,43 @@ def build_rollup(
     )
 
 
+def dimension_scopes(dims: DataFrame, types: list[str]) -> DataFrame:
+    """claim_id, scope_type, scope_key of dimension rows, each once, for scopes with many keys a claim."""
+    kept = dims.where(F.col("dimension_type").isin(*types) & F.col("normalized_value").isNotNull())
+    return kept.select("claim_id", F.col("dimension_type").alias("scope_type"), F.col("normalized_value").alias("scope_key")).distinct()
+
+
 def build_rollups(
     claims: DataFrame,
     period_type: str,
-    scopes: dict[str, str],
+    scopes: dict[str, str] | None = None,
     model: str = "rules-rollup-v1",
     key_ids: int = KEY_IDS,
     sentences_most: int = SENTENCES,
+    many: DataFrame | None = None,
 ) -> DataFrame:
-    """Rollups of every period for scope "all" and for each named scope.
+    """Rollups of every period for scope "all" and for each other scope.
 
-    ``scopes`` maps a scope type to the column that holds its key.  The top
-    ``key_ids`` per (scope key, period) are found first; "all" is ranked from the
-    union of the first scope's winners, as its own winners are among them.
-    So rows are never multiplied by scopes before they are reduced.
+    ``scopes`` maps a scope type to the column that holds its key; ``many`` has
+    rows of claim_id, scope_type and scope_key, as many as a claim has keys.  A
+    claim whose key is null is not in that scope.  One top-k ranks all scopes:
+    each task keeps its best ``key_ids`` per scope and period before the
+    shuffle, so what is shuffled does not grow with the claims of a scope.
     """
     unit = {"daily": "day", "weekly": "week", "monthly": "month"}[period_type]
     step = F.expr({"daily": "INTERVAL 1 DAY", "weekly": "INTERVAL 7 DAY", "monthly": "INTERVAL 1 MONTH"}[period_type])
     active = claims.where(F.col("deleted_at").isNull()).withColumn("period_start", F.date_trunc(unit, "created_at"))
     fields = ["claim_id", "created_at", "subject_text", "predicate", "object_text_canonical", "period_start"]
-    parts = []
-    for i, (scope, column) in enumerate(scopes.items()):
-        rows = active.select(*fields, F.lit(scope).alias("scope_type"), F.col(column).cast("string").alias("scope_key"))
-        top = top_per_key(rows, ["scope_type", "scope_key", "period_start"], _newest(), key_ids, rank="_rank")
-        parts.append(top)
-        if i == 0:
-            every = top.drop("_rank").withColumn("scope_type", F.lit("all")).withColumn("scope_key", F.lit("all"))
-            keys = ["scope_type", "scope_key", "period_start"]
-            parts.append(top_per_key(every, keys, _newest(), key_ids, rank="_rank"))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    out = _summaries(merged, ["scope_type", "scope_key", "period_start"], sentences_most)
+
+    def scope(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("scope_type"), key.cast("string").alias("scope_key"))
+
+    own = F.array(scope("all", F.lit("all")), *[scope(k, F.col(c)) for k, c in (scopes or {}).items()])
+    rows = active.select(*fields, F.explode(own).alias("s")).where(F.col("s.scope_key").isNotNull()).select(*fields, "s.*")
+    if many is not None:
+        rows = rows.unionByName(active.select(*fields).join(many, "claim_id").select(*fields, "scope_type", "scope_key"))
+    top = top_per_key(rows, ["scope_type", "scope_key", "period_start"], _newest(), key_ids, rank="_rank")
+    out = _summaries(top, ["scope_type", "scope_key", "period_start"], sentences_most)
     return out.select(
         "scope_type",
         "scope_key",
@@ -128,10 +133,6 @@ def upsert_rollups(existing: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(existing, new, KEYS, UPDATED)
 
 
-def rollup_id() -> Column:
-    return stable_id(F.lit("rollup"), *KEYS)
-
-
 def list_rollups(
     df: DataFrame,
     scope: str | None = None,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,6 +133,13 @@ def _like(value: str, escape: bool) -> str:
     return f"%{value}%"
 
 
+def text_hit(text: str, escape: bool = True, columns: list[str] | None = None) -> Column:
+    """Whether any of the columns holds a text, whatever its case."""
+    pattern = _like(text, escape)
+    hits = [F.col(c).ilike(pattern) for c in columns or ["subject_text", "object_text_canonical", "predicate"]]
+    return reduce(lambda a, b: a | b, hits)
+
+
 def search_claims(
     claims: DataFrame,
     docs: DataFrame,
@@ -151,12 +159,7 @@ def search_claims(
     """Active claims by text, enums, one matching dimension row and time."""
     c = claims.where(F.col("deleted_at").isNull())
     if text is not None:
-        pattern = _like(text, escape)
-        c = c.where(
-            F.col("subject_text").ilike(pattern)
-            | F.col("object_text_canonical").ilike(pattern)
-            | F.col("predicate").ilike(pattern)
-        )
+        c = c.where(text_hit(text, escape))
     for column, value in (("modality", modality), ("predicate", predicate), ("me_role", me_role)):
         if value is not None:
             c = c.where(F.col(column) == value)
@@ -168,7 +171,7 @@ def search_claims(
         if dimension_type is not None:
             wanted = wanted.where(F.col("dimension_type") == dimension_type)
         if dimension_value is not None:
-            wanted = wanted.where(F.col("normalized_value").ilike(_like(dimension_value, escape)))
+            wanted = wanted.where(text_hit(dimension_value, escape, ["normalized_value"]))
         c = c.join(wanted.select("claim_id"), "claim_id", "left_semi")
     out = c.join(d, "document_id")
     start = F.coalesce("time_start_utc", "occurred_at_utc")
@@ -182,21 +185,17 @@ def search_claims(
 
 
 def claims_by_entry(df: DataFrame, entry_ids: list | DataFrame, limit: int | None = None) -> DataFrame:
-    """Active claims of each entry; the newest ``limit`` of each if that is given."""
+    """Active claims of each entry, newest first; the newest ``limit`` of each if that is given."""
     active = df.where(F.col("deleted_at").isNull())
     if isinstance(entry_ids, DataFrame):
         active = active.join(entry_ids.select("entry_id"), "entry_id", "left_semi")
     else:
         active = active.where(F.col("entry_id").isin(*entry_ids))
     if limit is None:
-        return active
+        return active.orderBy(F.asc("entry_id"), F.desc("created_at"), F.asc("claim_id"))
     return top_per_key(active, ["entry_id"], [F.desc("created_at"), F.asc("claim_id")], limit)
 
 
-def claims_by_id(df: DataFrame, ids: list[str]) -> DataFrame:
-    return df.where(F.col("deleted_at").isNull() & F.col("claim_id").isin(*ids))
-
-
 def hydrate_claims(claims: DataFrame, spans: DataFrame, dims: DataFrame, feedback: DataFrame) -> DataFrame:
     """Claims with their spans and dimensions (oldest first) and feedback
     (newest first).  Children are reduced to the listed claims, then grouped,

@@ -6,18 +6,21 @@ one claim per sentence of its whole text, plus broken members and bodies.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
 from capturelake.functions import scalars as SC
 from capturelake.functions import text as T
 from capturelake.functions.rx import explode_rows
+from capturelake.operators import claim_store as CS
 from capturelake.operators import claims as C
 from capturelake.operators import search as S
 from capturelake.session import work_dir
 
 from .frames import frame
-from .registry import query, step
+from .registry import STEPS, query, step
 from .structure import AS_OF
 from .text import SENTENCES, sql_strip
 from .usage import text_ts
@@ -298,29 +301,27 @@ def logged(spark, sf_dir):
     return SC.request_cost(errors)
 
 
-@query(
-    "response_errors",
-    """SELECT doc_id, CASE WHEN error_kind = 'network_error' AND doc_id % 2 = 0 THEN 'timeout' WHEN error_kind <> 'none' THEN 'error' ELSE 'ok' END AS request_status,
+ERRORS = """SELECT doc_id, CASE WHEN error_kind = 'network_error' AND doc_id % 2 = 0 THEN 'timeout' WHEN error_kind <> 'none' THEN 'error' ELSE 'ok' END AS request_status,
       CASE WHEN error_kind = 'none' THEN NULL WHEN error_kind = 'broken_content' THEN 'parse_error' ELSE error_kind END AS error_type,
       CASE error_kind WHEN 'http_error' THEN '500 server error' WHEN 'network_error' THEN CASE WHEN doc_id % 2 = 0 THEN 'read timed out' ELSE 'connection refused' END
-        WHEN 'broken_content' THEN 'content is not json' WHEN 'parse_error' THEN CASE WHEN doc_id % 19 = 5 THEN 'invalid json' ELSE 'missing choices' END END AS error_message FROM claim_docs""",
-    ["claim_docs"],
-)
+        WHEN 'broken_content' THEN 'content is not json' WHEN 'parse_error' THEN CASE WHEN doc_id % 19 = 5 THEN 'invalid json' ELSE 'missing choices' END END AS error_message FROM claim_docs"""
+
+
+@query("response_errors", ERRORS, ["claim_docs"])
 def response_errors(spark, sf_dir):
     return logged(spark, sf_dir).select("doc_id", "request_status", "error_type", "error_message")
 
 
-@query(
-    "response_request_log",
-    """SELECT CAST(doc_id AS VARCHAR) AS source_ref_id, CASE WHEN error_kind = 'network_error' AND doc_id % 2 = 0 THEN 'timeout' WHEN error_kind <> 'none' THEN 'error' ELSE 'ok' END AS status,
+REQUEST_LOG = """SELECT CAST(doc_id AS VARCHAR) AS source_ref_id, CASE WHEN error_kind = 'network_error' AND doc_id % 2 = 0 THEN 'timeout' WHEN error_kind <> 'none' THEN 'error' ELSE 'ok' END AS status,
       CASE WHEN doc_id % 19 IN (3,4,5,6) THEN 0 ELSE length(text) END AS input_tokens, CASE WHEN doc_id % 19 IN (3,4,5,6) THEN 0 ELSE length(text) + doc_id % 50 END AS total_tokens,
       CASE WHEN doc_id % 19 IN (3,4,5,6) THEN 0::DOUBLE ELSE CAST(CASE doc_id % 4
         WHEN 0 THEN round((CAST(length(text) - least(doc_id % 100, length(text)) AS DECIMAL(13,0)) * 0.40::DECIMAL(12,6) + CAST(least(doc_id % 100, length(text)) AS DECIMAL(13,0)) * 0.10::DECIMAL(12,6) + CAST(doc_id % 50 AS DECIMAL(13,0)) * 1.60::DECIMAL(12,6)) * 0.000001::DECIMAL(7,6), 6)
         WHEN 1 THEN round((CAST(length(text) - least(doc_id % 100, length(text)) AS DECIMAL(13,0)) * 0.15::DECIMAL(12,6) + CAST(least(doc_id % 100, length(text)) AS DECIMAL(13,0)) * 0.075::DECIMAL(12,6) + CAST(doc_id % 50 AS DECIMAL(13,0)) * 0.60::DECIMAL(12,6)) * 0.000001::DECIMAL(7,6), 6)
         WHEN 2 THEN round((CAST(length(text) - least(doc_id % 100, length(text)) AS DECIMAL(13,0)) * 2.00::DECIMAL(12,6) + CAST(least(doc_id % 100, length(text)) AS DECIMAL(13,0)) * 0.50::DECIMAL(12,6) + CAST(doc_id % 50 AS DECIMAL(13,0)) * 8.00::DECIMAL(12,6)) * 0.000001::DECIMAL(7,6), 6)
-        ELSE 0 END AS DOUBLE) END AS request_cost_usd FROM claim_docs""",
-    ["claim_docs"],
-)
+        ELSE 0 END AS DOUBLE) END AS request_cost_usd FROM claim_docs"""
+
+
+@query("response_request_log", REQUEST_LOG, ["claim_docs"])
 def response_request_log(spark, sf_dir):
     log = C.request_log(logged(spark, sf_dir))
     return log.select(
@@ -328,17 +329,26 @@ def response_request_log(spark, sf_dir):
     )
 
 
-@query(
-    "response_artifacts",
-    """SELECT 'x-' || CAST(doc_id AS VARCHAR) AS extraction_id, 'prompt_meta' AS artifact_type,
-      sha256('{"input_chars":' || CAST(length(raw_text) AS VARCHAR) || ',"model":"' || (['gpt-4.1-mini','gpt-4o-mini-2024-07-18','gpt-4.1','unlisted-model'])[CAST(doc_id % 4 AS INT) + 1] || '"}') AS sha256, '2024-07-01 00:00:00' AS expires_at FROM claim_docs""",
+MODEL_SQL = "(['gpt-4.1-mini','gpt-4o-mini-2024-07-18','gpt-4.1','unlisted-model'])[CAST(doc_id % 4 AS INT) + 1]"
+# a double of whole millionths as JSON writes it: plain from a thousandth on, else with an exponent
+COST_TEXT = """CASE WHEN micros = 0 THEN '0.0' WHEN micros >= 1000 THEN CAST(micros / 1000000.0::DOUBLE AS VARCHAR)
+  ELSE substr(CAST(micros AS VARCHAR), 1, 1) || '.' || coalesce(nullif(rtrim(substr(CAST(micros AS VARCHAR), 2), '0'), ''), '0') || 'E-' || CAST(7 - length(CAST(micros AS VARCHAR)) AS VARCHAR) END"""
+step(
+    "response_costs",
+    f"""SELECT d.*, l.input_tokens, doc_id % 50 AS output_tokens, CAST(round(l.request_cost_usd * 1000000) AS BIGINT) AS micros, e.error_type, e.error_message
+    FROM claim_docs d JOIN ({REQUEST_LOG}) l ON l.source_ref_id = d.document_id
+      JOIN ({ERRORS}) e USING (doc_id)""",
     ["claim_docs"],
 )
-def response_artifacts(spark, sf_dir):
-    return response_artifacts_all(spark, sf_dir).where("artifact_type = 'prompt_meta'")
+ARTIFACTS = f"""SELECT 'x-' || CAST(doc_id AS VARCHAR) AS extraction_id, a.kind AS artifact_type, sha256(a.body) AS sha256, '2024-07-01 00:00:00' AS expires_at
+    FROM (SELECT doc_id, unnest([struct_pack(kind := 'prompt_meta', body := '{{"input_chars":' || CAST(length(raw_text) AS VARCHAR) || ',"model":"' || {MODEL_SQL} || '"}}'),
+      CASE WHEN error_type IS NULL THEN struct_pack(kind := 'response_meta', body := '{{"input_tokens":' || CAST(input_tokens AS VARCHAR) || ',"openai_request_id":"resp-' || CAST(doc_id AS VARCHAR)
+          || '","output_tokens":' || CAST(output_tokens AS VARCHAR) || ',"request_cost_usd":' || {COST_TEXT} || '}}')
+        ELSE struct_pack(kind := 'validation_error', body := '{{"detail":"' || error_message || '","error_type":"' || error_type || '"}}') END]) AS a FROM response_costs)"""
 
 
-@query("response_artifacts_all")
+@query("response_artifacts", ARTIFACTS, ["response_costs"])
+@query("response_artifacts_all", ARTIFACTS, ["response_costs"])
 def response_artifacts_all(spark, sf_dir):
     return C.artifacts(logged(spark, sf_dir), AS_OF).withColumn("expires_at", text_ts("expires_at"))
 
@@ -434,7 +444,7 @@ def claim_gate(spark, sf_dir):
             "claims",
             F.transform(
                 "_s",
-                lambda s: C._made_claim(
+                lambda s: C.made_claim(
                     "me", F.lit("did"), F.when(s.contains("e"), F.lit(" ")).otherwise(s), "actor", F.lit("fact"), F.lit(0.5), text, text
                 ),
             ),
@@ -443,7 +453,7 @@ def claim_gate(spark, sf_dir):
             "links",
             F.transform(
                 "_s",
-                lambda s, i: C._record(C.LINK, from_idx=i, to_idx=i + 1, relation_type=F.lit("supports"), confidence=F.lit(0.5)),
+                lambda s, i: C.record(C.LINK, from_idx=i, to_idx=i + 1, relation_type=F.lit("supports"), confidence=F.lit(0.5)),
             ),
         )
     )
@@ -482,22 +492,89 @@ def claim_coverage(spark, sf_dir):
     )
 
 
+PLANS = "。次は本を読むつもり、会議に行った、次は本を読むつもりだ。"
+step(
+    "plan_docs",
+    f"SELECT doc_id, {sql_strip('text')} AS clause, regexp_matches(text, '(?i){R.PLAN_HINT}') AND length({sql_strip('text')}) >= 4 AS own FROM documents",
+)
+
+
+@query(
+    "claim_plan_clauses",
+    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS idx, predicate, modality, certainty, md5(clause) AS canonical FROM (
+      SELECT doc_id, 0 AS k, 'planned' AS predicate, 'plan' AS modality, 0.72::DOUBLE AS certainty, clause FROM plan_docs WHERE own
+      UNION ALL SELECT doc_id, 1, 'planned', 'plan', 0.72, '次は本を読むつもり' FROM plan_docs UNION ALL SELECT doc_id, 2, 'did', 'fact', 0.68, '会議に行った' FROM plan_docs)""",
+    ["plan_docs"],
+)
+def claim_plan_clauses(spark, sf_dir):
+    """Clauses that tell a plan or an action, of documents without claims."""
+    docs = documents(spark, sf_dir).withColumn("raw_text", F.concat(F.coalesce("text", F.lit("")), F.lit(PLANS)))
+    none = F.array().cast(f"array<{C.CLAIM}>")
+    rows = explode_rows(C.augment_claims(docs.withColumn("claims", none)), "claims", "doc_id", ord_name="idx", item="c")
+    return rows.select("doc_id", "idx", "c.predicate", "c.modality", "c.certainty", F.md5("c.object_text_canonical").alias("canonical"))
+
+
+ALIAS_SQL = "CASE WHEN predicate <> 'teleported' THEN predicate " + " ".join(
+    f"WHEN regexp_matches('teleported ' || raw_obj, '(?i){p}') THEN '{n}'" for p, n in R.PREDICATE_ALIASES
+) + " ELSE 'mentions' END"
+step("aliased_claims", STEPS["parsed_claims"][1].replace("predicate <> 'teleported' AND ", ""), STEPS["parsed_claims"][0])
+
+
+@query(
+    "claim_parse_aliases",
+    f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, {ALIAS_SQL} AS predicate, md5(raw_obj) AS raw_obj FROM aliased_claims",
+    ["aliased_claims"],
+)
+def claim_parse_aliases(spark, sf_dir):
+    """Claims of all predicates, unknown ones mapped by the alias rules before any is dropped."""
+    b = C.bundles_from_responses(SC.unwrap_responses(responses(spark, sf_dir)), map_aliases=True)
+    rows = explode_rows(b, "claims", "doc_id", ord_name="idx", item="c")
+    return rows.select("doc_id", "idx", "c.predicate", F.md5("c.object_text_raw").alias("raw_obj"))
+
+
 def bundle(spark, sf_dir):
     return C.write_bundle(gated(spark, sf_dir), AS_OF)
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, sf_dir, name, write):
+    """Folder of tables that an application writes once from a table folder, as a claim job would store them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = work_dir(spark, name)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
 def stored_bundle(spark, sf_dir):
     """Child tables over gated bundles that were written once.
 
     For queries that read several of them, as stored claims would be.
     """
-    path = work_dir(spark, "bundles")
-    gated(spark, sf_dir).select(
-        "document_id", "entry_id", "extraction_id", "claims", "entities", "links"
-    ).write.parquet(path)
+    kept = ["document_id", "entry_id", "extraction_id", "claims", "entities", "links"]
+    path = _once(spark, sf_dir, "bundles", lambda p: gated(spark, sf_dir).select(*kept).write.parquet(p))
     return C.write_bundle(spark.read.parquet(path), AS_OF)
 
 
+def claim_store(spark, sf_dir):
+    """Folder of the stored claims, their grams and children."""
+
+    def write(path):
+        b = stored_bundle(spark, sf_dir)
+        chosen = b["claims"].where("predicate = 'chose'").select("claim_id")
+        told = [(0, "revise", AS_OF), (1, "supersede", AS_OF.replace(day=2))]
+        feedback = [
+            chosen.select("claim_id", F.lit(k).alias("ord"), F.lit(action).alias("action"), SC.at(t).alias("created_at")) for k, action, t in told
+        ]
+        children = {"spans": b["spans"], "dimensions": b["dimensions"], "feedback": feedback[0].unionByName(feedback[1])}
+        CS.write_claim_store(b["claims"], doc_table(spark, sf_dir), children, path)
+
+    return _once(spark, sf_dir, "claim-store", write)
+
+
 @query(
     "claim_bundle",
     """SELECT claim_id, document_id, subject_text, predicate, md5(canonical) AS canonical, subject_entity_id, object_entity_id, strftime(time_start, '%Y-%m-%d %H:%M:%S') AS time_start FROM stored_claims""",
@@ -607,6 +684,19 @@ def entity_aliases(spark, sf_dir):
     return C.upsert_aliases(mentions, empty)
 
 
+@query(
+    "entity_aliases_known",
+    """SELECT DISTINCT sha256('entity|concept|' || canonical_name) AS entity_id, substr(canonical_name, 8) AS alias, lower(substr(canonical_name, 8)) AS normalized_alias FROM entity_mentions WHERE ord = 0""",
+    ["entity_mentions"],
+)
+def entity_aliases_known(spark, sf_dir):
+    """The same against a table that holds the aliases of languages already."""
+    mentions = _mentions(spark, sf_dir)
+    known = F.concat(F.lit("lang "), F.lower("canonical_name"))
+    stored = mentions.where(~F.col("canonical_name").startswith("source:")).select("entity_id", known.alias("normalized_alias")).distinct()
+    return C.upsert_aliases(mentions, stored)
+
+
 @query(
     "claim_supersede",
     """SELECT claim_id, CASE WHEN lang = 'en' THEN 'superseded' ELSE 'active' END AS status, CASE WHEN lang = 'en' THEN '2024-07-01 00:00:00' END AS deleted_at FROM stored_claims""",
@@ -636,6 +726,16 @@ SEARCH_SQL = """SELECT claim_id, predicate, strftime(time_start, '%Y-%m-%d %H:%M
 
 @query("claims_search", SEARCH_SQL, ["stored_claims"])
 def claims_search(spark, sf_dir):
+    out = CS.search_store(
+        spark, claim_store(spark, sf_dir), text="E", type="journal", modality="fact", predicate="did",
+        me_role="actor", dimension_type="place", dimension_value="src1", from_ts="2024-01-01 00:00:00", to_ts="2024-02-01 00:00:00",
+    )
+    return out.select("claim_id", "predicate", text_ts("time_start_utc").alias("time_start"))
+
+
+@query("claims_search_frames", SEARCH_SQL, ["stored_claims"])
+def claims_search_frames(spark, sf_dir):
+    """The same over frames, without a store."""
     b = stored_bundle(spark, sf_dir)
     out = S.search_claims(
         b["claims"], doc_table(spark, sf_dir), b["dimensions"], text="E", type="journal", modality="fact", predicate="did",
@@ -644,6 +744,16 @@ def claims_search(spark, sf_dir):
     return out.select("claim_id", "predicate", text_ts("time_start_utc").alias("time_start"))
 
 
+@query(
+    "claims_search_text",
+    "SELECT claim_id FROM stored_claims WHERE canonical ILIKE '%ing the%' OR subject_text ILIKE '%ing the%' OR predicate ILIKE '%ing the%'",
+    ["stored_claims"],
+)
+def claims_search_text(spark, sf_dir):
+    """Claims of all months and predicates that hold a text, through the list of grams."""
+    return CS.search_store(spark, claim_store(spark, sf_dir), text="ing The").select("claim_id")
+
+
 @query(
     "claims_by_entry",
     "SELECT claim_id, document_id AS entry_id FROM stored_claims",
@@ -654,35 +764,40 @@ def claims_by_entry(spark, sf_dir):
     return out.select("claim_id", "entry_id")
 
 
+HYDRATED = """SELECT c.claim_id, 1 AS n_spans, md5(c.excerpt) AS first_excerpt, coalesce((SELECT string_agg(dimension_type || '=' || normalized_value, ',' ORDER BY ord) FROM stored_dims d WHERE d.claim_id = c.claim_id), '') AS dims,
+      CASE WHEN c.predicate = 'chose' THEN 'supersede,revise' ELSE '' END AS feedback FROM stored_claims c"""
+
+
+@query("claims_hydrated", HYDRATED, ["stored_claims", "stored_dims"])
+@query("claims_hydrated_all", HYDRATED, ["stored_claims", "stored_dims"])
+def claims_hydrated_all(spark, sf_dir):
+    path = claim_store(spark, sf_dir)
+    every = spark.read.parquet(f"{path}/claims")
+    return _hydrated(CS.hydrated(spark, path, every))
+
+
 @query(
-    "claims_hydrated",
-    """SELECT c.claim_id, 1 AS n_spans, md5(c.excerpt) AS first_excerpt, coalesce((SELECT string_agg(dimension_type || '=' || normalized_value, ',' ORDER BY ord) FROM stored_dims d WHERE d.claim_id = c.claim_id), '') AS dims,
-      CASE WHEN c.predicate = 'chose' THEN 'supersede,revise' ELSE '' END AS feedback FROM stored_claims c WHERE lang = 'en'""",
+    "claims_search_hydrated",
+    f"SELECT h.* FROM ({HYDRATED}) h JOIN (SELECT claim_id FROM stored_claims c WHERE canonical ILIKE '%the%' OR subject_text ILIKE '%the%' OR predicate ILIKE '%the%') USING (claim_id)",
     ["stored_claims", "stored_dims"],
 )
-def claims_hydrated(spark, sf_dir):
-    b = stored_bundle(spark, sf_dir)
-    english = documents(spark, sf_dir).where("lang = 'en'").select("document_id")
-    return _hydrated(b, b["claims"].join(english, "document_id", "left_semi"))
+def claims_search_hydrated(spark, sf_dir):
+    """Claims found through the list of grams, with their children."""
+    path = claim_store(spark, sf_dir)
+    return _hydrated(CS.hydrated(spark, path, CS.search_store(spark, path, text="THE")))
+
+
+KNOWN_IDS = [hashlib.sha256(f"claim|{d}|x-{d}|{i}".encode()).hexdigest() for d in (1, 2, 7, 8, 9) for i in (0, 1)]
 
 
 @query(
-    "claims_hydrated_all",
-    """SELECT c.claim_id, 1 AS n_spans, md5(c.excerpt) AS first_excerpt, coalesce((SELECT string_agg(dimension_type || '=' || normalized_value, ',' ORDER BY ord) FROM stored_dims d WHERE d.claim_id = c.claim_id), '') AS dims,
-      CASE WHEN c.predicate = 'chose' THEN 'supersede,revise' ELSE '' END AS feedback FROM stored_claims c""",
-    ["stored_claims", "stored_dims"],
+    "claim_by_id", f"SELECT * FROM ({HYDRATED}) WHERE claim_id IN ({', '.join(repr(i) for i in KNOWN_IDS)})", ["stored_claims", "stored_dims"]
 )
-def claims_hydrated_all(spark, sf_dir):
-    b = stored_bundle(spark, sf_dir)
-    return _hydrated(b, b["claims"])
+def claim_by_id(spark, sf_dir):
+    return _hydrated(CS.claim_by_id(spark, claim_store(spark, sf_dir), KNOWN_IDS))
 
 
-def _hydrated(b, claims):
-    chosen = claims.where("predicate = 'chose'").select("claim_id")
-    feedback = chosen.select("claim_id", F.lit(0).alias("ord"), F.lit("revise").alias("action"), SC.at(AS_OF).alias("created_at")).unionByName(
-        chosen.select("claim_id", F.lit(1).alias("ord"), F.lit("supersede").alias("action"), SC.at(AS_OF.replace(day=2)).alias("created_at"))
-    )
-    out = S.hydrate_claims(claims, b["spans"], b["dimensions"], feedback)
+def _hydrated(out):
     pairs = F.transform("dimensions", lambda d: F.concat(d["dimension_type"], F.lit("="), d["normalized_value"]))
     return out.select(
         "claim_id",

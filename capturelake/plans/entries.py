@@ -10,7 +10,8 @@ from capturelake.functions import text as T
 from capturelake.operators import jobs as J
 from capturelake.operators import search as S
 from capturelake.operators import views as V
-from capturelake.operators.merge import upsert
+from capturelake.operators.merge import ranked_children, upsert
+from capturelake.session import work_dir
 from capturelake.sources import entries as E
 
 from .facts import key_facts
@@ -496,3 +497,25 @@ def group_ordered(spark, sf_dir):
     return out.withColumn(
         "turns", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["n"].cast("string"))), ",")
     )
+
+
+@query(
+    "children_ranked",
+    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS position, md5(text) AS text FROM conversations",
+)
+def children_ranked(spark, sf_dir):
+    """Position of every turn among those of its conversation, newest first."""
+    turns = frame(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = ranked_children(turns, "conv_id", [F.desc("turn")], work_dir(spark, "children"))
+    return out.select("conv_id", "turn", "position", F.md5("text").alias("text"))
+
+
+@query(
+    "children_ranked_hot",
+    """SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS position FROM lineitem""",
+)
+def children_ranked_hot(spark, sf_dir):
+    """The same for three keys that hold all rows."""
+    order = [F.asc(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    out = ranked_children(frame(spark, sf_dir, "lineitem"), "l_returnflag", order, work_dir(spark, "children"))
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "position")

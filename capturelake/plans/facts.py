@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from capturelake.functions import rules as R
 from capturelake.functions import scalars as SC
 from capturelake.functions import text as T
 from capturelake.functions.rx import explode_rows
 from capturelake.operators import classify as C
 from capturelake.operators import facts as K
+from capturelake.session import work_dir
 
 from .frames import frame
 from .registry import query, step
@@ -16,35 +18,21 @@ from .structure import AS_OF, notes, tasks
 from .text import SENTENCES, sentence_rows, sql_dedupe_form, sql_key, sql_strip
 from .usage import text_ts
 
-HINTS = [
-    ("(学ん|学び|学習|learned?|気づ|わかった|理解|insight)", "learned"),
-    ("(決め|決定|decid|choose|選ん)", "decided"),
-    ("(課題|問題|詰ま|blocked|障害|困|難し)", "blocked_by"),
-    ("(改善|improve|良くな|効率化|最適|optimi)", "improved"),
-    ("(次|next|todo|やる|やりたい|will|明日|次回|予定)", "next_action"),
-    ("(試し|試した|試験|実験|実施|検証|experiment|test)", "tested"),
-    ("(感じ|feel|疲|つら|嬉|楽しい|不安|安心|緊張|落ち込|モヤモヤ)", "felt"),
-]
-DATE = "(?:\\d{4}[-/年]\\d{1,2}[-/月]\\d{1,2}日?|今日|昨日|明日)"
-NUM = "[-+]?\\d+(?:\\.\\d+)?"
-BULLET = "^\\s*(?:[-*・]|[0-9]+[.)])\\s+"
-
-
 def sql_predicate(s: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({s}, '(?i){p}') THEN '{n}'" for p, n in HINTS) + " ELSE 'mentions' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({s}, '(?i){p}') THEN '{n}'" for p, n in R.PREDICATE_HINTS) + " ELSE 'mentions' END"
 
 
 def sql_type(p: str, o: str) -> str:
     return (
-        f"CASE WHEN {p} IN ('journal_date','due_at','scheduled_at','completed_at') OR regexp_matches({o}, '{DATE}') THEN 'date' "
-        f"WHEN {p} IN ('mood_score','energy_score','priority') OR (regexp_matches({o}, '{NUM}') AND {sql_strip(o)} = regexp_extract({o}, '{NUM}', 0)) THEN 'number' ELSE 'text' END"
+        f"CASE WHEN {p} IN ('journal_date','due_at','scheduled_at','completed_at') OR regexp_matches({o}, '{R.DATE_TEXT}') THEN 'date' "
+        f"WHEN {p} IN ('mood_score','energy_score','priority') OR (regexp_matches({o}, '{R.NUMBER_TEXT}') AND {sql_strip(o)} = regexp_extract({o}, '{R.NUMBER_TEXT}', 0)) THEN 'number' ELSE 'text' END"
     )
 
 
 def sql_json(p: str, o: str) -> str:
     return (
         f"CASE WHEN {sql_type(p, o)} = 'number' THEN '{{\"value\": ' || "
-        f"CAST(CAST(regexp_extract({o}, '{NUM}', 0) AS DOUBLE) AS VARCHAR) || '}}' END"
+        f"CAST(CAST(regexp_extract({o}, '{R.NUMBER_TEXT}', 0) AS DOUBLE) AS VARCHAR) || '}}' END"
     )
 
 
@@ -114,7 +102,7 @@ step(
     "SELECT * FROM task_meta UNION ALL "
     + _sentence_sql(
         "'task:' || task_id",
-        f"CASE WHEN regexp_matches(s, '{BULLET}') THEN 'next_action' ELSE {sql_predicate('s')} END",
+        f"CASE WHEN regexp_matches(s, '{R.BULLET}') THEN 'next_action' ELSE {sql_predicate('s')} END",
         "CASE WHEN p = 'next_action' THEN 0.84::DOUBLE WHEN p = 'mentions' THEN 0.72::DOUBLE ELSE 0.82::DOUBLE END",
         "NULL::VARCHAR",
         "task_id",
@@ -158,6 +146,58 @@ def fact_tasks(spark, sf_dir):
     return task_facts(spark, sf_dir).select("task_id", "ord", *COLS)
 
 
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+TOKEN_WORD = "struct_pack(surface := w, lemma := lower(w), pos := CASE WHEN length(w) > 3 THEN '名詞' WHEN length(w) > 2 THEN '動詞' ELSE '助詞' END)"
+LEMMA_BRANCH = " ".join(f"WHEN list_has_any(lem, {_sql_list(ws)}) THEN '{n}'" for n, ws in R.PREDICATE_LEMMAS.items())
+LEMMA_WORDS = "CASE p " + " ".join(f"WHEN '{n}' THEN {_sql_list(ws)}" for n, ws in R.PREDICATE_LEMMAS.items()) + " ELSE [] END"
+step(
+    "token_sents",
+    f"""SELECT note_id, occurred_at, s, i, toks, list_transform(toks, lambda t: t.lemma) AS lem FROM (
+      SELECT *, list_transform(string_split(s, ' '), lambda w: {TOKEN_WORD}) AS toks FROM (
+        SELECT note_id, occurred_at, unnest(kept) AS s, generate_subscripts(kept, 1) AS i FROM note_kept)) WHERE NOT (len(toks) = 1 AND length(s) < 10)""",
+    ["note_kept"],
+)
+step(
+    "token_verdicts",
+    f"""SELECT *, coalesce(list_position(list_transform(lem, lambda l: list_contains({LEMMA_WORDS}, l)), true), 0) AS hit FROM (
+      SELECT *, CASE WHEN hinted <> 'mentions' THEN hinted {LEMMA_BRANCH} ELSE 'mentions' END AS p FROM (SELECT *, {sql_predicate('s')} AS hinted FROM token_sents))""",
+    ["token_sents"],
+)
+TOKEN_JOIN = "array_to_string(list_transform(list_filter({0}, lambda t: t.pos IN ({1}) AND NOT list_contains({2}, t.lemma)), lambda t: t.surface), '')"
+step(
+    "token_candidates",
+    f"""SELECT * FROM note_meta UNION ALL SELECT note_id, 100 + i AS ord, 'me' AS subject, p AS predicate, o AS object_text, {sql_type('p', 'o')} AS object_type, {sql_json('p', 'o')} AS object_json,
+      s AS evidence_excerpt, occurred_at, CASE WHEN hinted <> 'mentions' THEN 0.82::DOUBLE WHEN p <> 'mentions' THEN 0.79::DOUBLE ELSE 0.72::DOUBLE END AS confidence
+    FROM (SELECT *, CASE WHEN length({sql_strip('words')}) >= 2 THEN {sql_strip('words')} ELSE s END AS o FROM (
+      SELECT *, coalesce(nullif({TOKEN_JOIN.format('near', "'名詞','形容詞','動詞'", _sql_list(['', *R.STOP_LEMMAS]))}, ''), {TOKEN_JOIN.format('toks', "'名詞'", _sql_list(R.STOP_LEMMAS))}) AS words FROM (
+        SELECT *, CASE WHEN hit > 0 THEN toks[greatest(hit - 4, 1):least(len(toks), hit + 4)] ELSE toks END AS near FROM token_verdicts)))""",
+    ["note_meta", "token_verdicts"],
+)
+step("token_facts", _dedupe("note_id", "token_candidates"), ["token_candidates"])
+
+
+def words_as_tokens(sentences):
+    """The words of each sentence as tokens: the lemma is the word in lower case, the kind goes by its length."""
+
+    def token(w):
+        kind = F.when(F.length(w) > 3, "名詞").when(F.length(w) > 2, "動詞").otherwise("助詞")
+        return F.struct(w.alias("surface"), F.lower(w).alias("lemma"), kind.alias("pos"))
+
+    return F.transform(sentences, lambda s: F.transform(F.split(s, " "), token))
+
+
+@query(
+    "fact_notes_tokens", f"SELECT note_id, CAST(k2 - 1 AS INTEGER) AS ord, {', '.join(COLS)} FROM token_facts", ["token_facts"]
+)
+def fact_notes_tokens(spark, sf_dir):
+    """Facts of notes whose sentences come with tokens."""
+    found = K.extract_note_facts(notes(spark, sf_dir), tokenize=words_as_tokens)
+    return K.fact_rows(found, "note").select("note_id", "ord", *COLS)
+
+
 @query(
     "fact_meta",
     "SELECT note_id, predicate, object_text, object_type, object_json, confidence FROM note_meta",
@@ -236,7 +276,7 @@ def fact_dedupe_array(spark, sf_dir):
         K.dedupe_array(
             F.transform(
                 T.split_sentences("text"),
-                lambda s: K._fact(F.lit("me"), F.lit("mentions"), s, F.lit("text"), none, none, none, F.lit(0.72)),
+                lambda s: K.make_fact(F.lit("me"), F.lit("mentions"), s, F.lit("text"), none, none, none, F.lit(0.72)),
             )
         ),
     )
@@ -293,6 +333,13 @@ def fact_changed_newest(spark, sf_dir):
     return out.select("note_id", text_ts("updated_at").alias("updated_at"))
 
 
+def written_facts(spark, sf_dir):
+    """The run's facts, extracted and written once; the table before the run derives from them too."""
+    path = work_dir(spark, "facts")
+    key_facts(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _stored_facts(found):
     """The fact table after an earlier run that stored the surer note facts;
     summaries were deleted since."""
@@ -307,7 +354,7 @@ INSERT = """SELECT fact_id FROM key_facts WHERE confidence >= 0.75 AND NOT (note
 
 @query("fact_insert", INSERT, ["key_facts"])
 def fact_insert(spark, sf_dir):
-    found = key_facts(spark, sf_dir)
+    found = written_facts(spark, sf_dir)
     return K.insert_facts(_stored_facts(found), found, 0.75)[0].select("fact_id")
 
 
@@ -317,7 +364,7 @@ def fact_insert(spark, sf_dir):
     ["key_facts"],
 )
 def fact_insert_counts(spark, sf_dir):
-    found = key_facts(spark, sf_dir)
+    found = written_facts(spark, sf_dir)
     return K.insert_facts(_stored_facts(found), found, 0.75)[1]
 
 
@@ -329,7 +376,7 @@ def fact_insert_counts(spark, sf_dir):
 )
 def fact_replace(spark, sf_dir):
     owners = notes(spark, sf_dir).where("note_type = 'journal'")
-    out = K.replace_facts(_stored_facts(note_facts(spark, sf_dir)), owners, "note_id", AS_OF.replace(month=7))
+    out = K.replace_facts(_stored_facts(written_facts(spark, sf_dir)), owners, "note_id", AS_OF.replace(month=7))
     return out.select("fact_id", text_ts("deleted_at").alias("deleted_at"))
 
 
@@ -340,13 +387,11 @@ def fact_replace(spark, sf_dir):
     ["key_facts", "notes", "tasks"],
 )
 def fact_run_metrics(spark, sf_dir):
-    facts = key_facts(spark, sf_dir)
-    empty = facts.where(F.lit(False)).withColumn("deleted_at", F.lit(None).cast("timestamp"))
-    counts = K.insert_facts(empty, facts)[1]
-    owners = notes(spark, sf_dir).select(F.col("note_id").alias("id")).unionByName(
-        tasks(spark, sf_dir).select(F.col("task_id").alias("id"))
+    facts = K.fact_rows(K.extract_note_facts(notes(spark, sf_dir)), "note", outer=True).unionByName(
+        K.fact_rows(K.extract_task_facts(tasks(spark, sf_dir)), "task", outer=True)
     )
-    return K.fact_run_metrics(owners, counts)
+    empty = facts.where(F.lit(False)).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    return K.fact_run_metrics(K.flag_inserts(empty, facts))
 
 
 @query(

@@ -108,6 +108,34 @@ def rollup_upsert(spark, sf_dir):
     return _roll_out(out.drop("created")).withColumn("created", F.when(F.col("scope_type") == "project", "2023").otherwise("2024"))
 
 
+step(
+    "topic_rollups",
+    f"""SELECT scope_type, scope_key, 'weekly' AS period_type, period_start, period_start + INTERVAL 7 DAY AS period_end, string_agg(s, ' / ' ORDER BY rn) FILTER (WHERE rn <= 10) AS summary_text, string_agg(claim_id, ',' ORDER BY rn) AS key_claim_ids FROM (
+      SELECT *, row_number() OVER (PARTITION BY scope_type, scope_key, period_start ORDER BY created_at DESC, claim_id) AS rn FROM (
+        SELECT claim_id, created_at, {SENT} AS s, date_trunc('week', created_at) AS period_start, 'all' AS scope_type, 'all' AS scope_key FROM event_claims
+        UNION ALL SELECT claim_id, created_at, {SENT}, date_trunc('week', created_at), 'topic', entry_type FROM event_claims
+        UNION ALL SELECT claim_id, created_at, {SENT}, date_trunc('week', created_at), 'topic', 'part ' || project FROM event_claims
+        UNION ALL SELECT claim_id, created_at, {SENT}, date_trunc('week', created_at), 'project', project FROM event_claims WHERE entry_type <> 'click')) WHERE rn <= 12 GROUP BY ALL""",
+    ["event_claims"],
+)
+
+
+def event_dimensions(spark, sf_dir):
+    """Dimension rows of the event claims: two topics, one of them from two sources, and a project that is null for clicks."""
+    rows = event_claims(spark, sf_dir)
+    project = F.when(F.col("entry_type") != "click", F.col("project"))
+    made = [("topic", F.col("entry_type"), "llm"), ("topic", F.col("entry_type"), "rule"), ("topic", F.concat(F.lit("part "), "project"), "llm"), ("project", project, "llm"), ("mood", F.lit("any"), "llm")]
+    each = F.array(*[F.struct(F.lit(t).alias("dimension_type"), v.alias("normalized_value"), F.lit(s).alias("source")) for t, v, s in made])
+    return rows.select("claim_id", F.explode(each).alias("d")).select("claim_id", "d.*")
+
+
+@query("rollup_topics", f"SELECT {ROLL_OUT} FROM topic_rollups", ["topic_rollups"])
+def rollup_topics(spark, sf_dir):
+    """Rollups by all topics and projects of a claim, from its dimension rows."""
+    many = Ro.dimension_scopes(event_dimensions(spark, sf_dir), ["topic", "project"])
+    return _roll_out(Ro.build_rollups(event_claims(spark, sf_dir), "weekly", {}, many=many))
+
+
 @query(
     "rollup_list",
     f"SELECT {ROLL_OUT} FROM (SELECT * FROM scoped_rollups WHERE scope_type = 'entry_type' AND scope_key = 'click' AND period_type = 'weekly' AND period_start >= TIMESTAMP '2024-01-08 00:00:00' AND period_end <= TIMESTAMP '2024-01-29 00:00:00' ORDER BY period_start DESC)",
@@ -172,6 +200,39 @@ def claim_retract(spark, sf_dir):
     return out.select("claim_id", "status", "revision_note")
 
 
+@query(
+    "claim_revise_images",
+    f"""SELECT claim_id, 'supersede' AS action, claim_id AS before_id, md5(canonical) AS before_text, 'active' AS before_status, {NEXT} AS detail, '2024-07-01T00:00:00.000Z' AS told_at, 'user' AS actor, '2024-07-01 00:00:00' AS created_at FROM stored_claims WHERE predicate = 'felt'
+    UNION ALL SELECT {NEXT}, 'revise', claim_id, NULL, NULL, 'clearer', NULL, 'user', '2024-07-01 00:00:00' FROM stored_claims WHERE predicate = 'felt' AND polarity = 'affirm'""",
+    ["stored_claims"],
+)
+def claim_revise_images(spark, sf_dir):
+    """Feedback of revisions with the claim's row before and what it became."""
+    claims = stored_bundle(spark, sf_dir)["claims"]
+    return _images(V.revise_claims(claims, _revisions(claims), LATER)[1])
+
+
+@query(
+    "claim_retract_images",
+    """SELECT claim_id, 'retract' AS action, claim_id AS before_id, md5(canonical) AS before_text, 'active' AS before_status, CASE WHEN polarity = 'negate' THEN 'wrong' END AS detail, NULL AS told_at, 'user' AS actor, '2024-07-01 00:00:00' AS created_at
+    FROM stored_claims WHERE predicate = 'learned'""",
+    ["stored_claims"],
+)
+def claim_retract_images(spark, sf_dir):
+    claims = stored_bundle(spark, sf_dir)["claims"]
+    gone = claims.where("predicate = 'learned'").select("claim_id", F.when(F.col("polarity") == "negate", "wrong").alias("reason"))
+    return _images(V.retract_claims(claims, gone, LATER)[1])
+
+
+def _images(feedback):
+    before, after = (lambda f, c=c: F.get_json_object(c, f"$.{f}") for c in ("before_json", "after_json"))
+    return feedback.select(
+        "claim_id", "action", F.coalesce(before("claim_id"), before("id")).alias("before_id"), F.md5(before("object_text_canonical")).alias("before_text"),
+        before("status").alias("before_status"), F.coalesce(after("supersededBy"), after("revisionNote"), after("reason")).alias("detail"),
+        after("at").alias("told_at"), "actor", text_ts("created_at").alias("created_at"),
+    )
+
+
 # --- backfills ----------------------------------------------------------------
 
 

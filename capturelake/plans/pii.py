@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from capturelake.functions import pii as P
+from capturelake.functions import rules as R
 
 from .frames import frame
 from .registry import query, step
 
-SK = r"\bsk-[A-Za-z0-9]{20,}\b"
-PAIR = r"(?i)\b(?:api[_-]?key|secret|token|password|passwd)\b\s*[:=]\s*[''" + '"' + r"]?[A-Za-z0-9_\-]{12,}"
-MAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
-PHONE = r"\+?\d[\d\-\s()]{8,}\d"
-POST = r"\b\d{3}-\d{4}\b"
+# the rules' own patterns, quoted for SQL
+PATTERNS = [(("(?i)" if ci else "") + p.replace("'", "''"), str(w)) for p, ci, w in R.PII_PATTERNS]
+SK, PAIR, MAIL, PHONE, POST = (p for p, _ in PATTERNS)
 
 
 def sql_score(text: str) -> str:
-    tests = [(SK, "0.95"), (PAIR, "0.95"), (MAIL, "0.55"), (PHONE, "0.65"), (POST, "0.7")]
     return "greatest(" + ", ".join(
-        f"CASE WHEN regexp_matches({text}, '{p}') THEN {w}::DOUBLE ELSE 0::DOUBLE END" for p, w in tests
+        f"CASE WHEN regexp_matches({text}, '{p}') THEN {w}::DOUBLE ELSE 0::DOUBLE END" for p, w in PATTERNS
     ) + ")"
 
 

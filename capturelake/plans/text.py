@@ -112,23 +112,14 @@ def token_normal_form(spark, sf_dir):
     return rows.select("doc_id", "idx", T.normalize_for_dedupe("sentence", "tokens").alias("dedupe_form"))
 
 
-@query(
-    "char_ngrams",
-    """SELECT doc_id, len(g) AS n_grams, md5(array_to_string(list_sort(g), '|')) AS digest
-    FROM (SELECT doc_id, list_distinct(list_transform(list_zip(c[1:len(c)-1], c[2:len(c)]), lambda p: p[1] || p[2])) AS g
-      FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE length(text) > 2))""",
-)
-def char_ngrams(spark, sf_dir):
-    return _grams(frame(spark, sf_dir, "documents").where(F.length("text") > 2))
-
-
-@query(
-    "char_ngrams_all",
-    """SELECT doc_id, len(g) AS n_grams, md5(array_to_string(list_sort(g), '|')) AS digest
+GRAMS = """SELECT doc_id, len(g) AS n_grams, md5(array_to_string(list_sort(g), '|')) AS digest
     FROM (SELECT doc_id, CASE WHEN length(text) = 0 THEN [] WHEN length(text) <= 2 THEN [text]
         ELSE list_distinct(list_transform(list_zip(c[1:len(c)-1], c[2:len(c)]), lambda p: p[1] || p[2])) END AS g
-      FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS c FROM documents))""",
-)
+      FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS c FROM documents))"""
+
+
+@query("char_ngrams", GRAMS)
+@query("char_ngrams_all", GRAMS)
 def char_ngrams_all(spark, sf_dir):
     return _grams(frame(spark, sf_dir, "documents"))
 

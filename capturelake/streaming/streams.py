@@ -28,27 +28,39 @@ def stream_table(spark: SparkSession, directory: str, name: str, schema: StructT
     return spark.readStream.schema(known).option("recursiveFileLookup", "true").parquet(f"{directory}/{{{name}.parquet}}")
 
 
+def first_seen(rows: DataFrame, key: list[str], event_time: str | None = None, watermark: str | None = None) -> DataFrame:
+    """Rows whose key no earlier row of the stream had.
+
+    The state store holds the keys alone.  With an event time and a watermark,
+    keys are forgotten that long after their event, which bounds the state; a
+    copy that comes later than that counts as new.  Of rows that share a key
+    within one batch one stays, so they should be copies.
+    """
+    if watermark is None:
+        return rows.dropDuplicates(key)
+    return rows.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(key)
+
+
 def stream_structure(
-    captures: DataFrame, sink: str, checkpoint: str, as_of: datetime, trigger: dict | None = None
+    captures: DataFrame, sink: str, checkpoint: str, as_of: datetime, trigger: dict | None = None, watermark: str | None = None
 ):
     """Routes new captures into notes, tasks and blocked rows below ``sink``.
 
-    A capture that comes again in a later batch is dropped by an anti-join
-    with the ids already stored.
+    A capture that comes again is dropped by the state of seen ids (see
+    ``first_seen``), which commits with the batch; a batch reads only its own
+    rows, and a replayed one starts from the same state and writes over its
+    own output.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = top_per_key(batch, ["capture_id"], [F.asc("created_at")])
         routed_path = f"{sink}/routed/batch={batch_id}"
-        done = _stored(spark, f"{sink}/routed", batch_id)
-        fresh = first if done is None else first.join(done.select("capture_id"), "capture_id", "left_anti")
-        route_captures(fresh).write.mode("overwrite").parquet(routed_path)
+        route_captures(batch).write.mode("overwrite").parquet(routed_path)
         routed = spark.read.parquet(routed_path)
         to_notes(routed, as_of, stored=True).write.mode("overwrite").parquet(f"{sink}/notes/batch={batch_id}")
         to_tasks(routed, as_of, stored=True).write.mode("overwrite").parquet(f"{sink}/tasks/batch={batch_id}")
 
-    return _start(captures, write, checkpoint, trigger)
+    return _start(first_seen(captures, ["capture_id"], "created_at", watermark), write, checkpoint, trigger)
 
 
 def stream_cost(requests: DataFrame, sink: str, checkpoint: str, watermark: str = "1 day", trigger: dict | None = None):
@@ -96,13 +108,6 @@ def read_latest(spark: SparkSession, sink: str, key: list[str], updated: str, ti
     return top_per_key(rows, key, [F.desc(updated), F.desc("batch"), F.desc(tie)]).drop("batch")
 
 
-def compact_latest(
-    spark: SparkSession, sink: str, target: str, key: list[str], updated: str, tie: str
-) -> None:
-    """Writes the merged state as batch -1 of a new folder."""
-    read_latest(spark, sink, key, updated, tie).write.mode("overwrite").parquet(f"{target}/batch=-1")
-
-
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None):
     return (
         df.writeStream.foreachBatch(write)
@@ -110,19 +115,3 @@ def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: s
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Batch ids stored below a path, on any file system Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-
-
-def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    old = [b for b in _batches(spark, path) if b < before]
-    return spark.read.parquet(*[f"{path}/batch={b}" for b in old]) if old else None
