@@ -48,8 +48,9 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        # each table is one row group, so one task; dealing its rows is part of every time
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.capturelake.deal": cpus},
+        # a table of texts is one row group, so one task; dealing its rows is part of every time
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g"},
+        **{f"spark.capturelake.deal.{table}": cpus for table in ("documents", "conversations")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}

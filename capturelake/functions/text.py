@@ -31,7 +31,10 @@ def collapse(c: ColumnOrName) -> Column:
     return F.trim(replace_all(c, r"\s+", " "))
 
 
-def clamp(c: ColumnOrName, n: int) -> Column:
+def clamp(c: ColumnOrName, n: int | None) -> Column:
+    """One line of at most ``n`` characters, of any length without ``n``."""
+    if n is None:
+        return collapse(c)
     return let(
         collapse(c),
         lambda t: F.when(F.length(t) <= n, t).otherwise(
@@ -62,13 +65,14 @@ def extract_score(c: ColumnOrName, pattern: str) -> Column:
     return extract(c, pattern, 1, ci=True).cast("int")
 
 
-def note_title(c: ColumnOrName, fallback: Column) -> Column:
-    return clamp(F.coalesce(blank_to_null(first_line(c)), fallback), 120)
+def note_title(c: ColumnOrName, fallback: Column, max_chars: int | None = 120) -> Column:
+    """First line of a note, else the fallback; whole with ``max_chars=None``."""
+    return clamp(F.coalesce(blank_to_null(first_line(c)), fallback), max_chars)
 
 
-def task_title(c: ColumnOrName) -> Column:
+def task_title(c: ColumnOrName, max_chars: int | None = 120) -> Column:
     body = strip(replace_all(first_line(c), R.TASK_PREFIX, ci=True))
-    return clamp(F.coalesce(blank_to_null(body), F.lit("Untitled task")), 120)
+    return clamp(F.coalesce(blank_to_null(body), F.lit("Untitled task")), max_chars)
 
 
 def split_sentences(c: ColumnOrName, max_chars: int | None = None) -> Column:

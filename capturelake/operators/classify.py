@@ -58,14 +58,18 @@ def score_lemmas(
     lexicon: dict[str, list[str]] = R.CLASS_LEMMAS,
     time_lemmas=R.TIME_LEMMAS,
     action_lemmas=R.ACTION_LEMMAS,
+    most_hits: int | None = R.LEMMA_CAP,
 ) -> DataFrame:
-    """Adds lemma_<label> from an array of lemmas; no shuffle is needed."""
+    """Adds lemma_<label> from an array of lemmas; no shuffle is needed.
+
+    ``most_hits`` distinct hits score at most (a rule), all of them with None.
+    """
     seen = F.array_distinct(F.transform(F.coalesce(F.col(tokens), str_array([])), lemma_form))
     df = df.withColumn("_seen", seen)
     bonus = {"journal": time_lemmas, "task": action_lemmas}
     for label, words in lexicon.items():
         hits = F.size(F.array_intersect("_seen", str_array([w.strip().lower() for w in words])))
-        score = F.least(hits, F.lit(R.LEMMA_CAP)) * F.lit(R.LEMMA_WEIGHT)
+        score = (hits if most_hits is None else F.least(hits, F.lit(most_hits))) * F.lit(R.LEMMA_WEIGHT)
         if label in bonus:
             score = score + _points(F.arrays_overlap("_seen", str_array(bonus[label])), R.LEMMA_BONUS)
         df = df.withColumn(f"lemma_{label}", score)

@@ -43,13 +43,13 @@ def _routed_to(routed: DataFrame, route: str, stored: bool) -> DataFrame:
     return routed.where(test) if stored else keep_rows(routed, test)
 
 
-def to_tasks(routed: DataFrame, as_of: datetime, stored: bool = False) -> DataFrame:
+def to_tasks(routed: DataFrame, as_of: datetime, stored: bool = False, title_chars: int | None = 120) -> DataFrame:
     text = F.coalesce(F.col("raw_text"), F.lit(""))
     return _routed_to(routed, "task", stored).select(
         stable_id(F.lit("task"), "capture_id").alias("task_id"),
         F.col("capture_id").alias("source_capture_id"),
         F.lit(None).cast("string").alias("source_note_id"),
-        T.task_title(text).alias("title"),
+        T.task_title(text, title_chars).alias("title"),
         text.alias("details"),
         F.lit("todo").alias("status"),
         T.extract_priority(text).alias("priority"),
@@ -62,7 +62,10 @@ def to_tasks(routed: DataFrame, as_of: datetime, stored: bool = False) -> DataFr
     )
 
 
-def to_notes(routed: DataFrame, as_of: datetime, stored: bool = False) -> DataFrame:
+def to_notes(
+    routed: DataFrame, as_of: datetime, stored: bool = False, title_chars: int | None = 120, summary_chars: int | None = 160
+) -> DataFrame:
+    """Note rows; titles and summaries stay whole with ``None`` as their length."""
     text = F.coalesce(F.col("raw_text"), F.lit(""))
     journal = F.col("note_type") == "journal"
     base = (
@@ -77,8 +80,8 @@ def to_notes(routed: DataFrame, as_of: datetime, stored: bool = False) -> DataFr
         stable_id(F.lit("note"), "capture_id").alias("note_id"),
         F.col("capture_id").alias("source_capture_id"),
         "note_type",
-        T.note_title(text, F.concat(F.col("note_type"), F.lit(" note"))).alias("title"),
-        T.clamp(without_url, 160).alias("summary"),
+        T.note_title(text, F.concat(F.col("note_type"), F.lit(" note")), title_chars).alias("title"),
+        T.clamp(without_url, summary_chars).alias("summary"),
         text.alias("body"),
         F.col("_occurred").alias("occurred_at"),
         F.when(journal, journal_date("_occurred")).alias("journal_date"),

@@ -532,6 +532,54 @@ def claim_parse_aliases(spark, sf_dir):
     return rows.select("doc_id", "idx", "c.predicate", F.md5("c.object_text_raw").alias("raw_obj"))
 
 
+@query(
+    "claim_evidence_made",
+    f"""SELECT doc_id, CAST(s.idx AS INTEGER) AS idx, md5(CASE WHEN s.idx % 2 = 0 THEN s.sentence WHEN {sql_strip("coalesce(d.text, '')")} <> '' THEN {sql_strip("d.text")} ELSE s.sentence END) AS excerpt, NULL::INTEGER AS char_start
+    FROM sentence_rows s JOIN documents d USING (doc_id)""",
+    ["sentence_rows"],
+)
+def claim_evidence_made(spark, sf_dir):
+    """Every second claim comes without evidence and gets the text, or else its object."""
+    none = F.lit(None)
+
+    def claim(s, i):
+        spans = F.when(i % 2 == 0, F.array(C.record(C.SPAN, char_start=none, char_end=none, excerpt=s))).otherwise(F.array().cast(f"array<{C.SPAN}>"))
+        made = C.made_claim("me", F.lit("did"), s, "actor", F.lit("fact"), F.lit(0.5), none.cast("string"), s)
+        return made.withField("evidence_spans", spans)
+
+    docs = documents(spark, sf_dir).withColumn("raw_text", F.col("text"))
+    b = docs.withColumn("claims", F.transform(T.split_sentences("text"), claim))
+    rows = explode_rows(C.me_centric(b), "claims", "doc_id", ord_name="idx", item="c")
+    span = F.col("c.evidence_spans")[0]
+    return rows.select("doc_id", "idx", F.md5(span["excerpt"]).alias("excerpt"), span["char_start"].alias("char_start"))
+
+
+@query(
+    "claim_parse_old_format",
+    f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS idx, md5(sentence) AS raw_obj, md5(sentence) AS canonical, 'none' AS me_role, 0 AS n_dims,
+      CAST(1 + idx % 4 AS INTEGER) AS n_spans FROM sentence_rows WHERE idx < 24""",
+    ["sentence_rows"],
+)
+def claim_parse_old_format(spark, sf_dir):
+    """Responses of the older format: one spelling of the object, no roles, and its limits (a fixed part of the format)."""
+
+    def claim(s, i):
+        span = F.struct(s.alias("excerpt"))
+        many = F.transform(F.sequence(F.lit(0), F.when(i % 4 == 3, 6).otherwise(i % 4)), lambda k: span)
+        return F.struct(
+            F.lit("me").alias("subject_text"), F.lit("did").alias("predicate"), s.alias("object_text"), F.lit("other").alias("object_text_canonical"),
+            F.lit("fact").alias("modality"), F.lit("affirm").alias("polarity"), F.lit("0.5").alias("certainty"), many.alias("evidence_spans"),
+        )
+
+    content = F.to_json(F.struct(F.transform(T.split_sentences("text"), claim).alias("claims")))
+    b = C.bundles_from_responses(documents(spark, sf_dir).withColumn("content", content), caps=C.V1_CAPS)
+    rows = explode_rows(b, "claims", "doc_id", ord_name="idx", item="c")
+    return rows.select(
+        "doc_id", "idx", F.md5("c.object_text_raw").alias("raw_obj"), F.md5("c.object_text_canonical").alias("canonical"), "c.me_role",
+        F.size("c.dimensions").alias("n_dims"), F.size("c.evidence_spans").alias("n_spans"),
+    )
+
+
 def bundle(spark, sf_dir):
     return C.write_bundle(gated(spark, sf_dir), AS_OF)
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import text as T
 from capturelake.functions.rx import explode_rows
+from capturelake.session import work_dir
+from capturelake.sources.tables import read_jsonl
 
 from .frames import frame
 from .registry import query, step
@@ -181,3 +183,29 @@ def clause_split(spark, sf_dir):
     rows = frame(spark, sf_dir, "captures").withColumn("clauses", T.split_clauses("raw_text"))
     out = explode_rows(rows, "clauses", "capture_id", ord_name="idx", item="clause")
     return out.withColumn("clause", F.md5("clause"))
+
+
+TIMED = "(['今日は', '案の定昨日は', ' 来週は', '月曜日は', '日曜は', 'さらに', ''])[CAST(doc_id % 7 AS INT) + 1] || text"
+
+
+@query(
+    "time_prefix",
+    f"""SELECT doc_id, md5(regexp_replace({sql_strip("regexp_replace(" + sql_strip('t') + ", '^案の定', '')")},
+      '^(今日|昨日|明日|今朝|今夜|昨夜|先週|今週|来週|先月|今月|来月|月曜(?:日)?|火曜(?:日)?|水曜(?:日)?|木曜(?:日)?|金曜(?:日)?|土曜(?:日)?|日曜(?:日)?)は', '\\1に')) AS said FROM (SELECT doc_id, {TIMED} AS t FROM documents)""",
+)
+def time_prefix(spark, sf_dir):
+    """Texts that begin with a time, told as a time adverb."""
+    heads = F.array(*[F.lit(h) for h in ("今日は", "案の定昨日は", " 来週は", "月曜日は", "日曜は", "さらに", "")])
+    docs = frame(spark, sf_dir, "documents")
+    timed = F.concat(F.get(heads, (F.col("doc_id") % 7).cast("int")), "text")
+    return docs.select("doc_id", F.md5(T.normalize_time_prefix(timed)).alias("said"))
+
+
+@query("json_lines", "SELECT conv_id, turn, role, md5(text) AS text FROM conversations")
+def json_lines(spark, sf_dir):
+    """The conversations written as JSON lines and read back with a schema."""
+    path = work_dir(spark, "lines")
+    frame(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").write.json(path, ignoreNullFields=False)
+    rows = read_jsonl(spark, path, "conv_id bigint, turn bigint, role string, text string")
+    turn = frame(spark, sf_dir, "conversations").schema["turn"].dataType
+    return rows.select("conv_id", F.col("turn").cast(turn).alias("turn"), "role", F.md5("text").alias("text"))

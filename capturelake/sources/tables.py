@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-#: Deals the rows of every table read to so many partitions, for tables whose
-#: files hold few row groups and so give few tasks; unset: as the files lie.
-DEAL = "spark.capturelake.deal"
+#: With the table's name behind it: deals the rows of that table to so many
+#: partitions whenever it is read, for tables whose files hold few row groups and
+#: so give few tasks; unset: as the files lie.
+DEAL = "spark.capturelake.deal."
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
-    deal = spark.conf.get(DEAL, None)
+    deal = spark.conf.get(DEAL + name, None)
     return rows.repartition(int(deal)) if deal else rows
 
 
