@@ -9,16 +9,18 @@ the set with the largest likelihood less a penalty of half the logarithm of
 the trigram count for each language is taken.  Sets grow until no larger one
 can be better, by a bound on the likelihood of all mixtures.
 
-A text is rejected where a background explains its trigrams better than the
-chosen set does.  The background is half the trigrams of the training texts
-with the characters of each text shuffled, so the letters without their order,
-and half the uniform law, so letters that no training text has.
-
-Defined results: `und` with score 0 and no set where the text is null, empty,
-without a letter or rejected, or nothing could be learned; equal texts get equal answers; equal
-proportions go to the language name that sorts first; a null id is no training
-row and not held out; an empty table gives an empty result; columns beyond id,
-text and language are not read, and language only to learn.
+A text is marked as rejected where a background explains its trigrams better
+than the chosen set does; its language is told all the same.  The background is
+half the trigrams of the training texts with the characters of each text
+shuffled, so the letters without their order, and half the uniform law, so
+letters that no training text has.
+
+Defined results: `und` with score 0, no set and the mark where the text is
+null, empty or without a letter, or nothing could be learned; equal texts get
+equal answers; equal proportions go to the language name that sorts first; a
+null id is no training row and not held out; an empty table gives an empty
+result; columns beyond id, text and language are not read, and language only to
+learn.
 """
 
 from __future__ import annotations
@@ -109,9 +111,9 @@ def _mix(likelihood, weight, starts, doc, allowed, rounds):
     return share, np.add.reduceat(weight * np.log((likelihood * share[doc]).sum(axis=1)), starts)
 
 
-def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tuple[str, float, list[str], list[float]]]:
-    """Language, score, language set and proportions of each text."""
-    answers = [(UNKNOWN, 0.0, [], [])] * len(texts)
+def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tuple[str, float, list[str], list[float], bool]]:
+    """Language, score, language set, proportions and whether to reject, of each text."""
+    answers = [(UNKNOWN, 0.0, [], [], True)] * len(texts)
     if not languages:
         return answers
     for lo, hi in slices(texts, max(100_000, 4_000_000 // len(languages))):
@@ -153,8 +155,6 @@ def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tup
             best_likely = np.where(better, likely, best_likely)
             best_share = np.where(better[:, None], own, best_share)
         for k, i in enumerate(rows):
-            if best_likely[k] < background[k]:
-                continue
             own = best_share[k]
             chosen = [j for j in np.argsort(-own, kind="stable").tolist() if own[j] > 0]
             answers[i] = (
@@ -162,6 +162,7 @@ def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tup
                 float(min(1.0, own[chosen[0]])),
                 [languages[j] for j in chosen],
                 [float(own[j]) for j in chosen],
+                bool(best_likely[k] < background[k]),
             )
     return answers
 
@@ -169,8 +170,11 @@ def infer(texts: list[str], languages: list[str], model: np.ndarray) -> list[tup
 def identify(
     documents: DataFrame, languages: list[str], model: np.ndarray, text_column: str = "text"
 ) -> DataFrame:
-    """The rows with lang_pred, score, lang_set and lang_shares; no shuffle."""
-    added_names = ["lang_pred", "score", "lang_set", "lang_shares"]
+    """The rows with lang_pred, score, lang_set, lang_shares and rejected; no shuffle.
+
+    A column of the table with one of these names gives way; ``known`` keeps all columns.
+    """
+    added_names = ["lang_pred", "score", "lang_set", "lang_shares", "rejected"]
     kept = [c for c in documents.columns if c not in added_names]
     names = [f"_{k}" for k in range(len(kept))]
     rows = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, kept, strict=True)])
@@ -182,17 +186,18 @@ def identify(
 
         for batch in batches:
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            lang, score, chosen, shares = zip(*infer(texts, languages, model), strict=True) if texts else ([],) * 4
+            lang, score, chosen, shares, rejected = zip(*infer(texts, languages, model), strict=True) if texts else ([],) * 5
             added = [
                 pa.array(lang, pa.string()),
                 pa.array(score, pa.float64()),
                 pa.array(chosen, pa.list_(pa.string())),
                 pa.array(shares, pa.list_(pa.float64())),
+                pa.array(rejected, pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, *added_names])
 
     found = rows.mapInArrow(
-        predict, f"{schema}, lang_pred string, score double, lang_set array<string>, lang_shares array<double>"
+        predict, f"{schema}, lang_pred string, score double, lang_set array<string>, lang_shares array<double>, rejected boolean"
     )
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], *added_names)
 
@@ -202,6 +207,17 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit_on_training(documents: DataFrame, id_column: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    known = F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col(id_column).isNotNull()
-    return fit(documents.where(known & ~held_out(id_column)).select("text", "lang"))
+def fit_on_training(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang"
+) -> tuple[list[str], np.ndarray]:
+    text, lang = F.col(text_column), F.col(language_column)
+    known = text.isNotNull() & lang.isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)
+    return fit(documents.where(known).select(text.alias("text"), lang.alias("lang")))
+
+
+def known(documents: DataFrame, languages: list[str], model: np.ndarray, text_column: str = "text") -> DataFrame:
+    """The rows that are not rejected, with all their columns as they are, whatever their names."""
+    names = documents.columns
+    numbered = documents.toDF(*[f"c{k}" for k in range(len(names))])
+    kept = identify(numbered, languages, model, f"c{names.index(text_column)}").where(~F.col("rejected"))
+    return kept.select(*numbered.columns).toDF(*names)

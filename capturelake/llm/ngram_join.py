@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.session import work_dir
@@ -37,6 +37,7 @@ HASHES = ROWS * BANDS
 STEP = 30
 TOLERANCE = 1e-9
 BLOCK = 256
+BITMAP_BUCKETS = 2048
 _B = 0x9E3779B97F4A7C15
 _grown: list[np.ndarray] = []
 
@@ -290,14 +291,64 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
     return narrow.join(final, "text_key").select(id_column, "text_id", "class_id", "n_links", "text_key", "class_key")
 
 
+def _bit(key: Column) -> tuple[Column, Column]:
+    """Bucket and place of a key's bit in a bitmap of BITMAP_BUCKETS x 32768 bits."""
+    return F.pmod(F.shiftrightunsigned(key, 15), F.lit(BITMAP_BUCKETS)).cast("int"), key.bitwiseAND(F.lit(32767))
+
+
+def bitmap_of(keys: DataFrame) -> DataFrame:
+    """Bitmap of a column of hashes named key: bucket, bits; at most BITMAP_BUCKETS rows of 4 kB, whatever the number of keys."""
+    bucket, place = _bit(F.col("key"))
+    return keys.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
+def flag_by(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """Rows with a flag that is true for every key in the bitmap, and for a few others."""
+    met = rows.withColumn("_key", key).join(
+        F.broadcast(bitmap.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))),
+        _bit(F.col("_key"))[0] == F.col("_bucket"), "left",
+    )
+    place = _bit(F.col("_key"))[1]
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return met.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_key", "_bucket", "_bits")
+
+
 def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of the smallest id of each class; the smallest text key decides between equal ids."""
-    classes = jaccard_classes(documents, id_column, text_column)
-    key = F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit(""))))
-    first = classes.groupBy("class_key").agg(F.min(F.struct(id_column, "text_key")).alias("first"))
-    chosen = first.select(F.col(f"first.{id_column}").alias("_id"), F.col("first.text_key").alias("_key"))
-    met = documents.join(chosen, F.col(id_column).eqNullSafe(F.col("_id")) & (key == F.col("_key")))
-    return met.dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    """One row of each class, with all its columns: that of the smallest id (null last), then of the smallest text key.
+
+    Rows whose class is one row stay where they lie.  Two bitmaps of bounded
+    size tell them apart: one of the texts in classes of several rows, and one
+    of the rows that stay of those classes, and of the few single rows that the
+    first one hits by chance.  Only rows that the second one hits are exchanged
+    with their texts, and compared exactly.
+    """
+    spark = documents.sparkSession
+    where = work_dir(spark, "one-of-each")
+    names = documents.columns
+    rows = documents.toDF(*[f"c{k}" for k in range(len(names))])
+    row_id, text = (f"c{names.index(c)}" for c in (id_column, text_column))
+    jaccard_classes(rows, row_id, text).write.parquet(f"{where}/classes")
+    classes = spark.read.parquet(f"{where}/classes").withColumnRenamed(row_id, "id")
+    first = classes.groupBy("class_key").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "text_key")).alias("first"), F.count("*").alias("rows"))
+    single = F.col("rows") == 1
+    key = lambda *c: F.xxhash64(*c)
+    many = classes.join(first.where(~single).select("class_key"), "class_key", "left_semi")
+    touched = bitmap_of(many.select(key("text_key").alias("key")).distinct())
+    kept = first.select("first.id", "first.text_key", single.alias("single"))
+    kept = flag_by(kept, key("text_key"), touched, "hit").where(~F.col("single") | F.col("hit")).select("id", "text_key")
+    kept.write.parquet(f"{where}/kept")
+    kept = spark.read.parquet(f"{where}/kept")
+    stays = bitmap_of(kept.select(key("id", "text_key").alias("key")))
+    keyed = rows.withColumn("k", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    flagged = flag_by(flag_by(keyed, key("k"), touched, "touched"), key(row_id, "k"), stays, "stays")
+    alone = flagged.where(~F.col("touched")).select(*rows.columns)
+    exact = kept.select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    met = flagged.where("touched and stays").join(
+        exact, F.col(row_id).eqNullSafe(F.col("kept_id")) & (F.col("k") == F.col("kept_key"))
+    )
+    one = met.dropDuplicates(["kept_id", "kept_key"]).select(*rows.columns)
+    return alone.unionByName(one).toDF(*names)
 
 
 _SALT = np.random.default_rng(23).integers(0, 1 << 63, ROWS, np.uint64) | np.uint64(1)

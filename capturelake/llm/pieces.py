@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,12 +219,11 @@ def encode_documents(
     return _run(documents, model_path, id_column, text_column, "ids array<int>, decoded string", _whole)
 
 
-def encode_digests(
+def encode_packed(
     documents: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """One row per document: id, n_bytes, n_tokens, ids_crc32, round_trip."""
-    columns = "n_bytes long, n_tokens long, ids_crc32 long, round_trip boolean"
-    return _run(documents, model_path, id_column, text_column, columns, _digest)
+    """One row per document: id, text (empty for null), ids as little-endian 32-bit numbers, decoded text.  No shuffle."""
+    return _run(documents, model_path, id_column, text_column, "text string, ids binary, decoded string", _packed)
 
 
 def _whole(model: PieceModel, text: str, packed: bytes) -> tuple:
@@ -233,10 +231,8 @@ def _whole(model: PieceModel, text: str, packed: bytes) -> tuple:
     return ids, model.decode(ids)
 
 
-def _digest(model: PieceModel, text: str, packed: bytes) -> tuple:
-    ids = np.frombuffer(packed, "<u4").tolist()
-    n_bytes = len(text) if text.isascii() else len(text.encode())
-    return n_bytes, len(ids), zlib.crc32(packed), model.decode(ids) == text.replace(SPACE, " ")
+def _packed(model: PieceModel, text: str, packed: bytes) -> tuple:
+    return text, packed, model.decode(np.frombuffer(packed, "<u4").tolist())
 
 
 def _run(documents: DataFrame, path: str, id_column: str, text_column: str, columns: str, make) -> DataFrame:
@@ -251,7 +247,7 @@ def _run(documents: DataFrame, path: str, id_column: str, text_column: str, colu
             arrays = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", *names])
 
-    known = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    known = {"string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = [known[c.split()[1]] for c in columns.split(", ")]
     return rows.mapInArrow(encode, f"id {id_type}, {columns}").withColumnRenamed("id", id_column)

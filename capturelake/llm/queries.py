@@ -47,11 +47,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shuffle_into_shards
 
-    dealt = shuffle_into_shards(read_table(spark, sf_dir, "documents"), 8)
+    # columns of the table may have the names of the added ones
+    dealt = shuffle_into_shards(read_table(spark, sf_dir, "documents"), 8, shard_column="_shard", slot_column="_slot")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return dealt.select(
         "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
@@ -111,7 +113,7 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     languages, model = fit_on_training(documents)
     return identify(documents.drop("lang"), languages, model).select(
-        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_set", "lang_shares"
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_set", "lang_shares", "rejected"
     )
 
 
@@ -131,9 +133,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pieces import encode_digests
+    from .pieces import SPACE, encode_packed
 
-    return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    packed = encode_packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return packed.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.floor(F.length("ids") / 4).alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"),
+    )
 
 
 @query

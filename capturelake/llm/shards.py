@@ -88,10 +88,11 @@ def even_sizes(total: int, parts: int) -> list[int]:
 def shuffle_into_shards(
     rows: DataFrame, shards: int, seed: int = 7, shard_column: str = "shard", slot_column: str = "slot"
 ) -> DataFrame:
-    """The rows with their shard and their slot in it, gapless from 0."""
-    for name in (shard_column, slot_column):
-        if name in rows.columns:
-            raise ValueError(f"the table already has a column {name}")
+    """The rows with their shard and their slot in it, gapless from 0.
+
+    Columns of the table with the names of the added ones give way to them.
+    """
+    rows = rows.drop(shard_column, slot_column)
     spark = rows.sparkSession
     names = [F.col(f"`{c}`") for c in rows.columns]
     keyed = rows.select(F.struct(*names).alias("row"), F.xxhash64(F.lit(seed), *names).alias("key"))

@@ -81,10 +81,14 @@ def test_streaming_keeps_a_bounded_window():
 
 
 def test_piece_queries(odd, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = pieces.encode_documents(odd, PIECES).collect()
     assert len(rows) == odd.count()
-    assert all(r.round_trip for r in pieces.encode_digests(odd, PIECES).collect())
-    assert pieces.encode_digests(empty, PIECES).count() == 0
+    for r in pieces.encode_packed(odd, PIECES).collect():
+        assert r.decoded == r.text.replace("▁", " ") and list(np.frombuffer(r.ids, "<u4")) == sp.encode(r.text)
+    assert pieces.encode_packed(empty, PIECES).count() == 0
 
 
 def test_shards(odd, empty):
@@ -232,7 +236,7 @@ def test_language(shipped, empty):
     mixed = language.infer([text["de"][:900] + " " + text["fr"][:600]], names, model)[0]
     assert mixed[0] == "de" and set(mixed[2]) == {"de", "fr"} and abs(mixed[1] - 0.6) < 0.1
     assert language.fit_on_training(empty)[0] == []
-    assert language.infer(["abc"], [], model) == [("und", 0.0, [], [])]
+    assert language.infer(["abc"], [], model) == [("und", 0.0, [], [], True)]
 
 
 def test_language_set_has_no_cap():
