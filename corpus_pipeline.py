@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
-columns of documents.  SQL cannot express the stages, so there is no ORACLE_SQL;
-tests hold the stages' operators against plain versions, and the language stage
-against planted texts.
+columns of documents, and carry others through whatever their names.  SQL cannot
+express the stages, so there is no ORACLE_SQL; tests hold the whole run against
+plain versions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm.language import UNKNOWN, fit_on_training, identify
+from capturelake.llm.language import fit_on_training, known
 from capturelake.llm.ngram_join import one_of_each
 from capturelake.llm.packing import pack_sequences
 from capturelake.llm.shipping import ship_package
@@ -28,22 +28,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rejects documents without a letter, and those that the background explains better than any learned language."""
     ship_package(spark)
     languages, model = fit_on_training(docs)
-    return identify(docs, languages, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return known(docs, languages, model)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     ship_package(spark)
-    return one_of_each(docs).select(*docs.columns)
+    return one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated strings from the texts; a document that loses all of it stays as an empty one."""
     ship_package(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = remove_repeats(docs, carry=others)
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at = {name: f"c{names.index(name)}" for name in ("doc_id", "text", "n_chars")}
+    others = tuple(c for c in numbered.columns if c not in at.values())
+    cut = remove_repeats(numbered, at["doc_id"], at["text"], carry=others)
     n_chars = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
-    return cut.select("doc_id", F.col("kept_text").alias("text"), *others, n_chars.alias("n_chars")).select(*docs.columns)
+    new = {at["text"]: F.col("kept_text"), at["n_chars"]: n_chars}
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in numbered.columns]).toDF(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
