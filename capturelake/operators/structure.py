@@ -97,18 +97,31 @@ def to_notes(
     )
 
 
-def reuse_active(new: DataFrame, existing: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, capture -> id map): an active row is reused, not doubled.
+def flag_reuse(new: DataFrame, existing: DataFrame, id_col: str) -> DataFrame:
+    """New rows with ``active_id``, the active row of the same capture that is reused, null where the row is to insert.
 
     Of several active rows of a capture, the one with the smallest id is reused.
     """
     active = top_per_key(existing.where(F.col("deleted_at").isNull()), ["source_capture_id"], [F.asc(id_col)]).select(
-        "source_capture_id", F.col(id_col).alias("_active_id")
+        "source_capture_id", F.col(id_col).alias("active_id")
+    )
+    return new.join(active, "source_capture_id", "left")
+
+
+def reuse_active(new: DataFrame, existing: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, capture -> id map): an active row is reused, not doubled."""
+    looked = flag_reuse(new, existing, id_col)
+    inserts = looked.where(F.col("active_id").isNull()).select(*new.columns)
+    return inserts, looked.select("source_capture_id", F.coalesce("active_id", id_col).alias(id_col))
+
+
+def reuse_counts(flagged: DataFrame) -> DataFrame:
+    """One row: offered, inserted and reused of a flagged frame."""
+    return flagged.agg(
+        F.count(F.lit(1)).alias("offered"),
+        F.count_if(F.col("active_id").isNull()).alias("inserted"),
+        F.count_if(F.col("active_id").isNotNull()).alias("reused"),
     )
-    looked = new.join(active, "source_capture_id", "left")
-    inserts = looked.where(F.col("_active_id").isNull()).select(*new.columns)
-    ids = looked.select("source_capture_id", F.coalesce("_active_id", id_col).alias(id_col))
-    return inserts, ids
 
 
 def mark_captures(

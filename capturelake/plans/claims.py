@@ -835,6 +835,25 @@ def claims_search_hydrated(spark, sf_dir):
     return _hydrated(CS.hydrated(spark, path, CS.search_store(spark, path, text="THE")))
 
 
+@query(
+    "claim_children",
+    """SELECT claim_id, 'dimensions' AS kind, CAST(ord AS BIGINT) AS position, dimension_type || '=' || normalized_value AS told FROM stored_dims
+    UNION ALL SELECT claim_id, 'feedback', k, a FROM stored_claims, (VALUES (0::BIGINT, 'supersede'), (1, 'revise')) AS v(k, a) WHERE predicate = 'chose'
+    UNION ALL SELECT claim_id, 'spans', 0, md5(excerpt) FROM stored_claims""",
+    ["stored_claims", "stored_dims"],
+)
+def claim_children(spark, sf_dir):
+    """The children of all claims as rows with positions."""
+    path = claim_store(spark, sf_dir)
+    every = spark.read.parquet(f"{path}/claims")
+    told = {"dimensions": F.concat_ws("=", "dimension_type", "normalized_value"), "feedback": F.col("action"), "spans": F.md5("excerpt")}
+    out = [
+        CS.child_rows(spark, path, every, name, work_dir(spark, name)).select("claim_id", F.lit(name).alias("kind"), "position", text.alias("told"))
+        for name, text in told.items()
+    ]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 KNOWN_IDS = [hashlib.sha256(f"claim|{d}|x-{d}|{i}".encode()).hexdigest() for d in (1, 2, 7, 8, 9) for i in (0, 1)]
 
 

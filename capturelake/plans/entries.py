@@ -190,14 +190,13 @@ def entry_captures_inserted(spark, sf_dir):
     ["entry_map"],
 )
 def entry_documents(spark, sf_dir):
-    mapped = ensured(spark, sf_dir)[0]
-    all_docs = E.document_rows(entries(spark, sf_dir), mapped, datetime(2024, 5, 1))
-    titled = entries(spark, sf_dir).where("title IS NOT NULL").select("entry_id")
-    docs = all_docs.join(titled, "entry_id", "left_semi").select(
+    mapped = E.map_entries(entries(spark, sf_dir), entry_captures(spark, sf_dir))
+    titled = E.document_rows(mapped.where("title IS NOT NULL"), datetime(2024, 5, 1))
+    docs = titled.select(
         F.concat(F.lit("doc-"), "entry_id").alias("document_id"),
-        *[F.lit("old").alias(c) if c == "raw_text" else F.col(c) for c in all_docs.columns if c != "document_id"],
+        *[F.lit("old").alias(c) if c == "raw_text" else F.col(c) for c in titled.columns if c != "document_id"],
     )
-    out = E.upsert_documents(entries(spark, sf_dir), mapped, docs, AS_OF)
+    out = E.upsert_documents(mapped, docs, AS_OF)
     return out.select(
         "entry_id", "document_id", "capture_id", "declared_type", "raw_text", "pii_score", "redaction_state",
         "language", "normalized_text", "token_count", "analysis_state",

@@ -10,7 +10,8 @@ from capturelake.functions import pii as P
 from capturelake.functions import text as T
 from capturelake.operators import classify as C
 from capturelake.operators import structure as S
-from capturelake.operators.merge import counted, insert_counts, insert_ignore, merge_rows
+from capturelake.operators.merge import insert_counts, insert_ignore
+from capturelake.session import work_dir
 from capturelake.sources.captures import ingest_captures, resolve_sources
 
 from .frames import frame
@@ -294,14 +295,15 @@ def structure_new_oldest(spark, sf_dir):
     ["notes"],
 )
 def structure_rerun(spark, sf_dir):
-    """A second run over notes of which the thoughts were soft-deleted."""
+    """A second run over the notes that a first one wrote, of which the thoughts were soft-deleted since."""
+    path = work_dir(spark, "notes")
     new = notes(spark, sf_dir)
-    existing = new.withColumn(
+    new.write.parquet(path)
+    stored = spark.read.parquet(path)
+    existing = stored.withColumn(
         "deleted_at", F.when(F.col("note_type") == "thought", F.col("created_at")).otherwise(F.col("deleted_at"))
     )
-    inserts, ids = S.reuse_active(new, existing, "note_id")
-    both = merge_rows(counted(ids, "offered"), counted(inserts, "inserted"))
-    return both.withColumn("reused", F.col("offered") - F.col("inserted"))
+    return S.reuse_counts(S.flag_reuse(new, existing, "note_id"))
 
 
 @query(

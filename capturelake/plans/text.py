@@ -209,3 +209,19 @@ def json_lines(spark, sf_dir):
     rows = read_jsonl(spark, path, "conv_id bigint, turn bigint, role string, text string")
     turn = frame(spark, sf_dir, "conversations").schema["turn"].dataType
     return rows.select("conv_id", F.col("turn").cast(turn).alias("turn"), "role", F.md5("text").alias("text"))
+
+
+TOPICAL = "(['胃の調子が悪化した。', '  Sore Throat again ', '会議が改善、', '頭痛が', ''])[CAST(doc_id % 5 AS INT) + 1] || text"
+
+
+@query(
+    "topic_named",
+    f"""SELECT doc_id, coalesce(nullif({sql_strip("regexp_extract(t, '([^、。]{1,24}?)が(?:悪化|悪く|改善|回復|低下|上昇|不調|痛)', 1)")}, ''),
+      nullif(regexp_extract(t, '(?i)(喉(?:の調子)?|のど|体調|熱|咳|頭痛|胃|声|鼻|睡眠|気分|疲労|sore throat|throat|condition|health)', 1), '')) AS topic FROM (SELECT doc_id, {sql_strip(TOPICAL)} AS t FROM documents)""",
+)
+def topic_named(spark, sf_dir):
+    """Topics that a text names as the subject of a change, or by a word."""
+    heads = F.array(*[F.lit(h) for h in ("胃の調子が悪化した。", "  Sore Throat again ", "会議が改善、", "頭痛が", "")])
+    docs = frame(spark, sf_dir, "documents")
+    text = F.concat(F.get(heads, (F.col("doc_id") % 5).cast("int")), "text")
+    return docs.select("doc_id", T.extract_topic(text).alias("topic"))

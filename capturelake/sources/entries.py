@@ -75,16 +75,17 @@ def capture_input_type(kind: ColumnOrName = "declared_type", payload: ColumnOrNa
     )
 
 
-def ensure_captures(entries: DataFrame, captures: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
-    """(entry_id, capture_id, pii_score) per entry, and captures to insert.
+def map_entries(entries: DataFrame, captures: DataFrame) -> DataFrame:
+    """Entries with the capture they belong to: capture_id, pii_score, raw_text, input_type and is_new.
 
     A stored capture counts when its id is the entry's, or when it came from
     the web with the same text and time; the newest one wins.  The two ways
     are separate equi-joins, and the text side is reduced to its newest row
-    per (text hash, time) first.
+    per (text hash, time) first.  Captures to insert and documents are
+    projections of this frame.
     """
-    built = entries.withColumn("_text", build_capture_text()).withColumn("_hash", F.sha2("_text", 256))
-    entry = built.withColumn("_pii", pii_score("_text"))
+    built = entries.withColumn("raw_text", build_capture_text()).withColumn("_hash", F.sha2("raw_text", 256))
+    entry = built.withColumn("_pii", pii_score("raw_text"))
     stored = F.struct("created_at", "capture_id", "pii_score")
     by_id = captures.select(F.col("capture_id").alias("entry_id"), stored.alias("_a"))
     web = captures.where(F.col("source_id") == R.WEB_SOURCE_ID).select(
@@ -94,17 +95,20 @@ def ensure_captures(entries: DataFrame, captures: DataFrame, as_of: datetime) ->
         "_hash", "occurred_at", stored.alias("_b")
     )
     found = entry.join(by_id, "entry_id", "left").join(by_text, ["_hash", "occurred_at"], "left")
-    newest = F.greatest("_a", "_b")
-    mapped = found.withColumn("_hit", newest).select(
-        "entry_id",
+    hit = found.withColumn("_hit", F.greatest("_a", "_b"))
+    return hit.select(
+        *entries.columns,
+        "raw_text",
         F.coalesce("_hit.capture_id", "entry_id").alias("capture_id"),
         F.greatest(F.col("_pii"), F.coalesce("_hit.pii_score", F.lit(0.0))).alias("pii_score"),
         F.col("_hit").isNull().alias("is_new"),
-        F.col("_text").alias("raw_text"),
         capture_input_type().alias("input_type"),
-        "occurred_at",
-        "sensitivity",
     )
+
+
+def ensure_captures(entries: DataFrame, captures: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+    """(entry_id, capture_id, pii_score) per entry, and captures to insert."""
+    mapped = map_entries(entries, captures)
     inserts = mapped.where("is_new").select(
         "capture_id",
         F.lit(R.WEB_SOURCE_ID).alias("source_id"),
@@ -126,19 +130,19 @@ DOCUMENT_COLUMNS = [
 ]
 
 
-def document_rows(entries: DataFrame, mapped: DataFrame, as_of: datetime) -> DataFrame:
-    """One document per entry.
+def document_rows(mapped: DataFrame, as_of: datetime) -> DataFrame:
+    """One document per mapped entry, a projection.
 
     token_count is the character length of the body and language is fixed,
     as in the data this replaces.
     """
     body = F.coalesce(F.col("body"), F.lit(""))
-    return entries.join(mapped, "entry_id").select(
+    return mapped.select(
         F.col("entry_id").alias("document_id"),
         "entry_id",
         "capture_id",
         "declared_type",
-        build_capture_text().alias("raw_text"),
+        "raw_text",
         F.col("occurred_at").alias("occurred_at_utc"),
         "sensitivity",
         "pii_score",
@@ -152,8 +156,8 @@ def document_rows(entries: DataFrame, mapped: DataFrame, as_of: datetime) -> Dat
     )
 
 
-def upsert_documents(entries: DataFrame, mapped: DataFrame, docs: DataFrame, as_of: datetime) -> DataFrame:
-    return upsert(docs, document_rows(entries, mapped, as_of), ["entry_id"], DOCUMENT_COLUMNS)
+def upsert_documents(mapped: DataFrame, docs: DataFrame, as_of: datetime) -> DataFrame:
+    return upsert(docs, document_rows(mapped, as_of), ["entry_id"], DOCUMENT_COLUMNS)
 
 
 def normalize_legacy_payload(kind: ColumnOrName = "declared_type", payload: ColumnOrName = "payload", body: ColumnOrName = "body") -> Column:
