@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from capturelake.functions.text import split_sentences
+from capturelake.operators import classify as C
 from capturelake.operators import evaluate as Ev
 from capturelake.operators import facts as K
 from capturelake.operators.merge import latest_per_key, lww_merge
+from capturelake.session import work_dir
+from capturelake.sources.tables import read_jsonl
 
 from .facts import sql_predicate
 from .frames import frame
 from .registry import query, step
-from .structure import routed
+from .structure import routed, stored_captures
 from .text import SENTENCES, sql_dedupe_form
 from .usage import text_ts
 
@@ -62,6 +65,19 @@ def eval_classes(spark, sf_dir):
     return Ev.class_metrics(capture_gold(spark, sf_dir), ["task", "journal", "learning", "thought"])
 
 
+@query("eval_gold_lines", _metrics_sql("capture_gold", ["task", "journal", "learning", "thought"]), ["capture_gold"])
+def eval_gold_lines(spark, sf_dir):
+    """The same with the gold rows in a file of JSON lines: text, input_type and expected_label."""
+    path = work_dir(spark, "gold")
+    kind = F.col("capture_id").cast("bigint") % 12
+    expected = F.when(kind <= 2, "task").when(kind <= 4, "journal").when(kind <= 6, "learning").otherwise("thought")
+    gold = stored_captures(spark, sf_dir).select(F.col("raw_text").alias("text"), "input_type", expected.alias("expected_label"))
+    gold.write.json(path)
+    rows = read_jsonl(spark, path, "text string, input_type string, expected_label string")
+    judged = C.classify(rows, text="text").select(F.col("expected_label").alias("expected"), C.predicted_label().alias("predicted"))
+    return Ev.class_metrics(judged, ["task", "journal", "learning", "thought"])
+
+
 step(
     "fact_gold",
     f"""SELECT l.doc_id, CASE WHEN l.quality = 1 THEN 'mentions' ELSE 'tested' END AS expected_predicate, CASE WHEN l.toxic = 1 THEN 'e' ELSE '' END AS object_contains,
