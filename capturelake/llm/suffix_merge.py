@@ -23,13 +23,15 @@ the digests of its windows are counted instead, which is exact as well.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing;
 a repeated row of LENGTH bytes or more is a copy and is removed whole; null
-ids are kept; an empty table gives an empty result; columns beyond id and text
+ids are kept, and their rows told apart by a 128-bit digest of the text; ids may
+be of any type; an empty table gives an empty result; columns beyond id and text
 are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 from collections.abc import Iterator
 
@@ -219,7 +221,7 @@ def repeated_windows(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndar
 def _rows_of(documents: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
     more = [F.col(f"`{c}`").alias(f"_carry{k}") for k, c in enumerate(carry)]
-    return documents.select(F.col(id_column).alias("id"), text.alias("text"), F.hash(text).alias("t"), *more)
+    return documents.select(F.col(id_column).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("t"), *more)
 
 
 def _emit_anchors(rows: DataFrame) -> DataFrame:
@@ -267,7 +269,8 @@ def _emit_anchors(rows: DataFrame) -> DataFrame:
             known = np.array(spans, np.int64).reshape(-1, 3)
             where = pa.array(np.concatenate([row[one], known[:, 0]]))
             ids, ts = batch.column("id").take(where), batch.column("t").take(where)
-            fake = _mixed(ts.to_numpy().astype(np.uint64)[len(one) :] + known[:, 1].astype(np.uint64)).view(np.int64)
+            of_text = np.frombuffer(b"".join(ts[len(one) :].to_pylist()), "<u8")[::2]
+            fake = _mixed(of_text + known[:, 1].astype(np.uint64)).view(np.int64)
             zero = np.zeros(len(known), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [ids, ts, pa.array(np.concatenate([h[one], fake])), pa.array(np.concatenate([u[one], zero])),
@@ -278,7 +281,7 @@ def _emit_anchors(rows: DataFrame) -> DataFrame:
                 ["id", "t", "h", "u", "first", "more", "left", "n"],
             )
 
-    return rows.mapInArrow(emit, f"id {id_type}, t int, h long, u long, first long, more int, left short, n int")
+    return rows.mapInArrow(emit, f"id {id_type}, t binary, h long, u long, first long, more int, left short, n int")
 
 
 def covered(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -337,8 +340,8 @@ def covered(documents: DataFrame, id_column: str = "doc_id", text_column: str =
             for k, context, x in contexts(batch):
                 if not x["wide"]:
                     key = struct.pack(">q", x["h"]) + context[x["left"] :]
-                    name = repr(ids[k]).encode()
-                    payload = struct.pack("<iqqH", ts[k], x["first"], x["n"], len(name)) + name + context[: x["left"]]
+                    name = pickle.dumps(ids[k])
+                    payload = struct.pack("<16sqqH", ts[k], x["first"], x["n"], len(name)) + name + context[: x["left"]]
                     held.append((x["h"] % targets, key, payload))
             if len(held) >= RUN_ROWS:
                 yield from flush(held)
@@ -346,21 +349,19 @@ def covered(documents: DataFrame, id_column: str = "doc_id", text_column: str =
         yield from flush(held)
 
     def merge(frame):
-        import ast
-
         import pandas as pd
 
         rows, owners, last = [], [], None
         for shared, key, payload in merge_runs(list(frame["run"])):
-            t, first, n, size = struct.unpack_from("<iqqH", payload)
-            head = 22 + size
+            t, first, n, size = struct.unpack_from("<16sqqH", payload)
+            head = 34 + size
             same = last == key[:8]
             rows.append((shared - 8 if same else -1, payload[head:]))
-            owners.append((payload[22:head], t, first, len(payload) - head, n))
+            owners.append((payload[34:head], t, first, len(payload) - head, n))
             last = key[:8]
         least, greatest = repeated_windows(rows)
         kept = [
-            (ast.literal_eval(name.decode()), t, first + left - int(hi), first + left - int(lo) + LENGTH)
+            (pickle.loads(name), t, first + left - int(hi), first + left - int(lo) + LENGTH)
             for (name, t, first, left, n), lo, hi in zip(owners, least.tolist(), greatest.tolist(), strict=True)
             if hi >= 0 and n == 1
         ]
@@ -389,10 +390,10 @@ def covered(documents: DataFrame, id_column: str = "doc_id", text_column: str =
                 )
 
     merged = texts.mapInArrow(make_runs, "target int, run binary").groupBy("target").applyInPandas(
-        merge, f"id {id_type}, t int, first long, stop long"
+        merge, f"id {id_type}, t binary, first long, stop long"
     )
     windows = texts.where(F.exists("at", lambda x: x["wide"])).mapInArrow(
-        make_windows, f"id {id_type}, t int, h long, far int, w binary, first long, n long"
+        make_windows, f"id {id_type}, t binary, h long, far int, w binary, first long, n long"
     )
     twice = windows.groupBy("h", "far", "w").count().where("count > 1").drop("count")
     wide = windows.where("n = 1").join(twice, ["h", "far", "w"]).select("id", "t", "first", (F.col("first") + LENGTH).alias("stop"))
