@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from capturelake.llm import language, ngram_join, queries, shards
+from capturelake.llm import bitmaps, components, language, ngram_join, queries, shards
 from capturelake.llm.shipping import ship_package
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -123,7 +123,7 @@ def test_language_is_learned_for_every_text_with_a_letter(shipped, tmp_path):
 @pytest.mark.parametrize("buckets", [2048, 1])
 def test_one_of_each_class_stays_whole(shipped, corpus, monkeypatch, buckets):
     """Also where the bitmaps are nearly full and hit almost every row by chance."""
-    monkeypatch.setattr(ngram_join, "BITMAP_BUCKETS", buckets)
+    monkeypatch.setattr(bitmaps, "BITMAP_BUCKETS", buckets)
     more = [] if buckets > 1 else [(10_000 + k, f"short text number {k} of many", "en") for k in range(3000)]
     docs = documents(shipped, corpus + more)
     got = ngram_join.one_of_each(docs)
@@ -140,6 +140,27 @@ def test_one_of_each_class_stays_whole(shipped, corpus, monkeypatch, buckets):
     assert all(tuple(r) in whole for r in rows)
 
 
+def test_components_of_hubs_chains_and_loops(shipped):
+    rng = random.Random(7)
+    names = rng.sample(range(10**6), 2600)
+    edges = [(names[0], x) for x in names[1:1500]] + list(zip(names[1500:1700], names[1501:1700], strict=False))
+    edges += [(names[1800 + rng.randrange(300)], names[1800 + rng.randrange(300)]) for _ in range(250)] + [(names[2500], names[2500])]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    df = shipped.createDataFrame(edges * 2, "a long, b long").repartition(5)
+    got = {(r.node, r.root) for r in components.connected_components(df).collect()}
+    joined = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {(x, find(x)) for x in joined}
+
+
 # the whole run
 
 
