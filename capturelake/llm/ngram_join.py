@@ -294,11 +294,11 @@ def jaccard_classes(documents: DataFrame, id_column: str = "doc_id", text_column
 def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each class, with all its columns: that of the smallest id (null last), then of the smallest text key.
 
-    Rows whose class is one row stay where they lie.  Two bitmaps of bounded
-    size tell them apart: one of the texts in classes of several rows, and one
-    of the rows that stay of those classes, and of the few single rows that the
-    first one hits by chance.  Only rows that the second one hits are exchanged
-    with their texts, and compared exactly.
+    Rows whose class is one row stay where they lie.  Bitmaps of bounded size
+    tell them apart: one of the texts in classes of several rows, and one of the
+    rows that stay of those classes, and of the few single rows that the first
+    one hits by chance.  Only rows that the second one hits are exchanged with
+    their texts, and compared exactly.
     """
     spark = documents.sparkSession
     where = work_dir(spark, "one-of-each")
@@ -310,8 +310,9 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: st
     first = classes.groupBy("class_key").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "text_key")).alias("first"), F.count("*").alias("rows"))
     single = F.col("rows") == 1
     key = lambda *c: F.xxhash64(*c)
-    many = classes.join(first.where(~single).select("class_key"), "class_key", "left_semi")
-    touched = bitmap_of(many.select(key("text_key").alias("key")).distinct())
+    # a class of very many rows is not gathered: its key is looked up in a bitmap too
+    large = bitmap_of(first.where(~single).select(key("class_key").alias("key")))
+    touched = bitmap_of(flag_by(classes, key("class_key"), large, "many").where("many").select(key("text_key").alias("key")))
     kept = first.select("first.id", "first.text_key", single.alias("single"))
     kept = flag_by(kept, key("text_key"), touched, "hit").where(~F.col("single") | F.col("hit")).select("id", "text_key")
     kept.write.parquet(f"{where}/kept")

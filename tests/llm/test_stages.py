@@ -253,7 +253,7 @@ def test_shards_of_a_table_with_clashing_columns(shipped, corpus, tmp_path):
 
 def test_shuffle_is_uniform(shipped):
     """How often each row comes to each shard, and each pair to one shard, over many seeds."""
-    n, shards_n, seeds = 24, 4, 60
+    n, shards_n, seeds = 24, 4, 30
     rows = shipped.range(n).coalesce(1)
     seen, together = np.zeros((n, shards_n)), 0
     for seed in range(seeds):
@@ -263,4 +263,4 @@ def test_shuffle_is_uniform(shipped):
         together += own[0] == own[1]
     chi = ((seen - seeds / shards_n) ** 2 / (seeds / shards_n)).sum()
     assert chi < n * (shards_n - 1) + 5 * np.sqrt(2 * n * (shards_n - 1))
-    assert abs(together / seeds - 5 / 23) < 0.2
+    assert abs(together / seeds - 5 / 23) < 0.3
