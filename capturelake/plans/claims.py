@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from capturelake.functions import rules as R
@@ -587,14 +588,22 @@ def bundle(spark, sf_dir):
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _once(spark, sf_dir, name, write):
-    """Folder of tables that an application writes once from a table folder, as a claim job would store them."""
+def _once(spark, sf_dir, name, write, first=""):
+    """Folder of tables that an application writes once from a table folder, as a claim job would store them.
+
+    Written again where its table ``first`` is gone.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        path = work_dir(spark, name)
-        write(path)
-        _written[key] = path
-    return _written[key]
+    if key in _written:
+        try:
+            spark.read.parquet(_written[key] + first)
+            return _written[key]
+        except AnalysisException:
+            del _written[key]
+    path = work_dir(spark, name)
+    write(path)
+    _written[key] = path
+    return path
 
 
 def stored_bundle(spark, sf_dir):
@@ -620,7 +629,7 @@ def claim_store(spark, sf_dir):
         children = {"spans": b["spans"], "dimensions": b["dimensions"], "feedback": feedback[0].unionByName(feedback[1])}
         CS.write_claim_store(b["claims"], doc_table(spark, sf_dir), children, path)
 
-    return _once(spark, sf_dir, "claim-store", write)
+    return _once(spark, sf_dir, "claim-store", write, "/claims")
 
 
 @query(

@@ -340,3 +340,18 @@ def test_keys_are_forgotten_behind_the_watermark(spark, tmp_path):
         Sm.stream_structure(stream, f"{out}/{turn}", f"{out}/checkpoint", AS_OF, watermark="3 days").awaitTermination()
     seen = [sorted(r.capture_id for r in spark.read.parquet(f"{out}/{turn}/routed").collect()) for turn in range(5)]
     assert seen == [["1"], ["2"], ["9"], ["3"], ["1", "4"]]
+
+
+def test_stored_claims_are_written_once_and_again_if_gone(spark, tmp_path):
+    from capturelake.plans import claims as plans
+
+    wrote = []
+
+    def write(path):
+        wrote.append(path)
+        spark.range(3).write.parquet(f"{path}/t")
+
+    first = plans._once(spark, "sf", "probe", write, "/t")
+    assert plans._once(spark, "sf", "probe", write, "/t") == first and len(wrote) == 1
+    plans._written[(spark.sparkContext.applicationId, "sf", "probe")] = f"{tmp_path}/gone"
+    assert plans._once(spark, "sf", "probe", write, "/t") != first and len(wrote) == 2
