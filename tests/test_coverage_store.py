@@ -355,3 +355,20 @@ def test_stored_claims_are_written_once_and_again_if_gone(spark, tmp_path):
     assert plans._once(spark, "sf", "probe", write, "/t") == first and len(wrote) == 1
     plans._written[(spark.sparkContext.applicationId, "sf", "probe")] = f"{tmp_path}/gone"
     assert plans._once(spark, "sf", "probe", write, "/t") != first and len(wrote) == 2
+
+
+def test_lists_of_grams_stay_small(spark, tmp_path):
+    texts = spark.range(3000).selectExpr(
+        "sha2(cast(id AS string), 256) AS claim_id", "'d' AS document_id", "'me' AS subject_text", "'did' AS predicate",
+        "concat_ws(' ', transform(sequence(1, 12), k -> substr(sha2(concat(id, k), 256), 1, 6))) AS object_text_canonical",
+        "cast(null AS timestamp) AS time_start_utc", "cast(null AS timestamp) AS time_end_utc", "cast(null AS timestamp) AS deleted_at", "current_timestamp() AS created_at",
+    )
+    docs = spark.sql("SELECT 'd' AS document_id, 'todo' AS declared_type, timestamp'2024-02-10' AS occurred_at_utc")
+    child = {name: texts.select("claim_id") for name in CS.CHILDREN}
+    CS.write_claim_store(texts, docs, child, str(tmp_path / "s"))
+    chars = texts.selectExpr("sum(length(object_text_canonical))").first()[0]
+    size = sum(f.stat().st_size for f in (tmp_path / "s" / "grams").rglob("*.parquet"))
+    # ids in the lists took over thirty bytes a character
+    assert size < 8 * chars
+    want = texts.where("object_text_canonical like '%abc%'").count()
+    assert CS.search_store(spark, str(tmp_path / "s"), text="ABC").count() == want > 0
