@@ -372,3 +372,17 @@ def test_lists_of_grams_stay_small(spark, tmp_path):
     assert size < 8 * chars
     want = texts.where("object_text_canonical like '%abc%'").count()
     assert CS.search_store(spark, str(tmp_path / "s"), text="ABC").count() == want > 0
+
+
+@pytest.mark.parametrize("name", ["ACTION_HINT", "CAUSE_HINT", "JOURNAL_HINT", "LEARNING_HINT", "PLAN_HINT", "RAIN_HINT", "STATE_CHANGE_HINT", "THOUGHT_HINT", "TOPIC_HINT"])
+def test_a_look_ahead_changes_no_hit(spark, name):
+    from capturelake.functions import rules, rx
+
+    pattern = getattr(rules, name)
+    assert rx.lead(pattern, True)
+    words = [w for w in pattern.strip("()").replace("(?:", "").replace(")?", "").split("|")]
+    odd = ["", "x", "ſore throat", "Know", "İdea", "ımprov", "İnsight", "KNEW", "ſhould", "ΡΑIN", "🌧rain", "の調子"]
+    texts = [f"{a}{w}{b}" for w in [*words, *[w.upper() for w in words], *odd, *[w.replace("s", "ſ").replace("k", "K").replace("i", "ı") for w in words]] for a, b in [("", ""), ("aé ", "z"), ("喉", "。")]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select(F.regexp_extract("t", "(?Ui)" + pattern, 1).alias("a"), F.regexp_extract("t", rx.rx(pattern, True), 1).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both] and any(r.a for r in both)
