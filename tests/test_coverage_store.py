@@ -386,3 +386,9 @@ def test_a_look_ahead_changes_no_hit(spark, name):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     both = rows.select(F.regexp_extract("t", "(?Ui)" + pattern, 1).alias("a"), F.regexp_extract("t", rx.rx(pattern, True), 1).alias("b")).collect()
     assert [r.a for r in both] == [r.b for r in both] and any(r.a for r in both)
+
+
+def test_costly_rows_fill_many_tasks(spark):
+    from capturelake.plans import claims as plans
+
+    assert plans.usable(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8
