@@ -177,3 +177,10 @@ def test_payload_rules(spark):
     df = spark.createDataFrame([(i, k, p) for i, (k, p, _) in enumerate(cases)], "id int, declared_type string, payload string")
     got = [r["e"] for r in df.select("id", E.validate_payload().alias("e")).orderBy("id").collect()]
     assert got == [c[2] for c in cases]
+
+
+def test_evidence_is_filled_from_facts_extracted_once(spark):
+    from capturelake.plans import history
+
+    plan = history.backfill_evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "posexplode" not in plan.split("== Physical Plan ==")[1]
