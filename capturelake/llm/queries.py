@@ -48,7 +48,7 @@ def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shuffle_into_shards
 
     # columns of the table may have the names of the added ones
-    dealt = shuffle_into_shards(read_table(spark, sf_dir, "documents"), 8, shard_column="_shard", slot_column="_slot")
+    dealt = shuffle_into_shards(read_table(spark, sf_dir, "documents"), 8, 7, "_shard", "_slot")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return dealt.select(
         "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
