@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .wordcache import WordCache, slices
 
 SPACE = "▁"
 HUGE_WORD = 4096
+#: In place of a piece's id: the start of a text, or a character outside the vocabulary.
+NONE = (1 << 31) - 1
 _WORDS = re.compile(" *[^ ]+| +")
 
 
@@ -69,8 +72,11 @@ class PieceModel:
         self.right: dict[str, list] = {}
         for piece in self.ids:
             self._grow(piece)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.stretches = WordCache(lambda words: map(self.encode_word, words), 800_000)
+        # every end of a piece: its id where it is itself a piece that merging makes, else -1
+        self.ends = {p[k:]: self.ids[p[k:]] if p[k:] in self.left else -1 for p in self.ids for k in range(len(p))}
+        self.names = {i: p for p, i in self.ids.items()}
+        self.pairs: dict[int, bool] = {}
+        self.stretches = WordCache(self.encode_stretches, 800_000)
 
     def _grow(self, piece: str) -> None:
         """Edges of the piece's merge tree: (part, time made, time used up)."""
@@ -88,9 +94,10 @@ class PieceModel:
             used = [np.inf] + [t for _, t in spine[:-1]]
             table[piece] = [(part, made, end) for (part, made), end in zip(spine, used, strict=True)]
 
-    def neighbours(self, a: str, b: str) -> bool:
+    def neighbours(self, before: int, after: int) -> bool:
         """Whether merging leaves the border between two pieces alone."""
         known = True
+        a, b = self.names.get(before, ""), self.names[after]
         for x, made_x, end_x in self.right.get(a, ()):
             for y, made_y, end_y in self.left[b]:
                 rank = self.rank.get(x + y)
@@ -99,12 +106,12 @@ class PieceModel:
                     known = False
         if len(self.pairs) > 500_000:
             self.pairs.clear()
-        self.pairs[a, b] = known
+        self.pairs[before << 32 | after] = known
         return known
 
     def stream(self, parts: Iterator[str]) -> Iterator[list[int]]:
         """Committed ids of a text that comes in parts; its spaces are marked."""
-        text, back, last, done = "", [0], [""], 0  # the window; each boundary's back pointer and last piece
+        text, back, last, done = "", [0], [NONE], 0  # the window; each boundary's back pointer and last piece
         step = 4 * self.longest
         for part in parts:
             for at in range(0, len(part), step):
@@ -113,30 +120,35 @@ class PieceModel:
                 if len(text) > 2 * step:
                     settled = self._meet(back, range(len(text) - self.longest, len(text) + 1))
                     if settled > done:
-                        yield self._ids(text, back, done, settled)
+                        yield self._ids(text, back, last, done, settled)
                         # boundaries before the settled one are no predecessors any more
                         text, done = text[settled:], 0
                         back, last = [max(0, b - settled) for b in back[settled:]], last[settled:]
-        yield self._ids(text, back, done, len(text))
+        yield self._ids(text, back, last, done, len(text))
 
-    def _reach(self, text: str, back: list[int], last: list[str], done: int) -> None:
+    def _reach(self, text: str, back: list[int], last: list[int], done: int) -> None:
         """Finds the piece that ends the encoding of all text so far, for each new boundary."""
-        left, pairs, longest, vocabulary = self.left, self.pairs, self.longest, self.ids
+        ends, pairs, longest = self.ends.get, self.pairs.get, self.longest
         for end in range(len(back), len(text) + 1):
-            piece = text[end - 1]
-            begin = end - 1
-            if piece in vocabulary:
-                for begin in range(max(done, end - longest), end):
-                    piece = text[begin:end]
-                    if piece in left:
-                        before = last[begin]
-                        known = pairs.get((before, piece))
-                        if known is None:
-                            known = self.neighbours(before, piece)
-                        if known:
-                            break
-                else:
-                    raise ValueError(f"no piece ends the text {text[-longest:]!r}")
+            pieces = []
+            for begin in range(end - 1, max(done, end - longest) - 1, -1):
+                piece = ends(text[begin:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    pieces.append((begin, piece))
+            # the longest first; only a character outside the vocabulary ends no piece
+            begin, piece = end - 1, NONE
+            for begin, piece in reversed(pieces):
+                before = last[begin]
+                known = pairs(before << 32 | piece)
+                if known is None:
+                    known = self.neighbours(before, piece)
+                if known:
+                    break
+            else:
+                if text[end - 1] in self.ids:
+                    raise ValueError(f"no piece ends the text {text[max(0, end - longest) : end]!r}")
             back.append(begin)
             last.append(piece)
 
@@ -150,14 +162,13 @@ class PieceModel:
             open_ends.add(back[last])
         return open_ends.pop()
 
-    def _ids(self, text: str, back: list[int], lo: int, hi: int) -> list[int]:
+    def _ids(self, text: str, back: list[int], last: list[int], lo: int, hi: int) -> list[int]:
         out: list[int] = []
         while hi > lo:
-            piece = text[back[hi] : hi]
-            if piece in self.ids:
-                out.append(self.ids[piece])
+            if last[hi] != NONE:
+                out.append(last[hi])
             else:
-                out.extend(self.bytes[b] for b in reversed(piece.encode()))
+                out.extend(self.bytes[b] for b in reversed(text[back[hi] : hi].encode()))
             hi = back[hi]
         return out[::-1]
 
@@ -166,11 +177,33 @@ class PieceModel:
         ids = [i for part in self.stream(iter([word])) for i in part]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode_stretches(self, stretches: list[str]) -> list[bytes]:
+        """The same for many short ones: in their order, so that a beginning that two share is worked on once."""
+        out, before, back, last = [b""] * len(stretches), "", [0], [NONE]
+        for k in sorted(range(len(stretches)), key=stretches.__getitem__):
+            text = stretches[k]
+            if len(text) > 4 * self.longest:
+                out[k] = self.encode_word(text)
+                continue
+            same = 0
+            for x, y in zip(before, text, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del back[same + 1 :], last[same + 1 :]
+            self._reach(text, back, last, 0)
+            ids = self._ids(text, back, last, 0, len(text))
+            out[k], before = struct.pack(f"<{len(ids)}I", *ids), text
+        return out
+
     def encode_words(self, words: list[str]) -> Iterator[bytes]:
         """The same for many words, each stretch between meeting places once."""
         inside = self.inside
         split = []
         for word in words:
+            if inside.issuperset(map(add, word, word[1:])):
+                split.append([word])
+                continue
             cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inside]
             split.append([word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
         self.stretches.learn(split)

@@ -80,6 +80,16 @@ def test_streaming_keeps_a_bounded_window():
     assert [i for p in parts for i in p] == [i for p in model.stream(iter([text])) for i in p]
 
 
+def test_shared_beginnings_are_worked_on_once(monkeypatch):
+    model, reached = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model")), []
+    reach = model._reach
+    monkeypatch.setattr(model, "_reach", lambda text, back, *a: reached.append(len(text) + 1 - len(back)) or reach(text, back, *a))
+    words = ["▁interesting", "▁other", "▁interested", "▁interest", "▁Ünter", "a" * 5000, "▁interest"]
+    got = model.encode_stretches(words)
+    assert sum(reached) < sum(map(len, words)) - 20
+    assert got == [model.encode_word(w) for w in words]
+
+
 def test_piece_queries(odd, empty):
     import sentencepiece
 
