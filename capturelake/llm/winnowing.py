@@ -49,7 +49,7 @@ def _keys(text: str) -> str:
 
 def _minima(keys: str) -> str:
     steps = ", ".join(str(1 << k) for k in range(WINDOW.bit_length() - 1))
-    pair = "zip_with(slice(m, 1, size(m) - s), slice(m, 1 + s, size(m) - s), (a, b) -> least(a, b))"
+    pair = "zip_with(slice(m, 1, size(m) - s), slice(m, 1 + s, size(m) - s), (a, b) -> if(a < b, a, b))"
     return f"aggregate(array({steps}), {keys}, (m, s) -> {pair})"
 
 
@@ -59,8 +59,8 @@ def _elements(minima: str, offset: str) -> str:
         f"named_struct('first', {offset} + j, 'pos', {offset} + {low} - (v[j] & {low}), "
         f"'hash', shiftright(v[j], {_BITS}))"
     )
-    chosen = "filter(sequence(0L, cast(size(v) - 1 as bigint)), j -> j = 0 or v[cast(j as int)] != v[cast(j as int) - 1])"
-    return _let(minima, "v", f"transform({chosen}, j -> {made.replace('v[j]', 'v[cast(j as int)]')})")
+    chosen = "filter(sequence(0, size(v) - 1), j -> j = 0 or v[j] != v[j - 1])"
+    return _let(minima, "v", f"transform({chosen}, j -> {made})")
 
 
 def winnow_sql(text: str) -> str:
