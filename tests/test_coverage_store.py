@@ -374,6 +374,21 @@ def test_lists_of_grams_stay_small(spark, tmp_path):
     assert CS.search_store(spark, str(tmp_path / "s"), text="ABC").count() == want > 0
 
 
+def test_claims_are_stored_without_an_exchange_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CS, "BLOCK", 100)
+    claims = spark.range(0, 4000, 1, 2).selectExpr(
+        "cast(id AS string) AS claim_id", "'d' AS document_id", "'me' AS subject_text", "concat('p', id % 8) AS predicate", "'rain' AS object_text_canonical",
+        "cast(null AS timestamp) AS time_start_utc", "cast(null AS timestamp) AS time_end_utc", "cast(null AS timestamp) AS deleted_at", "current_timestamp() AS created_at",
+    )
+    docs = spark.sql("SELECT 'd' AS document_id, 'todo' AS declared_type, timestamp'2024-02-10' AS occurred_at_utc")
+    CS.write_claim_store(claims, docs, {name: claims.select("claim_id") for name in CS.CHILDREN}, str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s" / "claims"))
+    # both tasks write each predicate; a block lies in one or two files
+    assert stored.count() == 4000 and len(stored.inputFiles()) == 16
+    assert stored.select("block", F.input_file_name()).distinct().count() <= 40 + 16
+    assert CS.search_store(spark, str(tmp_path / "s"), text="RAIN", predicate="p3").count() == 500
+
+
 @pytest.mark.parametrize("name", ["ACTION_HINT", "CAUSE_HINT", "JOURNAL_HINT", "LEARNING_HINT", "PLAN_HINT", "RAIN_HINT", "STATE_CHANGE_HINT", "THOUGHT_HINT", "TOPIC_HINT"])
 def test_a_look_ahead_changes_no_hit(spark, name):
     from capturelake.functions import rules, rx
