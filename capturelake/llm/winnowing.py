@@ -4,8 +4,7 @@ Hashes of all grams of GRAM characters; of each WINDOW neighbouring hashes the
 smallest is kept, the rightmost of equal ones, with its position.  Two texts
 that share GUARANTEE characters in a row share a fingerprint.  For a key that
 holds the hash above and the complement of the position below, the plain
-minimum already has the rightmost tie; minima over windows of a power of two
-come from doubling.  A text is worked on in segments that overlap by
+minimum already has the rightmost tie.  A text is worked on in segments that overlap by
 GUARANTEE - 1 characters, so cost and memory are linear in its length.
 
 An element also keeps the first window that chose it.  So the fingerprint of a
@@ -31,6 +30,8 @@ GUARANTEE = GRAM + WINDOW - 1
 #: positions in a segment with its overlap take 9 bits
 _BITS = 9
 SEGMENT = (1 << _BITS) - GUARANTEE + 1
+#: windows taken together; half a window is a power of two of them
+STRIDE = 4
 ROWS_PER_RANGE, MOST_RANGES = 512, 65_536
 ELEMENT = "array<struct<first:bigint,pos:bigint,hash:bigint>>"
 
@@ -41,38 +42,65 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _keys(text: str) -> str:
+    """Keys of the grams of a text of GRAM characters or more."""
     low = (1 << _BITS) - 1
+
+    def key(gram: str) -> str:
+        return f"(xxhash64({gram}) & {-1 << _BITS}L) | cast({low} - i as bigint)"
+
+    # the hash is that of the bytes, so where each is a character they are cut by place
+    single = _let(f"cast({text} as binary)", "w", f"transform(sequence(0, length(w) - {GRAM}), i -> {key(f'substring(w, i + 1, {GRAM})')})")
     # a look-ahead per character gives all grams in one pass over the text
     grams = f"regexp_extract_all({text}, '(?s)(?=(.{{{GRAM}}})).', 1)"
-    return f"transform({grams}, (g, i) -> shiftleft(shiftright(xxhash64(g), {_BITS}), {_BITS}) | cast({low} - i as bigint))"
-
+    return f"if(octet_length({text}) = length({text}), {single}, transform({grams}, (g, i) -> {key('g')}))"
 
-def _minima(keys: str) -> str:
-    steps = ", ".join(str(1 << k) for k in range(WINDOW.bit_length() - 1))
-    pair = "zip_with(slice(m, 1, size(m) - s), slice(m, 1 + s, size(m) - s), (a, b) -> if(a < b, a, b))"
-    return f"aggregate(array({steps}), {keys}, (m, s) -> {pair})"
 
+def _elements(keys: str, offset: str) -> str:
+    """The minima of all windows, each with the first window that has it.
 
-def _elements(minima: str, offset: str) -> str:
-    low = (1 << _BITS) - 1
+    Windows are taken by STRIDE: c is the minimum of the keys that all windows
+    of a stride hold, so only where a key before or behind those is smaller are
+    the windows looked at one by one.  Places behind the last key are null,
+    which `least` and the comparison pass over.
+    """
+    low, blocks = (1 << _BITS) - 1, WINDOW // STRIDE
+    last = f"greatest(size(u) - {WINDOW}, 0)"
+    first = ", ".join(f"get(u, i + {k})" for k in range(STRIDE))
+    quads = f"transform(sequence(0, size(u) - 1, {STRIDE}), i -> least({first}))"
+    # minima of half a window's strides, by doubling
+    steps = ", ".join(str(1 << k) for k in range((blocks // 2).bit_length() - 1))
+    pair = "zip_with(m, slice(m, 1 + s, size(m)), (a, b) -> if(b < a, b, a))"
+    halves = f"aggregate(array({steps}), q, (m, s) -> {pair})"
+    shared = f"transform(sequence(0, {last} div {STRIDE}), b -> least(get(d, cast(b as int) + 1), get(d, cast(b as int) + {blocks // 2})))"
+
+    def window(r: int) -> str:
+        own = [f"get(u, {STRIDE} * b + {k})" for k in (*range(r, STRIDE), *range(WINDOW, WINDOW + r))]
+        return f"named_struct('at', {STRIDE} * b + {r}, 'key', least(c, {', '.join(own)}))"
+
+    each = f"slice(array({', '.join(map(window, range(STRIDE)))}), 1, {last} - {STRIDE} * b + 1)"
+    minima = (
+        f"flatten(transform(z, (c, b) -> if(c < q[b] and c < get(q, b + {blocks}), "
+        f"array(named_struct('at', {STRIDE} * b, 'key', c)), {each})))"
+    )
     made = (
-        f"named_struct('first', {offset} + j, 'pos', {offset} + {low} - (v[j] & {low}), "
-        f"'hash', shiftright(v[j], {_BITS}))"
+        f"named_struct('first', {offset} + x.at, 'pos', {offset} + {low} - (x.key & {low}), "
+        f"'hash', shiftright(x.key, {_BITS}))"
     )
-    chosen = "filter(sequence(0, size(v) - 1), j -> j = 0 or v[j] != v[j - 1])"
-    return _let(minima, "v", f"transform({chosen}, j -> {made})")
+    chosen = f"transform(filter(v, (x, i) -> i = 0 or x.key != v[i - 1].key), x -> {made})"
+    body = _let(_let(halves, "d", shared), "z", _let(minima, "v", chosen))
+    return _let(keys, "u", _let(quads, "q", body))
 
 
 def winnow_sql(text: str) -> str:
     """SQL for the elements (first, pos, hash) of a non-null text, by position."""
     whole = f"array(named_struct('first', 0L, 'pos', 0L, 'hash', shiftright(xxhash64(t), {_BITS})))"
-    single = _elements(f"array(array_min({_keys('t')}))", "0L")
+    single = _elements(_keys("t"), "0L")
     overlap = GUARANTEE - 1
     inner = _let(
         f"concat(p[n], coalesce(substring(p[n + 1], 1, {overlap}), ''))",
         "e",
         f"if(length(e) < {GUARANTEE}, cast(array() as {ELEMENT}), "
-        + _elements(_minima(_keys("e")), f"(cast(n as bigint) * {SEGMENT})")
+        + _elements(_keys("e"), f"(cast(n as bigint) * {SEGMENT})")
         + ")",
     )
     parts = f"regexp_extract_all(t, '(?s).{{1,{SEGMENT}}}', 0)"
@@ -162,7 +190,7 @@ def fingerprint_edits(documents: DataFrame, id_column: str = "doc_id", text_colu
     pair = "named_struct('pos', x.pos + {0}, 'hash', x.hash)"
     zones = seam.selectExpr(
         "*",
-        "array_sort(concat("
+        "sort_array(concat("
         f"transform(filter(elements, x -> x.first <= h - {GUARANTEE}), x -> {pair.format('0L')}), "
         f"transform({over}, x -> {pair.format('shift')}), "
         f"transform(filter(next_elements, x -> x.first <= m - {GUARANTEE}), x -> {pair.format('h')}))) AS z",

@@ -264,3 +264,24 @@ def test_shuffle_is_uniform(shipped):
     chi = ((seen - seeds / shards_n) ** 2 / (seeds / shards_n)).sum()
     assert chi < n * (shards_n - 1) + 5 * np.sqrt(2 * n * (shards_n - 1))
     assert abs(together / seeds - 5 / 23) < 0.3
+
+
+def test_windows_by_strides_equal_plain_windows(spark):
+    """Every length of a text and of its last segment, ASCII and not, against window minima taken one by one."""
+    from capturelake.llm import winnowing as W
+
+    mixed = "ab\nc日本😀 defé" * 120
+    texts = [t[:n] for t in ("".join(chr(97 + (i * i * 7 + i) % 26) for i in range(1100)), mixed, "a" * 1100) for n in (16, 17, 46, 47, 48, 51, 78, 79, 511, 512, 930, 1033)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    places = f"sequence(1, length(text) - {W.GRAM - 1})"
+    plain = rows.selectExpr("text", f"transform({places}, i -> shiftright(xxhash64(substring(text, i, {W.GRAM})), {W._BITS})) AS h")
+    found = rows.selectExpr("text", f"{W.winnow_sql('text')} AS e")
+    for row in plain.join(found, "text").collect():
+        wanted = []
+        for j in range(max(1, len(row.h) - W.WINDOW + 1)):
+            p = min(range(j, min(j + W.WINDOW, len(row.h))), key=lambda p: (row.h[p], -p))
+            if not wanted or wanted[-1][1] != p:
+                wanted.append((j, p, row.h[p]))
+        assert [tuple(x) for x in row.e] == wanted, len(row.text)
+    # no doubling over all windows any more
+    assert "array(1, 2, 4, 8, 16)" not in W.winnow_sql("text")
