@@ -239,3 +239,13 @@ def test_short_texts_are_their_own_gram(spark):
 
     docs = spark.createDataFrame([(0, ""), (1, "a"), (2, "ab"), (3, "abc")], "doc_id long, text string")
     assert {r.doc_id: r.n_grams for r in text._grams(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
+
+
+def test_claims_by_entry_makes_bundles_once(spark):
+    """The sort's sample reads a shuffle below it, not the bundles again."""
+    import __spark_entry__ as entry
+
+    out = entry.queries()["claims_by_entry"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("rangepartitioning") < plan.index("hashpartitioning(entry_id")
+    assert "REPARTITION_BY_COL" in plan
