@@ -100,6 +100,16 @@ def test_note_facts_order_and_types(spark):
     assert sum(f["object_text"].lower() == "same thing here" for f in facts) == 1
 
 
+def test_words_of_digits_joined_to_a_long_number(spark):
+    from capturelake.plans.facts import words_as_tokens
+
+    df = note(spark, "4111 1111 2222 3333 4444 5555 6666 7777. fine words here")
+    facts = K.extract_note_facts(df, tokenize=words_as_tokens).first()["facts"]
+    assert [(f["object_text"], f["object_type"], f["object_json"]) for f in facts] == [
+        ("41111111222233334444555566667777", "number", '{"value": 4.111111122223334e+31}'), ("finewordshere", "text", None),
+    ]
+
+
 def test_candidate_cap_keeps_one_sentence(spark):
     text = ". ".join(f"sentence number {i}" for i in range(30))
     assert len(K.extract_note_facts(note(spark, text)).first()["facts"]) == 30

@@ -110,6 +110,18 @@ def test_numbers_dates_and_json(spark):
     assert column(spark, ["2024-01-02 plan", "7", "text"], S.object_type(F.lit("mentions"), "v")) == ["date", "number", "text"]
 
 
+def test_numbers_of_any_size_are_json(spark):
+    import json
+
+    texts = ["0", "-0", "1234567890123456", "12345678901234567", "1" + "0" * 16, "123456789012345678901234567", "9" * 60, "1" + "0" * 300,
+             "-12345678901234567.25", "0.0001", "0.00012345678901234567", "0.00001", "0.0000000000000001", "1234567.891"]
+    want = [json.dumps({"value": float(t)}) for t in texts]
+    assert column(spark, texts, S.object_json(F.lit("mentions"), "v")) == want
+    # no double holds it, and JSON has no infinity
+    assert column(spark, ["9" * 400], S.object_json(F.lit("mentions"), "v")) == [None]
+    assert column(spark, ["9" * 400], S.object_type(F.lit("mentions"), "v")) == ["number"]
+
+
 def test_artifact_hash_sorts_keys(spark):
     import hashlib
 
