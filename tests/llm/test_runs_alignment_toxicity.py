@@ -325,6 +325,46 @@ def test_odd_labels(shipped, labelled):
     assert net is not None and net.languages == ["xx", "yy"]
 
 
+def test_all_labelled_rows_are_learned_from(shipped):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("badokilume") + rng.choice("xyzvw") + rng.choice("aeiou") for _ in range(n))
+    # more toxic rows than a sample held; those with the largest hashes have a word of their own
+    ids = shipped.range(12_000).select("id", F.xxhash64("id").alias("h")).where("id < 8000").collect()
+    late = {r["id"] for r in sorted(ids, key=lambda r: r["h"])[6500:]}
+    rows = [(k, words(6) + ("" if k >= 8000 else " frrk" if k in late else " grmbl") + " " + words(2), "xx", int(k < 8000)) for k in range(12_000)]
+    documents = shipped.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(4)
+    labels = shipped.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    net = toxicity.fit_on_labels(documents, labels)
+    got = toxicity.Scorer(net).scores(["bax dova frrk kiza", "bax dova grmbl kiza", "bax dova kiza", *(words(8) for _ in range(50))], 0.7)
+    assert min(got[:2]) >= 0.7 > max(got[2:])
+    again = toxicity.fit_on_labels(documents, labels)
+    assert np.allclose(again.thresholds, net.thresholds, atol=0.5)
+
+
+def test_long_texts_are_learned_from(shipped, monkeypatch):
+    filler = "ba do " * 4000
+    rows = [(k, filler + ("grmbl " if k % 3 == 0 else "ki ") + filler, "xx", int(k % 3 == 0)) for k in range(90)]
+    documents = shipped.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = shipped.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    net = toxicity.fit_on_labels(documents, labels)
+    assert net is not None
+    got = toxicity.Scorer(net).scores(["ba do grmbl", "ba do ki"], 0.7)
+    assert got[0] >= 0.7 > got[1]
+
+
+def test_training_reads_words_in_blocks(labelled, monkeypatch):
+    texts, toxic = [r[1] for r in labelled[:200]], np.array([r[3] for r in labelled[:200]])
+
+    def trained():
+        net, corpus = toxicity.Network(), toxicity._Corpus(texts)
+        toxicity.Trainer(net, 0.2).fit(corpus, toxic, 1)
+        return net
+
+    whole = trained()
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert np.allclose(trained().table, whole.table, atol=1e-5)
+
+
 def test_threshold_of_best_f1():
     margins, toxic = np.array([3.0, 2.0, 1.0, 1.0, 0.0]), np.array([1, 1, 0, 1, 0])
     assert toxicity.best_threshold(margins, toxic, np.ones(5)) == 0.5
