@@ -249,3 +249,13 @@ def test_claims_by_entry_makes_bundles_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("rangepartitioning") < plan.index("hashpartitioning(entry_id")
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_revisions_join_claims_that_are_stored_as_rows(spark):
+    from capturelake.plans import history
+
+    for query in (history.claim_revise_feedback, history.claim_revise_images, history.claim_retract_images):
+        found = query(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # no side makes the claims out of the bundles again
+        assert "posexplode" not in plan and plan.count("Relation [") == 2
