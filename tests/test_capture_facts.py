@@ -194,3 +194,58 @@ def test_evidence_is_filled_from_facts_extracted_once(spark):
 
     plan = history.backfill_evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "posexplode" not in plan.split("== Physical Plan ==")[1]
+
+
+# facts at size
+
+
+def test_types_and_hints_by_short_looks_agree_with_the_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from capturelake.functions import rules as R
+    from capturelake.functions import scalars as SC
+    from capturelake.functions.rx import extract, matches
+    from capturelake.functions.text import strip
+    from capturelake.operators.classify import detect_predicate
+
+    texts = ["12", " 12.5 ", "-3", "+4.", "４２", "12 apples", "on 2024-01-02", "2024年1月2日", "今日は雨", "日", "a-b", "a/b", "~", "", "x", None]
+    texts += ["I learned it", "DECIDED", "次の予定", "Feel next", "ınsight", "plain words", "実験した", "blocked_by", "tes t"]
+    rows = spark.createDataFrame([(p, t) for t in texts for p in ("did", "due_at", "priority", None)], "p string, t string")
+    dated = F.col("p").isin(*R.DATE_PREDICATES) | matches("t", R.DATE_TEXT)
+    whole = F.coalesce(strip("t") == extract("t", R.NUMBER_TEXT), F.lit(False))
+    kind = F.when(dated, "date").when(F.col("p").isin(*R.NUMBER_PREDICATES) | whole, "number").otherwise("text")
+    assert rows.where(~SC.object_type("p", "t").eqNullSafe(kind)).count() == 0
+    numbers = rows.where((kind == "number") & F.col("t").rlike("[0-9]"))
+    assert numbers.where(SC.object_json("p", "t").isNull()).count() == 0
+    assert rows.where((kind != "number") & SC.object_json("p", "t").isNotNull()).count() == 0
+    hint = F.lit("mentions")
+    for pattern, name in reversed(R.PREDICATE_HINTS):
+        hint = F.when(matches("t", pattern, ci=True), name).otherwise(hint)
+    assert rows.where(~detect_predicate("t")["predicate"].eqNullSafe(hint)).count() == 0
+    # other patterns than lists of words are tried one by one
+    own = detect_predicate("t", hints=[("^x$", "one"), (r"\bwords\b", "two")])["predicate"]
+    assert {r.t: r.k for r in rows.select("t", own.alias("k")).collect() if r.k != "mentions"} == {"x": "one", "plain words": "two"}
+
+
+def test_dedupe_form_keeps_what_the_negated_class_keeps(spark):
+    from pyspark.sql import functions as F
+
+    from capturelake.functions.rx import replace_all
+    from capturelake.functions.text import normalize_for_dedupe
+
+    rows = spark.createDataFrame([(f"a{chr(k)}b",) for k in range(0x10000) if not 0xD800 <= k <= 0xDFFF] + [("x\U0001F600y \U00020000",), ("",), (None,)], "t string")
+    old = F.regexp_replace(F.lower(replace_all("t", r"\s+")), "[^0-9a-zぁ-んァ-ヶ一-龠ー]", "")
+    assert rows.where(~normalize_for_dedupe("t").eqNullSafe(old)).count() == 0
+    # the negated class is what took the time
+    assert "[^" not in rows.select(normalize_for_dedupe("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_captures_of_the_evidence_are_classified_once(spark, tmp_path):
+    from capturelake.functions import rules as R
+    from capturelake.plans.history import backfill_evidence
+
+    docs = [(k, f"line {k}. 学んだこと。 TODO: call", "en", "s", 20) for k in range(24)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    out = backfill_evidence(spark, str(tmp_path))
+    assert R.JOURNAL_HINT not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() > 0

@@ -75,7 +75,7 @@ def test_first_of_few_and_many_members(spark):
     for n in (0, 1, rx.FEW, rx.FEW + 1, 100):
         items = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), k) for k in range(n)]
         df = spark.createDataFrame([(items,)], "v array<struct<s:string,n:int,k:int>>")
-        got = df.select(rx.first_by(F.col("v"), lambda x: F.struct(x["s"], x["n"])).alias("v")).first().v
+        got = df.select(rx.first_by(F.col("v"), lambda x: [x["s"], x["n"]]).alias("v")).first().v
         first = {}
         for s, m, k in items:
             first.setdefault((s, m), k)
