@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from capturelake.functions import rx
 from capturelake.functions import text as T
 from capturelake.operators import claims as C
+from capturelake.operators import merge
 
 AS_OF = datetime(2024, 6, 1)
 
@@ -80,3 +81,17 @@ def test_first_of_few_and_many_members(spark):
         for s, m, k in items:
             first.setdefault((s, m), k)
         assert [x.k for x in got] == list(first.values())
+
+
+def test_positions_need_no_join_and_go_on_over_parts(spark, tmp_path):
+    # one key over all parts, keys over two, null keys, and columns named as those of the operator's own frames
+    rows = spark.range(3000).selectExpr("if(id < 2000, 'hot', if(id < 2010, null, concat('k', id % 7))) AS k", "id AS _key", "id % 5 AS _n")
+    for parts in (1, 3, 16):
+        out = merge.ranked_children(rows, "k", [F.asc("_key")], f"{tmp_path}/{parts}", parts=parts)
+        want, seen = {}, {}
+        for r in sorted(rows.collect(), key=lambda r: r._key):
+            want[r._key] = seen.get(r.k, 0)
+            seen[r.k] = want[r._key] + 1
+        assert {r._key: r.position for r in out.collect()} == want and out.columns == ["k", "_key", "_n", "position"]
+        assert "Join" not in plan(out) and "Window" not in plan(out)
+    assert merge.ranked_children(rows.where("false"), "k", [F.asc("_key")], f"{tmp_path}/none").count() == 0
